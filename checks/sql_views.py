@@ -9,7 +9,7 @@ sales AS (
          CAST(month(l_shipdate) AS INTEGER) AS calendar_month,
          CASE WHEN l_returnflag = 'R' THEN 'NONSCAN' ELSE 'GTIN' END AS scan_type,
          l_quantity AS quantity,
-         CAST(round(l_extendedprice * (1 - l_discount), 4) AS DECIMAL(18,4)) AS amount,
+         round(l_extendedprice * 100) * (100 - round(l_discount * 100)) AS amount,
          l_discount > 0 AS discounted,
          l_orderkey, l_linenumber, l_partkey,
          CAST(substr(p_brand, 7) AS INTEGER) AS brand_no
@@ -29,7 +29,7 @@ monthly AS (
          coalesce(sum(quantity) FILTER (WHERE discounted), 0.0) AS quantity_with_discount,
          count(*) AS transaction_count,
          count(*) FILTER (WHERE discounted) AS transaction_count_with_discount,
-         CAST(sum(amount) AS DOUBLE) AS total_revenue_amount
+         sum(amount) / 10000 AS total_revenue_amount
   FROM sales GROUP BY ALL
 ),
 scanner AS (
@@ -50,8 +50,8 @@ scanner AS (
   SELECT *,"""
     + ATTRIBUTES
     + """,
-         CAST(amount AS DOUBLE) AS total_revenue_amount,
-         CAST(amount AS DOUBLE) / quantity AS unit_value_q
+         amount / 10000 AS total_revenue_amount,
+         amount / 10000 / quantity AS unit_value_q
   FROM sales
 )"""
 )

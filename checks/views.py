@@ -30,7 +30,8 @@ def _sales(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line items with their product attributes (part is the only other table)."""
     line = table(spark, sf_dir, "lineitem")
     part = table(spark, sf_dir, "part").select("p_partkey", F.col("p_brand").alias("gtin"))
-    amount = F.round(F.col("l_extendedprice") * (1 - F.col("l_discount")), 4)
+    # price after discount in units of 1/10000: whole numbers, so any sum is exact
+    amount = F.rint(F.col("l_extendedprice") * 100) * (100 - F.rint(F.col("l_discount") * 100))
     line = line.select(
         "l_partkey",
         F.col("l_suppkey").alias("store_id"),
@@ -38,7 +39,7 @@ def _sales(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.month("l_shipdate").alias("calendar_month"),
         F.when(F.col("l_returnflag") == "R", "NONSCAN").otherwise("GTIN").alias("scan_type"),
         F.col("l_quantity").alias("quantity"),
-        amount.cast("decimal(18,4)").alias("amount"),
+        amount.alias("amount"),
         (F.col("l_discount") > 0).alias("discounted"),
         F.struct("l_orderkey", "l_linenumber", "l_partkey").alias("row_no"),
     )
@@ -67,7 +68,7 @@ def scanner(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.coalesce(F.sum(discounted), F.lit(0.0)).alias("quantity_with_discount"),
             F.count(F.lit(1)).alias("transaction_count"),
             F.count_if("discounted").alias("transaction_count_with_discount"),
-            F.sum("amount").cast("double").alias("total_revenue_amount"),
+            (F.sum("amount") / 10000).alias("total_revenue_amount"),
         )
     )
     total = F.col("quantity") + F.col("quantity_with_discount")
@@ -93,7 +94,7 @@ def scanner(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def scanner_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per sale: many rows share store, product and month."""
-    revenue = F.col("amount").cast("double")
+    revenue = F.col("amount") / 10000
     return (
         _product_attributes(_sales(spark, sf_dir))
         .withColumn("total_revenue_amount", revenue)

@@ -8,9 +8,11 @@ matching-block search, which SQL expressions cannot state.
 
 from __future__ import annotations
 
+import sys
 from difflib import SequenceMatcher
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, functions as F, types as T
 
 from tillmark.functions.text import strip
@@ -40,6 +42,8 @@ def block_ratios(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([scores.get(pair) for pair in zip(a, b)], index=a.index, dtype="Int32")
 
 
+# Executors get the function itself, so they need not have this package installed.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 _block_ratios = F.pandas_udf(block_ratios, T.IntegerType())
 
 

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import string
 import sys
 import unicodedata
 from collections.abc import Sequence
 from functools import cache, reduce
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -15,7 +17,8 @@ WHITESPACE = (
     "\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
     "\u2028\u2029\u202f\u205f\u3000"
 )
-ASCII_SPACE = r"\t\n\x0b\x0c\r\x1c-\x1f "
+ASCII_SPACE = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f "
+WORD_OR_COMMA = string.ascii_letters + string.digits + "_,"
 NON_ASCII = r"[^\x00-\x7f]"
 
 # Street-word rules, applied in this order, case-insensitively.
@@ -80,51 +83,78 @@ def as_text(c: Column, null_token: str | None = "nan") -> Column:
     return text if null_token is None else F.coalesce(text, F.lit(null_token))
 
 
+class FoldTable(NamedTuple):
+    """ASCII part of code points whose NFKD form has one.
+
+    ``source`` and ``target`` align the code points with one ASCII character.
+    ``several`` is a character class of those with more than one, and
+    ``expansions`` lists them as lines of "character TAB replacement".
+    """
+
+    source: str
+    target: str
+    several: str
+    expansions: str
+
+
 @cache
-def _fold_table() -> tuple[str, str, str]:
-    """ASCII part of every code point's NFKD form, from the Unicode database.
+def fold_table() -> FoldTable:
+    """Built from the Unicode database rather than listed.
 
-    Decomposition works character by character and the reordering step only
-    moves combining marks, which are dropped anyway, so a per-character table
-    is exact.  Returns the one-to-one part as two aligned strings and the
-    one-to-many part as lines of "character TAB replacement".
+    Decomposition works character by character and its reordering step only
+    moves combining marks, which are dropped anyway: a table per character is
+    exact.
     """
-    single, single_to, several = [], [], []
+    ascii_part = {}
     for point in range(0x80, sys.maxunicode + 1):
-        char = chr(point)
-        form = unicodedata.normalize("NFKD", char)
-        if form == char:
-            continue
-        ascii_part = form.encode("ascii", "ignore").decode("ascii")
-        if len(ascii_part) == 1:
-            single.append(char)
-            single_to.append(ascii_part)
-        elif ascii_part:
-            several.append(f"{char}\t{ascii_part}")
-    return "".join(single), "".join(single_to), "\n".join(several)
+        form = unicodedata.normalize("NFKD", chr(point))
+        if form != chr(point):
+            ascii_part[chr(point)] = form.encode("ascii", "ignore").decode("ascii")
+    single = {c: a for c, a in ascii_part.items() if len(a) == 1}
+    several = {c: a for c, a in ascii_part.items() if len(a) > 1}
+    return FoldTable(
+        "".join(single),
+        "".join(single.values()),
+        f"[{''.join(several)}]",
+        "\n".join(f"{c}\t{a}" for c, a in several.items()),
+    )
 
 
 def ascii_fold(c: Column) -> Column:
     """NFKD-decompose and drop what is not ASCII.
 
-    ASCII text passes through untouched; the character-wise expansion only runs
-    for text that still has non-ASCII characters after the one-to-one step.
+    ASCII text passes through untouched.  The walk over single characters runs
+    only for text with a character that expands to several.
     """
-    source, target, several = _fold_table()
-    folded = F.translate(c, source, target)
-    expansions = F.str_to_map(F.lit(several), F.lit("\n"), F.lit("\t"))
+    table = fold_table()
+    folded = F.translate(c, table.source, table.target)
+    expansions = F.str_to_map(F.lit(table.expansions), F.lit("\n"), F.lit("\t"))
 
     def expand(char: Column) -> Column:
-        return F.when(char.rlike(NON_ASCII), F.coalesce(expansions[char], F.lit(""))).otherwise(char)
+        return F.when(char.rlike(NON_ASCII), F.coalesce(expansions[char], char)).otherwise(char)
 
     expanded = F.array_join(F.transform(F.split(folded, ""), expand), "")
-    return F.when(~c.rlike(NON_ASCII), c).when(~folded.rlike(NON_ASCII), folded).otherwise(expanded)
+    # the wide character class is only tried on what is left beside ASCII
+    left_over = F.regexp_replace(folded, r"[\x00-\x7f]+", "")
+    mapped = F.when(left_over.rlike(table.several), expanded).otherwise(folded)
+    return F.when(c.rlike(NON_ASCII), F.regexp_replace(mapped, NON_ASCII, "")).otherwise(c)
+
+
+def _any_of(chars: str) -> str:
+    """Character class that lists ASCII characters one by one.
+
+    The regex engine turns such a list into a bitmap, several times faster on
+    long texts than ranges or a negated class.
+    """
+    return "[" + "".join(f"\\x{ord(ch):02x}" for ch in chars) + "]+"
 
 
 def basic_clean(c: Column) -> Column:
     """ASCII fold, drop punctuation except commas, collapse whitespace, strip."""
-    kept = F.regexp_replace(ascii_fold(c), f"[^A-Za-z0-9_,{ASCII_SPACE}]", "")
-    return F.trim(F.regexp_replace(kept, f"[{ASCII_SPACE}]+", " "))
+    kept = WORD_OR_COMMA + ASCII_SPACE
+    dropped = "".join(ch for ch in map(chr, range(128)) if ch not in kept)
+    words = F.regexp_replace(ascii_fold(c), _any_of(dropped), "")
+    return F.trim(F.regexp_replace(words, _any_of(ASCII_SPACE), " "))
 
 
 def expand_street_words(c: Column) -> Column:
