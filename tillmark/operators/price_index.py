@@ -92,15 +92,23 @@ def type_index(
     index_kind: str = "price",
     order_col: str | None = None,
     unique_months: bool = False,
+    type_weights: DataFrame | None = None,
 ) -> DataFrame:
-    """Stage 1: index and stage-2 weight per store, subcategory, type and month."""
+    """Stage 1: index and stage-2 weight per store, subcategory, type and month.
+
+    ``type_weights`` takes the result of ``type_weight_table`` for the same rows
+    and period.  Given as a stored table, its size is known when the join is
+    planned, and a small one is broadcast without shuffling the rows again.
+    """
     period, value_col = period_column(weight_basis), value_column(index_kind)
     extra = [] if order_col is None else [order_col]
     require_columns(df, [*product_keys(period), "date", value_col, REVENUE, *extra])
 
     months = _product_months(df, value_col, period, order_col, unique_months)
     ratios = _ratios(months, period, unique_months)
-    weighted = null_safe_left_join(ratios, type_weight_table(df, period), type_keys(period))
+    if type_weights is None:
+        type_weights = type_weight_table(df, period)
+    weighted = null_safe_left_join(ratios, type_weights, type_keys(period))
     share = ieee_div(F.col("product_revenue"), F.col("type_annual_revenue"))
     return (
         weighted.withColumn("share", share)
@@ -133,6 +141,7 @@ def geo_index(
     label: str = DEFAULT_LABEL,
     order_col: str | None = None,
     unique_months: bool = False,
+    type_weights: DataFrame | None = None,
 ) -> DataFrame:
     """Store-month index and its log from prepared rows of one subcategory.
 
@@ -140,6 +149,7 @@ def geo_index(
     ``index_kind`` the unit value (``price``) or the quantity (``qty``).
     ``order_col`` orders rows that share store, product and month.
     ``unique_months=True`` states that there are none, which saves a shuffle.
+    ``type_weights`` is described at :func:`type_index`.
     """
-    types = type_index(df, weight_basis, index_kind, order_col, unique_months)
+    types = type_index(df, weight_basis, index_kind, order_col, unique_months, type_weights)
     return store_index(types, index_kind, label)

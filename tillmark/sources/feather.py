@@ -1,0 +1,275 @@
+"""Feather (Arrow IPC file) source and sink for ``spark.read`` / ``df.write``.
+
+Call :func:`register_feather` once per session, then use format ``feather``.
+
+Read options: ``path`` (file or directory), ``pathGlobFilter`` (default
+``*.feather``), ``columns`` (comma-separated, reads only these), ``fileStem``
+(name of an extra text column with the file name up to its first dot).
+Write option: ``fileBy`` (a column; one file per value instead of per task).
+"""
+
+from __future__ import annotations
+
+import fnmatch
+import posixpath
+import sys
+import uuid
+from collections.abc import Iterator
+from dataclasses import dataclass
+
+import pyarrow as pa
+import pyarrow.compute as pc
+import pyarrow.fs as pafs
+from pyspark import cloudpickle
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.datasource import (
+    DataSource,
+    DataSourceArrowWriter,
+    DataSourceReader,
+    EqualTo,
+    Filter,
+    InputPartition,
+    WriterCommitMessage,
+)
+from pyspark.sql.pandas.types import from_arrow_schema, to_arrow_schema
+from pyspark.sql.types import StringType, StructType
+
+# Executors get this module itself, so they need not have the package installed.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+SPLIT_BYTES = 128 * 1024 * 1024
+OPEN_COST = 4 * 1024 * 1024
+
+
+def _filesystem(path: str) -> tuple[pafs.FileSystem, str]:
+    if "://" in path or path.startswith("file:"):
+        return pafs.FileSystem.from_uri(path)
+    return pafs.LocalFileSystem(), path
+
+
+def _files(path: str, pattern: str) -> list[pafs.FileInfo]:
+    fs, root = _filesystem(path)
+    info = fs.get_file_info(root)
+    if info.type == pafs.FileType.File:
+        return [info]
+    listed = fs.get_file_info(pafs.FileSelector(root, allow_not_found=True))
+    wanted = [
+        f for f in listed
+        if f.type == pafs.FileType.File and fnmatch.fnmatch(f.base_name, pattern)
+    ]
+    return sorted(wanted, key=lambda f: f.path)
+
+
+def _stem(path: str) -> str:
+    return posixpath.basename(path.replace("\\", "/")).split(".")[0]
+
+
+@dataclass
+class FileSpan:
+    """Record batches ``first`` to ``last`` (None: all of them) of one file."""
+
+    path: str
+    first: int
+    last: int | None
+
+
+@dataclass
+class FeatherPartition(InputPartition):
+    spans: list[FileSpan]
+
+
+class FeatherSource(DataSource):
+    @classmethod
+    def name(cls) -> str:
+        return "feather"
+
+    def _paths(self) -> list[pafs.FileInfo]:
+        files = _files(self.options["path"], self.options.get("pathGlobFilter", "*.feather"))
+        if not files:
+            raise RuntimeError(f"No Feather files found in: {self.options['path']}")
+        return files
+
+    def _columns(self) -> list[str] | None:
+        text = self.options.get("columns")
+        return [c.strip() for c in text.split(",")] if text else None
+
+    def schema(self) -> StructType:
+        """Schema of the first file; pass ``.schema(...)`` when files differ."""
+        fs, _ = _filesystem(self.options["path"])
+        with fs.open_input_file(self._paths()[0].path) as source:
+            arrow = pa.ipc.open_file(source).schema.remove_metadata()
+        columns = self._columns()
+        if columns:
+            arrow = pa.schema([arrow.field(c) for c in columns])
+        schema = from_arrow_schema(arrow)
+        stem = self.options.get("fileStem")
+        return schema.add(stem, StringType()) if stem else schema
+
+    def reader(self, schema: StructType) -> FeatherReader:
+        return FeatherReader(
+            self.options["path"], self._paths(), schema, self.options.get("fileStem")
+        )
+
+    def writer(self, schema: StructType, overwrite: bool) -> FeatherWriter:
+        return FeatherWriter(self.options["path"], overwrite, self.options.get("fileBy"))
+
+
+class FeatherReader(DataSourceReader):
+    def __init__(
+        self, root: str, files: list[pafs.FileInfo], schema: StructType, stem: str | None
+    ) -> None:
+        self.root = root
+        self.files = [(f.path, f.size) for f in files]
+        self.arrow = to_arrow_schema(schema)
+        self.stem = stem
+        self.equal: list[tuple[str, object]] = []
+
+    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
+        """Takes column = literal; the rest is left to Spark."""
+        for f in filters:
+            if isinstance(f, EqualTo) and len(f.attribute) == 1 and f.attribute[0] != self.stem:
+                self.equal.append((f.attribute[0], f.value))
+            else:
+                yield f
+
+    def partitions(self) -> list[FeatherPartition]:
+        """Pack small files together and cut large ones at record batches."""
+        fs, _ = _filesystem(self.root)
+        packed: list[FeatherPartition] = []
+        spans: list[FileSpan] = []
+        weight = 0
+        for path, size in self.files:
+            if size > SPLIT_BYTES:
+                with fs.open_input_file(path) as source:
+                    batches = pa.ipc.open_file(source).num_record_batches
+                pieces = min(batches, -(-size // SPLIT_BYTES)) or 1
+                cuts = [batches * i // pieces for i in range(pieces + 1)]
+                packed += [
+                    FeatherPartition([FileSpan(path, a, b)]) for a, b in zip(cuts, cuts[1:])
+                ]
+                continue
+            if spans and weight + size > SPLIT_BYTES:
+                packed.append(FeatherPartition(spans))
+                spans, weight = [], 0
+            spans.append(FileSpan(path, 0, None))
+            weight += size + OPEN_COST
+        return packed + ([FeatherPartition(spans)] if spans else [])
+
+    def read(self, partition: FeatherPartition) -> Iterator[pa.RecordBatch]:
+        fs, _ = _filesystem(self.root)
+        for span in partition.spans:
+            with fs.open_input_file(span.path) as source:
+                names = pa.ipc.open_file(source).schema.names
+                wanted = [n for n in self.arrow.names if n in names]
+                options = pa.ipc.IpcReadOptions(included_fields=[names.index(n) for n in wanted])
+                file = pa.ipc.open_file(source, options=options)
+                last = file.num_record_batches if span.last is None else span.last
+                for i in range(span.first, last):
+                    yield self._shape(file.get_batch(i), span.path)
+
+    def _shape(self, batch: pa.RecordBatch, path: str) -> pa.RecordBatch:
+        """Columns of the declared schema, in order and type; absent ones are null."""
+        for name, value in self.equal:
+            if name in batch.schema.names:
+                batch = batch.filter(pc.equal(batch.column(name), value))
+        columns = []
+        for field in self.arrow:
+            if field.name == self.stem:
+                columns.append(pa.array([_stem(path)] * batch.num_rows, pa.string()))
+            elif field.name in batch.schema.names:
+                columns.append(batch.column(field.name).cast(field.type))
+            else:
+                columns.append(pa.nulls(batch.num_rows, field.type))
+        return pa.RecordBatch.from_arrays(columns, schema=self.arrow)
+
+
+@dataclass
+class WrittenFiles(WriterCommitMessage):
+    names: list[tuple[str, str]]
+
+
+class FeatherWriter(DataSourceArrowWriter):
+    """Tasks write under a staging folder; the commit moves the files in place."""
+
+    def __init__(self, path: str, overwrite: bool, file_by: str | None) -> None:
+        self.path, self.overwrite, self.file_by = path, overwrite, file_by
+        self.staging = f"_staging-{uuid.uuid4().hex}"
+
+    def write(self, iterator: Iterator[pa.RecordBatch]) -> WrittenFiles:
+        fs, root = _filesystem(self.path)
+        staging = posixpath.join(root, self.staging)
+        fs.create_dir(staging, recursive=True)
+        task = uuid.uuid4().hex
+        written: list[tuple[str, str]] = []
+        current: str | None = None
+        sink = out = None
+        try:
+            for batch in iterator:
+                for name, piece in self._pieces(batch, task):
+                    if name != current:
+                        if out is not None:
+                            out.close()
+                            sink.close()
+                        staged = posixpath.join(staging, f"{task}-{len(written)}")
+                        sink = fs.open_output_stream(staged)
+                        out = pa.ipc.new_file(
+                            sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="lz4")
+                        )
+                        written.append((staged, name))
+                        current = name
+                    out.write_batch(piece)
+        finally:
+            if out is not None:
+                out.close()
+                sink.close()
+        return WrittenFiles(written)
+
+    def _pieces(self, batch: pa.RecordBatch, task: str) -> Iterator[tuple[str, pa.RecordBatch]]:
+        """Runs of equal ``fileBy`` values; the rows of a task are sorted by it."""
+        if self.file_by is None:
+            yield f"part-{task}.feather", batch
+            return
+        if batch.num_rows == 0:
+            return
+        runs = pc.run_end_encode(batch.column(self.file_by))
+        start = 0
+        for end, value in zip(runs.run_ends.to_pylist(), runs.values.to_pylist()):
+            yield f"{value}.feather", batch.slice(start, end - start)
+            start = end
+
+    def commit(self, messages: list[WrittenFiles | None]) -> None:
+        fs, root = _filesystem(self.path)
+        fs.create_dir(root, recursive=True)
+        names = [pair for m in messages if m is not None for pair in m.names]
+        targets = [name for _, name in names]
+        if len(set(targets)) != len(targets):
+            raise ValueError("a fileBy value was written by two tasks: partition and sort by it")
+        if self.overwrite:
+            for old in _files(self.path, "*.feather"):
+                fs.delete_file(old.path)
+        for staged, name in names:
+            fs.move(staged, posixpath.join(root, name))
+        self._drop_staging(fs, root)
+
+    def abort(self, messages: list[WrittenFiles | None]) -> None:
+        fs, root = _filesystem(self.path)
+        self._drop_staging(fs, root)
+
+    def _drop_staging(self, fs: pafs.FileSystem, root: str) -> None:
+        staging = posixpath.join(root, self.staging)
+        if fs.get_file_info(staging).type == pafs.FileType.Directory:
+            fs.delete_dir(staging)
+
+
+def register_feather(spark: SparkSession) -> None:
+    spark.dataSource.register(FeatherSource)
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+
+
+def write_feather_per_store(df: DataFrame, path: str, key: str = "store_id") -> None:
+    """One ``<key>.feather`` file per store.
+
+    Meant for index tables, where a store has at most one row per month.
+    """
+    placed = df.repartition(key).sortWithinPartitions(key)
+    placed.write.format("feather").mode("overwrite").option("fileBy", key).save(path)

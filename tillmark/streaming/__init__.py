@@ -1,0 +1 @@
+"""No streaming operators: every job of this package reads whole tables in batch."""
