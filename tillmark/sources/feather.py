@@ -6,6 +6,10 @@ Read options: ``path`` (file or directory), ``pathGlobFilter`` (default
 ``*.feather``), ``columns`` (comma-separated, reads only these), ``fileStem``
 (name of an extra text column with the file name up to its first dot).
 Write option: ``fileBy`` (a column; one file per value instead of per task).
+
+The reader takes no filters on purpose: Spark 4.1 shares a Python reader between
+two scans of one DataFrame, so a filter pushed into one would also reach the
+other (a table joined to a list of its own keys would lose rows).
 """
 
 from __future__ import annotations
@@ -26,8 +30,6 @@ from pyspark.sql.datasource import (
     DataSource,
     DataSourceArrowWriter,
     DataSourceReader,
-    EqualTo,
-    Filter,
     InputPartition,
     WriterCommitMessage,
 )
@@ -122,15 +124,6 @@ class FeatherReader(DataSourceReader):
         self.files = [(f.path, f.size) for f in files]
         self.arrow = to_arrow_schema(schema)
         self.stem = stem
-        self.equal: list[tuple[str, object]] = []
-
-    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
-        """Takes column = literal; the rest is left to Spark."""
-        for f in filters:
-            if isinstance(f, EqualTo) and len(f.attribute) == 1 and f.attribute[0] != self.stem:
-                self.equal.append((f.attribute[0], f.value))
-            else:
-                yield f
 
     def partitions(self) -> list[FeatherPartition]:
         """Pack small files together and cut large ones at record batches."""
@@ -169,9 +162,6 @@ class FeatherReader(DataSourceReader):
 
     def _shape(self, batch: pa.RecordBatch, path: str) -> pa.RecordBatch:
         """Columns of the declared schema, in order and type; absent ones are null."""
-        for name, value in self.equal:
-            if name in batch.schema.names:
-                batch = batch.filter(pc.equal(batch.column(name), value))
         columns = []
         for field in self.arrow:
             if field.name == self.stem:
@@ -263,7 +253,6 @@ class FeatherWriter(DataSourceArrowWriter):
 
 def register_feather(spark: SparkSession) -> None:
     spark.dataSource.register(FeatherSource)
-    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
 
 
 def write_feather_per_store(df: DataFrame, path: str, key: str = "store_id") -> None:
