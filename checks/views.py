@@ -32,6 +32,9 @@ def _sales(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = table(spark, sf_dir, "part").select("p_partkey", F.col("p_brand").alias("gtin"))
     # price after discount in units of 1/10000: whole numbers, so any sum is exact
     amount = F.rint(F.col("l_extendedprice") * 100) * (100 - F.rint(F.col("l_discount") * 100))
+    # orders by (order, line, part) in one number that cannot overflow
+    line_no = F.col("l_orderkey").cast("decimal(19,0)") * 8 + F.col("l_linenumber")
+    row_no = (line_no * F.lit(10**12).cast("decimal(13,0)") + F.col("l_partkey")).cast("decimal(38,0)")
     line = line.select(
         "l_partkey",
         F.col("l_suppkey").alias("store_id"),
@@ -41,7 +44,7 @@ def _sales(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("l_quantity").alias("quantity"),
         amount.alias("amount"),
         (F.col("l_discount") > 0).alias("discounted"),
-        F.struct("l_orderkey", "l_linenumber", "l_partkey").alias("row_no"),
+        row_no.alias("row_no"),
     )
     return line.join(part, F.col("l_partkey") == F.col("p_partkey"))
 

@@ -77,47 +77,56 @@ class Contract:
             ]
         )
 
-    def violations(self, df: DataFrame) -> DataFrame:
-        """One row per rule (contract, column, rule, violations), zeros included."""
+    def rule_counts(self, df: DataFrame, rows: Column | None = None) -> Column:
+        """Aggregate: array of (column, rule, violations), zeros included.
+
+        ``rows`` restricts the check to some rows.  Uniqueness is not part of it.
+        """
         types = dict(df.dtypes)
-        rules = [
-            (f.name, rule, F.count_if(F.coalesce(test, F.lit(False))))
+        wanted = F.lit(True) if rows is None else rows
+        counts = [
+            (f.name, rule, F.count_if(F.coalesce(wanted & test, F.lit(False))))
             for f in self.fields
             if f.name in types
             for rule, test in f.broken(types[f.name])
         ]
-        rules += [(c, rule, F.lit(1).cast("long")) for c, rule in self.structure(df)]
-
-        def row(column: str, rule: str, count: Column) -> Column:
-            return F.struct(
-                F.lit(self.name).alias("contract"),
-                F.lit(column).alias("column"),
-                F.lit(rule).alias("rule"),
-                count.alias("violations"),
-            )
+        counts += [(c, rule, F.lit(1).cast("long")) for c, rule in self.structure(df)]
+        return F.array(*[_rule(*r) for r in counts])
 
+    def violations(self, df: DataFrame) -> DataFrame:
+        """One row per rule (contract, column, rule, violations), zeros included."""
         # the row count keeps this an aggregation even when no rule counts rows
-        counts = df.agg(
-            F.count(F.lit(1)).alias("__rows"), F.array(*[row(*r) for r in rules]).alias("__rules")
-        )
-        result = counts.select(F.inline("__rules"))
-        if self.key and all(k in types for k in self.key):
+        counted = df.agg(F.count(F.lit(1)).alias("__rows"), self.rule_counts(df).alias("__rules"))
+        result = counted.select(F.lit(self.name).alias("contract"), F.inline("__rules"))
+        if self.key and all(k in df.columns for k in self.key):
             surplus = duplicate_keys(df, self.key).agg(
                 F.coalesce(F.sum(F.col("row_count") - 1), F.lit(0)).alias("__n")
             )
-            key_row = row(",".join(self.key), "unique", F.col("__n"))
-            result = result.unionByName(surplus.select(F.inline(F.array(key_row))))
+            unique = F.array(_rule(",".join(self.key), "unique", F.col("__n")))
+            result = result.unionByName(
+                surplus.select(F.lit(self.name).alias("contract"), F.inline(unique))
+            )
         return result
 
-    def enforce(self, df: DataFrame) -> DataFrame:
-        """The coerced table, or :class:`ContractError` if any rule is broken."""
-        found = self.violations(df).filter(F.col("violations") > 0).collect()
+    def fail_on(self, violations: DataFrame) -> None:
+        """Raise if a table of (column, rule, violations) has a count above zero."""
+        found = violations.filter(F.col("violations") > 0).collect()
         if found:
             text = "; ".join(f"{r['column']}: {r['rule']} x{r['violations']}" for r in found)
             raise ContractError(f"{self.name}: {text}")
+
+    def enforce(self, df: DataFrame) -> DataFrame:
+        """The coerced table, or :class:`ContractError` if any rule is broken."""
+        self.fail_on(self.violations(df))
         return self.coerce(df)
 
 
+def _rule(column: str, rule: str, count: Column) -> Column:
+    return F.struct(
+        F.lit(column).alias("column"), F.lit(rule).alias("rule"), count.alias("violations")
+    )
+
+
 # The input table's columns (types after lower-casing names).
 _REQUIRED = {
     "store_id": "bigint",

@@ -45,23 +45,26 @@ def value_lags(
             out_lag_value_col, F.when(F.col("month_diff") == 1, previous)
         )
 
+    value = F.col(out_value_col)
     if order_col is None:
         # identical rows become one row with a count, expanded again at the end
         rows = rows.groupBy(*rows.columns).agg(F.count(F.lit(1)).alias("__copies"))
         rest = [c for c in df.columns if c not in (*SERIES, "date", value_col)]
-        key = F.struct(F.col(out_value_col).alias("value"), *rest)
+        key = F.struct(value.alias("value"), *rest)
+        closing = F.max(key)["value"]
     else:
         rows = rows.withColumn("__copies", F.lit(1).cast("long"))
-        key = F.struct(order_col, F.col(out_value_col).alias("value"))
+        key = F.col(order_col)
+        closing = F.max_by(value, key)
 
     month = [*SERIES, "date"]
-    months = rows.groupBy(*month).agg(F.min(key).alias("__open"), F.max(key).alias("__close"))
+    months = rows.groupBy(*month).agg(F.min(key).alias("__open"), closing.alias("__close"))
     number_of_month = month_number(F.col("date"))
     months = months.select(
         *month,
         "__open",
         (number_of_month - F.lag(number_of_month).over(series)).alias("__gap"),
-        F.lag("__close.value").over(series).alias("__previous"),
+        F.lag("__close").over(series).alias("__previous"),
     )
     joined = rows.join(months, month, "left").withColumn(
         "__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies")))

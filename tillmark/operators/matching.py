@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import DataFrame, functions as F
 
 from tillmark.functions.similarity import similarity_score, sorted_ratio, token_sorted
@@ -63,37 +61,46 @@ def candidate_columns(suffixes: tuple[str, str] = SUFFIXES) -> list[str]:
     ]
 
 
-def zip_candidates(
-    stores: DataFrame,
-    letters: DataFrame,
-    suffixes: tuple[str, str] = SUFFIXES,
-    also: tuple[Sequence[str], Sequence[str]] = ((), ()),
-) -> DataFrame:
-    """Every store with the letters of its ZIP; stores without letters are kept.
-
-    Both sides are cut to the columns needed before the join.  There is no
-    broadcast hint: Spark broadcasts the letters only while their measured size
-    is small, and beyond that AQE splits the stores of a crowded ZIP.  ``also``
-    names extra columns of either side to carry along.
-    """
-    ours, theirs = suffixes
-    left = stores.select(
+def _store_side(stores: DataFrame, suffix: str) -> DataFrame:
+    return stores.select(
         "zip_code",
         "store_id",
-        F.col("address").alias(f"address{ours}"),
-        F.col("store_name").alias(f"store_name{ours}"),
-        f"store_chain_name{ours}",
-        *also[0],
+        F.col("address").alias(f"address{suffix}"),
+        F.col("store_name").alias(f"store_name{suffix}"),
+        f"store_chain_name{suffix}",
     )
-    right = letters.select(
+
+
+def _letter_side(letters: DataFrame, suffix: str) -> DataFrame:
+    return letters.select(
         "zip_code",
-        F.col("address").alias(f"address{theirs}"),
-        F.col("store_name").alias(f"store_name{theirs}"),
+        F.col("address").alias(f"address{suffix}"),
+        F.col("store_name").alias(f"store_name{suffix}"),
         *LETTER_DATES,
-        *also[1],
     )
-    joined = left.join(right, "zip_code", "left")
-    return joined.select(*candidate_columns(suffixes), *also[0], *also[1])
+
+
+def _without_letters(ours: DataFrame, theirs: DataFrame) -> DataFrame:
+    """Stores whose ZIP has no letter, with the letter columns missing."""
+    alone = ours.join(theirs.select("zip_code").distinct(), "zip_code", "left_anti")
+    absent = {c: t for c, t in theirs.dtypes if c not in ours.columns}
+    return alone.withColumns({c: F.lit(None).cast(t) for c, t in absent.items()})
+
+
+def zip_candidates(
+    stores: DataFrame, letters: DataFrame, suffixes: tuple[str, str] = SUFFIXES
+) -> DataFrame:
+    """Every store with the letters of its ZIP; stores without letters are kept.
+
+    The outer join is stated as an inner join plus the stores left over: AQE can
+    split a crowded ZIP of an inner join on either side, but only the stores of
+    an outer one.  Both sides are cut to the needed columns first.  There is no
+    broadcast hint; Spark broadcasts the letters only while their size is small.
+    """
+    ours, theirs = _store_side(stores, suffixes[0]), _letter_side(letters, suffixes[1])
+    matched = ours.join(theirs, "zip_code")
+    pairs = matched.unionByName(_without_letters(ours, theirs))
+    return pairs.select(*candidate_columns(suffixes))
 
 
 def score_candidates(candidates: DataFrame, suffixes: tuple[str, str] = SUFFIXES) -> DataFrame:
@@ -108,21 +115,23 @@ def match_candidates(
     """ZIP candidates with clean addresses and scores, from prepared inputs.
 
     Addresses are cleaned and token-sorted once per store and once per letter,
-    before the join multiplies them.
+    before the join multiplies them.  The join is that of :func:`zip_candidates`.
     """
+    ours, theirs = _store_side(stores, suffixes[0]), _letter_side(letters, suffixes[1])
+    a, b = (f"address{s}" for s in suffixes)
 
-    def ready(df: DataFrame, words: str) -> DataFrame:
-        clean = df.withColumn("address", normalise_address(F.col("address")))
-        return clean.withColumn(words, token_sorted(F.col("address")))
+    def clean(df: DataFrame, address: str) -> DataFrame:
+        return df.withColumn(address, normalise_address(F.col(address)))
 
-    pairs = zip_candidates(
-        ready(stores, "__words_a"),
-        ready(letters, "__words_b"),
-        suffixes,
-        also=(["__words_a"], ["__words_b"]),
-    )
-    score = sorted_ratio(F.col("__words_a"), F.col("__words_b"))
-    return pairs.select(*candidate_columns(suffixes), score.alias("similarity_score"))
+    def words(df: DataFrame, address: str) -> DataFrame:
+        return df.withColumn(f"__{address}", token_sorted(F.col(address)))
+
+    pairs = words(clean(ours, a), a).join(words(clean(theirs, b), b), "zip_code")
+    score = sorted_ratio(F.col(f"__{a}"), F.col(f"__{b}"))
+    scored = pairs.select(*candidate_columns(suffixes), score.alias("similarity_score"))
+    alone = clean(_without_letters(ours, theirs), a)
+    unscored = alone.withColumn("similarity_score", F.lit(None).cast("int"))
+    return scored.unionByName(unscored.select(*scored.columns))
 
 
 def rank_candidates(scored: DataFrame) -> DataFrame:

@@ -7,11 +7,15 @@ reach the Parquet scan and unused columns are never read.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from typing import TYPE_CHECKING
 
 from pyspark.sql import DataFrame, functions as F
 
 from tillmark.functions.calendar import DEFAULT_FISCAL_CALENDAR, FiscalCalendar, month_start
 
+if TYPE_CHECKING:
+    from tillmark.operators.contracts import Contract
+
 # The scan type that identifies a product, the default subcategory.
 PRODUCT_SCAN_TYPE = "GTIN"
 DEFAULT_SUBCATEGORY = "Vaping Products"
@@ -83,19 +87,32 @@ def store_status(
     raw: DataFrame,
     subcategory: str = DEFAULT_SUBCATEGORY,
     scan_type: str = PRODUCT_SCAN_TYPE,
+    contract: Contract | None = None,
 ) -> DataFrame:
-    """One row per store: was it processed, or why was it skipped."""
+    """One row per store: was it processed, or why was it skipped.
+
+    ``contract`` adds ``checks``, the contract's rule counts over the store's
+    product rows, taken in the same pass.
+    """
     raw = lower_columns(raw)
     is_product = F.coalesce(F.col("scan_type") == scan_type, F.lit(False))
     is_kept = is_product & F.coalesce(F.col("subcategory") == subcategory, F.lit(False))
-    counted = raw.groupBy("store_id").agg(
+    counts = [
         F.count(F.lit(1)).alias("rows_read"),
         F.count_if(is_product).alias("product_rows"),
         F.count_if(is_kept).alias("subcategory_rows"),
-    )
+    ]
+    if contract is not None:
+        counts.append(contract.rule_counts(raw, is_product).alias("checks"))
     status = (
         F.when(F.col("product_rows") == 0, "no_gtin")
         .when(F.col("subcategory_rows") == 0, "no_subcategory")
         .otherwise("processed")
     )
-    return counted.withColumn("status", status)
+    return raw.groupBy("store_id").agg(*counts).withColumn("status", status)
+
+
+def total_violations(status: DataFrame) -> DataFrame:
+    """Rule counts of all stores together: column, rule, violations."""
+    rules = status.select(F.inline("checks"))
+    return rules.groupBy("column", "rule").agg(F.sum("violations").alias("violations"))

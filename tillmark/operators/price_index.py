@@ -27,7 +27,13 @@ from tillmark.functions.numeric import finite_positive, ieee_div, ieee_pow, numb
 from tillmark.operators.joins import null_safe_left_join
 from tillmark.operators.lags import SERIES
 from tillmark.operators.prepare import period_column, require_columns, value_column
-from tillmark.operators.weights import REVENUE, product_keys, type_keys, type_weight_table
+from tillmark.operators.weights import (
+    REVENUE,
+    product_keys,
+    revenue_total,
+    type_keys,
+    type_weight_table,
+)
 
 # Fixed value: the prefix of the index columns.
 DEFAULT_LABEL = "vape"
@@ -43,21 +49,27 @@ def index_columns(index_kind: str, label: str = DEFAULT_LABEL) -> tuple[str, str
 def _product_months(
     df: DataFrame, value_col: str, period: str, order_col: str | None, unique_months: bool
 ) -> DataFrame:
-    """One row per store, product, type and month with its revenue and end values."""
-    value = number(F.col(value_col)).alias("value")
-    key = F.struct(value) if order_col is None else F.struct(F.col(order_col).alias("at"), value)
+    """One row per store, product, type and month with its revenue and end values.
+
+    ``opens_at`` and ``closes_at`` place the row among those of its month.  With
+    a plain ``order_col`` all buffers are fixed-width, so the aggregation hashes.
+    """
+    value = number(F.col(value_col))
     groups = [*product_keys(period), "date"]
     if unique_months:
-        return df.select(
-            *groups,
-            F.coalesce(number(F.col(REVENUE)), F.lit(0.0)).alias("revenue"),
-            key.alias("opening"),
-            key.alias("closing"),
-        )
+        revenue = F.coalesce(number(F.col(REVENUE)), F.lit(0.0))
+        ends = [value.alias(c) for c in ("opening", "closing", "opens_at", "closes_at")]
+        return df.select(*groups, revenue.alias("revenue"), *ends)
+    if order_col is None:
+        # rows of a month in order of value, unknown values first
+        first = F.when(F.count_if(value.isNull()) == 0, F.min(value))
+        ends = [first, F.max(value), first, F.max(value)]
+    else:
+        at = F.col(order_col)
+        ends = [F.min_by(value, at), F.max_by(value, at), F.min(at), F.max(at)]
+    names = ("opening", "closing", "opens_at", "closes_at")
     return df.groupBy(*groups).agg(
-        F.coalesce(F.sum(number(F.col(REVENUE))), F.lit(0.0)).alias("revenue"),
-        F.min(key).alias("opening"),
-        F.max(key).alias("closing"),
+        revenue_total().alias("revenue"), *[e.alias(n) for e, n in zip(ends, names)]
     )
 
 
@@ -69,19 +81,20 @@ def _ratios(months: DataFrame, period: str, unique_months: bool) -> DataFrame:
     if unique_months:
         in_order = series.orderBy("month_no")
         follows = F.lag("month_no").over(in_order) == F.col("month_no") - 1
-        previous = F.when(follows, F.lag("closing.value").over(in_order))
+        previous = F.when(follows, F.lag("closing").over(in_order))
     else:
         # a product sold under two types has two rows in a month: only the
         # month's first row has a lag, taken from the previous month's last row
-        in_order = series.orderBy("month_no", "opening", "subcategory", "product_type")
+        in_order = series.orderBy("month_no", "opens_at", "subcategory", "product_type")
         before = F.lag("month_no").over(in_order)
         opens = before.isNull() | (before < F.col("month_no"))
         last_month = series.orderBy("month_no").rangeBetween(-1, -1)
-        previous = F.when(opens, F.max("closing").over(last_month)["value"])
+        last_row = F.max(F.struct("closes_at", "closing")).over(last_month)
+        previous = F.when(opens, last_row["closing"])
     return months.select(
         *product_keys(period),
         "date",
-        F.try_divide(F.col("opening.value"), F.when(named, previous)).alias("ratio"),
+        F.try_divide(F.col("opening"), F.when(named, previous)).alias("ratio"),
         F.sum("revenue").over(Window.partitionBy(*product_keys(period))).alias("product_revenue"),
     )
 

@@ -60,23 +60,25 @@ def index_job(
 ) -> DataFrame:
     """Raw store rows to the validated index panel of all stores.
 
-    Writes below ``out_dir``: ``store_status``, ``type_weights/<name>``,
-    ``index/<name>``, ``index_panels/<name>``, with ``per_store`` also
-    ``store_<name>``, and with ``contract="report"`` also ``violations/<name>``.
+    Writes below ``out_dir``: ``store_status`` (with the contract's rule counts per
+    store, taken in the same scan), ``type_weights/<name>``, ``index/<name>``,
+    ``index_panels/<name>``, and with ``per_store`` also ``store_<name>``.
+    ``contract="report"`` counts violations without stopping for them.
     """
     name = output_name(index_kind, weight_basis, label)
     if contract not in CONTRACT_MODES:
         raise ValueError(f"contract must be one of {CONTRACT_MODES}")
     tune(spark)
     raw = prepare.limit_stores(prepare.lower_columns(raw), limit)
-    write_table(prepare.store_status(raw, subcategory), f"{out_dir}/store_status")
-
     rows = prepare.prepare_store(raw, calendar)
-    if contract == "report":
-        write_table(STORE_CONTRACT.violations(rows), f"{out_dir}/violations/{name}")
+    if contract == "skip":
+        write_table(prepare.store_status(raw, subcategory), f"{out_dir}/store_status")
+    else:
+        checked = prepare.store_status(raw, subcategory, contract=STORE_CONTRACT)
+        status = write_table(checked, f"{out_dir}/store_status")
+        if contract == "enforce":
+            STORE_CONTRACT.fail_on(prepare.total_violations(status))
         rows = STORE_CONTRACT.coerce(rows)
-    elif contract == "enforce":
-        rows = STORE_CONTRACT.enforce(rows)
     rows = prepare.filter_subcategory(rows, subcategory)
 
     weights = write_table(

@@ -7,12 +7,14 @@ import os
 from pyspark.sql import SparkSession
 
 # Runtime settings, valid on any cluster.  AQE does three things here: it
-# coalesces small shuffle partitions, splits a hot key of a join, and turns a
-# join into a broadcast once the other side has been measured to be small.
+# coalesces small shuffle partitions, splits a hot key of a join, and replaces a
+# sort-merge join once the other side has been measured: by a broadcast if the
+# whole side is small, by a hash join if each of its partitions is.
 RUNTIME_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.autoBroadcastJoinThreshold": "64MB",
+    "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold": "64MB",
     "spark.sql.session.timeZone": "UTC",
 }
 
