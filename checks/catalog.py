@@ -25,8 +25,35 @@ VALUE = prepare.VALUE_COLUMNS
 
 @dataclass(frozen=True)
 class Entry:
+    """A query and its SQL.
+
+    ``dates`` are handed over as ISO text and ``gaps`` (integers with missing
+    values) as doubles on both sides, so that either engine yields the same
+    Python values whichever way its rows are fetched.
+    """
+
     run: Query
     oracle: str | None = None
+    dates: tuple[str, ...] = ()
+    gaps: tuple[str, ...] = ()
+
+    def neutral(self) -> Entry:
+        casts = {c: "string" for c in self.dates} | {c: "double" for c in self.gaps}
+        if not casts:
+            return self
+
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            df = self.run(spark, sf_dir)
+            return df.withColumns({c: F.col(c).cast(t) for c, t in casts.items()})
+
+        names = {"string": "VARCHAR", "double": "DOUBLE"}
+        replaced = ", ".join(f"CAST({c} AS {names[t]}) AS {c}" for c, t in casts.items())
+        return Entry(run, f"SELECT * REPLACE ({replaced}) FROM ({self.oracle})")
+
+
+DATE = ("date",)
+FISCAL_YEAR = ("fiscal_year",)
+LETTER_DATES = matching.LETTER_DATES
 
 
 def _r6(name: str) -> Column:
@@ -62,6 +89,7 @@ def _index(kind: str, basis: str, lines: bool = False) -> Entry:
         run,
         f"{text} SELECT store_id, date, round(level, 6) AS {level},"
         f" round(log_level, 6) AS {log} FROM store_index",
+        DATE,
     )
 
 
@@ -76,6 +104,7 @@ def _type_index() -> Entry:
         sql.index_ctes("unit_value_q", "calendar_year")
         + " SELECT store_id, subcategory, product_type, date, round(type_index, 6) AS type_index,"
         " round(stage_2_weight, 6) AS stage_2_weight FROM type_index",
+        DATE,
     )
 
 
@@ -100,6 +129,8 @@ def _value_lags(lines: bool = False) -> Entry:
     return Entry(
         run,
         f"{text} SELECT {', '.join(columns)}, value, lag_value FROM lagged",
+        DATE,
+        ("month_diff",),
     )
 
 
@@ -123,6 +154,7 @@ def _revenues() -> dict[str, Entry]:
             run,
             f"{head} SELECT {keys[level]}, period AS {period}, round({amount}, 6) AS {amount}"
             f" FROM {level}_revenue",
+            gaps=FISCAL_YEAR,
         )
 
     return {f"revenue_{level}": entry(level) for level in keys}
@@ -166,11 +198,14 @@ def _joined_weights() -> dict[str, Entry]:
             " ON k.store_id = s.store_id AND k.subcategory = s.subcategory AND k.gtin = s.gtin"
             " AND k.product_type IS NOT DISTINCT FROM s.product_type"
             f" AND k.{period} IS NOT DISTINCT FROM s.period",
+            DATE,
+            FISCAL_YEAR,
         ),
         "stage2_weights_joined": Entry(
             stage_2,
             f"{head} SELECT store_id, product_type, period AS {period},"
             " round(stage_2_weight, 6) AS stage_2_weight FROM stage_2",
+            gaps=FISCAL_YEAR,
         ),
         "stage2_weights_on_type_index": Entry(
             on_index,
@@ -178,6 +213,8 @@ def _joined_weights() -> dict[str, Entry]:
             + f" SELECT t.store_id, t.product_type, t.date, d.{period},"
             " round(t.type_index, 6) AS type_index, round(t.stage_2_weight, 6) AS stage_2_weight"
             f" FROM type_index t LEFT JOIN (SELECT DISTINCT date, {period} FROM kept) d USING (date)",
+            DATE,
+            FISCAL_YEAR,
         ),
     }
 
@@ -187,7 +224,7 @@ def _month_periods() -> Entry:
         return weights.period_of_month(_kept(spark, sf_dir), "fiscal_year")
 
     head = "WITH" + ",".join([sql.SCANNER, sql.PREPARED])
-    return Entry(run, f"{head} SELECT DISTINCT date, fiscal_year FROM kept")
+    return Entry(run, f"{head} SELECT DISTINCT date, fiscal_year FROM kept", DATE, FISCAL_YEAR)
 
 
 def _fiscal_year() -> Entry:
@@ -205,6 +242,8 @@ def _fiscal_year() -> Entry:
         " CAST(date_trunc('month', l_shipdate) AS DATE) AS date,"
         " CASE WHEN l_shipdate >= DATE '1996-01-01' AND l_shipdate < DATE '2000-07-01'"
         " THEN CAST(year(l_shipdate + INTERVAL 6 MONTH) AS INTEGER) END AS fiscal_year FROM lineitem",
+        DATE,
+        FISCAL_YEAR,
     )
 
 
@@ -220,7 +259,7 @@ def _prepare_store() -> Entry:
 
     head = "WITH" + ",".join([sql.SCANNER, sql.PREPARED])
     columns = ", ".join([*plain, "transaction_count", *numbers])
-    return Entry(run, f"{head} SELECT {columns} FROM prepared")
+    return Entry(run, f"{head} SELECT {columns} FROM prepared", DATE, FISCAL_YEAR)
 
 
 def _store_counts() -> dict[str, Entry]:
@@ -344,7 +383,10 @@ def _contracts() -> dict[str, Entry]:
             " CAST(coalesce(sum(row_count - 1), 0) AS BIGINT) FROM repeated",
         ),
         "duplicate_keys": Entry(
-            duplicates, f"{index_cte} SELECT store_id, date, row_count FROM repeated"
+            duplicates,
+            f"{index_cte} SELECT store_id, date, row_count FROM repeated",
+            DATE,
+            ("store_id",),
         ),
     }
 
@@ -370,14 +412,17 @@ def _panels() -> dict[str, Entry]:
     base = f"WITH{sql.SCANNER},{sql.PREPARED}, once AS (SELECT store_id, date,"
     base += " sum(quantity) AS level FROM kept GROUP BY store_id, date)"
     return {
-        "panel_dedup": Entry(dedup, f"{base} SELECT * FROM once"),
+        "panel_dedup": Entry(dedup, f"{base} SELECT * FROM once", DATE),
         "panel_keep_first": Entry(
             first,
             f"WITH{sql.LINES},{sql.PREPARED} SELECT store_id, date,"
             " arg_min(unit_value_q, (l_orderkey, l_linenumber, l_partkey)) AS level"
             " FROM kept GROUP BY store_id, date",
+            DATE,
+        ),
+        "union_all": Entry(
+            union, f"{base} SELECT * FROM once UNION ALL SELECT * FROM once", DATE
         ),
-        "union_all": Entry(union, f"{base} SELECT * FROM once UNION ALL SELECT * FROM once"),
     }
 
 
@@ -445,6 +490,7 @@ def _matching() -> dict[str, Entry]:
         "letters_prep": Entry(
             letters,
             f"WITH{sql.STREETS},{sql.LETTERS} SELECT {', '.join(matching.LETTER_COLUMNS)} FROM letters",
+            LETTER_DATES,
         ),
         "zip_candidates": Entry(
             candidates,
@@ -452,17 +498,25 @@ def _matching() -> dict[str, Entry]:
             " s.store_name AS store_name_pdi, s.store_chain_name_pdi,"
             " l.store_name AS store_name_fda, l.insp_date, l.issue_date, s.zip_code"
             " FROM stores s LEFT JOIN letters l ON s.zip_code = l.zip_code",
+            LETTER_DATES,
         ),
         "address_similarity": Entry(
-            scored, f"{head}{ready} SELECT {CANDIDATES}, similarity_score FROM result"
+            scored,
+            f"{head}{ready} SELECT {CANDIDATES}, similarity_score FROM result",
+            LETTER_DATES,
+            ("similarity_score",),
         ),
         "similarity_ranked": Entry(
-            ranked, f"{head}{ready} SELECT {CANDIDATES}, similarity_score FROM result ORDER BY {order}"
+            ranked,
+            f"{head}{ready} SELECT {CANDIDATES}, similarity_score FROM result ORDER BY {order}",
+            LETTER_DATES,
+            ("similarity_score",),
         ),
         "similarity_top": Entry(
             top,
             f"{head}{ready} SELECT {CANDIDATES}, similarity_score FROM result"
             f" ORDER BY {order} LIMIT 10",
+            LETTER_DATES,
         ),
         "similarity_summary": Entry(
             summary,
@@ -555,8 +609,12 @@ def _treatments() -> dict[str, Entry]:
           FROM store_index i LEFT JOIN treated_months m
             ON i.store_id = m.store_id AND i.date = m.insp_date)"""
     return {
-        "treatment_months": Entry(months, f"WITH {months_cte} SELECT * FROM treated_months"),
-        "treatment_panel": Entry(shown, f"{result} SELECT * FROM treated"),
+        "treatment_months": Entry(
+            months, f"WITH {months_cte} SELECT * FROM treated_months", LETTER_DATES
+        ),
+        "treatment_panel": Entry(
+            shown, f"{result} SELECT * FROM treated", DATE + LETTER_DATES
+        ),
         "treatment_counts": Entry(
             counts,
             f"{result} SELECT count(*) AS rows, count(DISTINCT (store_id, date)) AS store_months,"
@@ -585,4 +643,4 @@ def catalog() -> dict[str, Entry]:
     entries |= _matching()
     entries |= _texts()
     entries |= _treatments()
-    return entries
+    return {name: item.neutral() for name, item in entries.items()}

@@ -116,6 +116,9 @@ def match_candidates(
 
     Addresses are cleaned and token-sorted once per store and once per letter,
     before the join multiplies them.  The join is that of :func:`zip_candidates`.
+    Scoring a pair costs far more than moving it, so pairs are dealt out evenly
+    first: a crowded ZIP is then scored by all tasks and not by those that
+    joined it.
     """
     ours, theirs = _store_side(stores, suffixes[0]), _letter_side(letters, suffixes[1])
     a, b = (f"address{s}" for s in suffixes)
@@ -127,6 +130,7 @@ def match_candidates(
         return df.withColumn(f"__{address}", token_sorted(F.col(address)))
 
     pairs = words(clean(ours, a), a).join(words(clean(theirs, b), b), "zip_code")
+    pairs = pairs.repartition(int(stores.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     score = sorted_ratio(F.col(f"__{a}"), F.col(f"__{b}"))
     scored = pairs.select(*candidate_columns(suffixes), score.alias("similarity_score"))
     alone = clean(_without_letters(ours, theirs), a)
