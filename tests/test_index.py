@@ -237,6 +237,9 @@ def test_fiscal_year_parameters(spark):
     df = spark.createDataFrame(dates, "date date")
     default = df.select(FiscalCalendar().fiscal_year(F.col("date")).alias("y")).collect()
     assert [r.y for r in default] == [None, 2022, 2023, None]
+    months = FiscalCalendar().months()
+    assert list(months) == [2022, 2023, 2024, 2025] and len(months[2022]) == 6
+    assert months[2023][0] == "2022-07" and months[2025][-1] == "2025-06"
     january = FiscalCalendar(1, dt.date(2021, 1, 1), dt.date(2025, 12, 1))
     assert [r[0] for r in df.select(january.fiscal_year(F.col("date"))).collect()] == [2021, 2022, 2022, 2025]
     with pytest.raises(ValueError):

@@ -12,6 +12,7 @@ from tests.test_index import tiny_raw
 from tests.test_matching_and_treatment import letters, stores
 from tillmark.functions.text import normalise_address
 from tillmark.operators import lags, matching, panel, prepare, price_index, treatment, weights
+from tillmark.operators.contracts import STORE_CONTRACT
 from tillmark.sources.sinks import write_table
 
 
@@ -106,8 +107,8 @@ def test_index_reads_only_its_columns(spark, rows):
 
 def test_filters_reach_the_parquet_scan(spark, tmp_path):
     raw = write_table(tiny_raw(spark), str(tmp_path / "raw"))
-    kept = prepare.filter_subcategory(prepare.prepare_store(raw)).select("store_id", "date")
-    text = formatted(kept)
+    kept = STORE_CONTRACT.coerce(prepare.filter_subcategory(prepare.prepare_store(raw)))
+    text = formatted(kept.select("store_id", "date"))
     assert "EqualTo(SCAN_TYPE,GTIN)" in text and "EqualTo(SUBCATEGORY,Vaping Products)" in text
     read = re.search(r"ReadSchema: struct<([^>]*)>", text).group(1)
     assert {c.split(":")[0] for c in read.split(",")} == {

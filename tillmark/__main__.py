@@ -24,6 +24,8 @@ def _parser() -> argparse.ArgumentParser:
     index.add_argument("--preset", choices=sorted(jobs.PRESETS))
     index.add_argument("--limit", type=int, help="only the N smallest store ids")
     index.add_argument("--contract", default="enforce", choices=jobs.CONTRACT_MODES)
+    index.add_argument("--order-column", help="row order inside a store-product-month")
+    index.add_argument("--unique-months", action="store_true", help="there is one row per month")
     index.add_argument("--per-store", action="store_true", help="also one output per store")
 
     match = commands.add_parser("match", help="letters and store master to candidate list")
@@ -59,6 +61,8 @@ def main(argv: list[str] | None = None) -> None:
             preset.weight_basis,
             limit=args.limit,
             contract=args.contract,
+            order_col=args.order_column,
+            unique_months=args.unique_months,
             per_store=args.per_store,
             fmt=args.format,
         )

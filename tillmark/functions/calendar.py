@@ -52,5 +52,14 @@ class FiscalCalendar:
         inside = date.between(F.lit(self.first), F.lit(self.last))
         return F.when(inside, F.year(F.add_months(date, shift)))
 
+    def months(self) -> dict[int, list[str]]:
+        """Fiscal year -> its months as YYYY-MM, for looking at a calendar."""
+        years: dict[int, list[str]] = {}
+        first = self.first.year * 12 + self.first.month - 1
+        for number in range(first, self.last.year * 12 + self.last.month):
+            fiscal = (number + (13 - self.start_month) % 12) // 12
+            years.setdefault(fiscal, []).append(f"{number // 12}-{number % 12 + 1:02d}")
+        return years
+
 
 DEFAULT_FISCAL_CALENDAR = FiscalCalendar()

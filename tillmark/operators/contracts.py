@@ -16,6 +16,9 @@ from tillmark.operators.panel import duplicate_keys
 from tillmark.operators.price_index import DEFAULT_LABEL, index_columns
 
 
+FLOATING = ("double", "float")
+
+
 class ContractError(ValueError):
     """A table breaks its contract; the message lists every broken rule."""
 
@@ -31,11 +34,17 @@ class Field:
     def known(self, source: str) -> Column:
         """Is there a value?  NaN counts as missing."""
         c = F.col(self.name)
-        return c.isNotNull() & ~F.isnan(c) if source in ("double", "float") else c.isNotNull()
+        return c.isNotNull() & ~F.isnan(c) if source in FLOATING else c.isNotNull()
 
     def value(self, source: str) -> Column:
-        """The column in its declared type; NULL where it cannot be converted."""
-        c = F.when(self.known(source), F.col(self.name))
+        """The column in its declared type; NULL where it cannot be converted.
+
+        A column that needs nothing stays a bare reference, so that filters on
+        it still reach the scan.
+        """
+        c = F.col(self.name)
+        if source in FLOATING:
+            c = F.when(self.known(source), c)
         return c if source == self.dtype else c.try_cast(self.dtype)
 
     def broken(self, source: str) -> Iterator[tuple[str, Column]]:

@@ -70,7 +70,7 @@ def index_job(
         raise ValueError(f"contract must be one of {CONTRACT_MODES}")
     tune(spark)
     raw = prepare.limit_stores(prepare.lower_columns(raw), limit)
-    rows = prepare.prepare_store(raw, calendar)
+    rows = prepare.filter_subcategory(prepare.prepare_store(raw, calendar), subcategory)
     if contract == "skip":
         write_table(prepare.store_status(raw, subcategory), f"{out_dir}/store_status")
     else:
@@ -79,7 +79,6 @@ def index_job(
         if contract == "enforce":
             STORE_CONTRACT.fail_on(prepare.total_violations(status))
         rows = STORE_CONTRACT.coerce(rows)
-    rows = prepare.filter_subcategory(rows, subcategory)
 
     weights = write_table(
         type_weight_table(rows, prepare.period_column(weight_basis)),
