@@ -108,14 +108,14 @@ def _type_index() -> Entry:
     )
 
 
-def _value_lags(lines: bool = False) -> Entry:
+def _value_lags(lines: bool = False, unique: bool = False) -> Entry:
     columns = ["store_id", "gtin", "date", "month_diff"]
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         if lines:
             df = lags.value_lags(_kept_lines(spark, sf_dir), "unit_value_q", order_col="row_no")
         else:
-            df = lags.value_lags(_kept(spark, sf_dir), "unit_value_q")
+            df = lags.value_lags(_kept(spark, sf_dir), "unit_value_q", unique_months=unique)
         return df.select(*columns, "value", "lag_value")
 
     order = ", l_orderkey, l_linenumber, l_partkey" if lines else ""
@@ -630,7 +630,8 @@ def catalog() -> dict[str, Entry]:
     }
     entries["index_price_calendar_lines"] = _index("price", "calendar", lines=True)
     entries["type_index"] = _type_index()
-    entries["value_lags"] = _value_lags()
+    entries["value_lags"] = _value_lags(unique=True)
+    entries["value_lags_combined"] = _value_lags()
     entries["value_lags_lines"] = _value_lags(lines=True)
     entries |= _revenues()
     entries |= _joined_weights()

@@ -284,7 +284,8 @@ search(top_a, top_b, a, b, hit) AS (
 ),
 scored AS (
   SELECT top_a, top_b,
-         CAST(round_even(200.0 * coalesce(sum(hit.k), 0) / (length(top_a) + length(top_b)), 0)
+         CAST(round_even(100 * (2 * CAST(coalesce(sum(hit.k), 0) AS DOUBLE)
+                                / CAST(length(top_a) + length(top_b) AS DOUBLE)), 0)
               AS INTEGER) AS score
   FROM search GROUP BY top_a, top_b
 )"""
