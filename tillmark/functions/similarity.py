@@ -10,8 +10,9 @@ from __future__ import annotations
 
 import sys
 from difflib import SequenceMatcher
+from operator import itemgetter
 
-import pandas as pd
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column, functions as F, types as T
 
@@ -25,26 +26,28 @@ def token_sorted(c: Column) -> Column:
     return F.array_join(F.array_sort(words), " ")
 
 
-def block_ratios(a: pd.Series, b: pd.Series) -> pd.Series:
+def block_ratios(a: pa.Array, b: pa.Array) -> pa.Array:
     """Scores of aligned pairs; a pair repeated in the batch is matched once.
 
     Pairs are visited by their second text, whose character index the matcher
     then reuses.
     """
-    pairs = pd.DataFrame({"a": a, "b": b}).dropna().drop_duplicates()
-    scores: dict[tuple[str, str], int] = {}
+    pairs = list(zip(a.to_pylist(), b.to_pylist()))
+    scores: dict[tuple[str | None, str | None], int | None] = dict.fromkeys(pairs)
     matcher = SequenceMatcher(None)
-    for right, group in pairs.groupby("b", sort=False)["a"]:
-        matcher.set_seq2(right)
-        for left in group:
-            matcher.set_seq1(left)
-            scores[left, right] = int(round(100 * matcher.ratio()))
-    return pd.Series([scores.get(pair) for pair in zip(a, b)], index=a.index, dtype="Int32")
+    indexed = None
+    for left, right in sorted((p for p in scores if None not in p), key=itemgetter(1)):
+        if right != indexed:
+            matcher.set_seq2(right)
+            indexed = right
+        matcher.set_seq1(left)
+        scores[left, right] = int(round(100 * matcher.ratio()))
+    return pa.array([scores[p] for p in pairs], pa.int32())
 
 
 # Executors get the function itself, so they need not have this package installed.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
-_block_ratios = F.pandas_udf(block_ratios, T.IntegerType())
+_block_ratios = F.arrow_udf(block_ratios, T.IntegerType())
 
 
 def sorted_ratio(a: Column, b: Column) -> Column:
