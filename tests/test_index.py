@@ -215,6 +215,17 @@ def test_lag_crosses_the_year_boundary_with_the_new_weight(spark, unique):
     assert series(price_index.geo_index(df, unique_months=unique)) == approx([None, 2.0**0.25])
 
 
+def test_nan_is_missing_and_unknown_revenue_is_zero(spark, unique):
+    df = prepared(spark, [
+        ("A", "Pods", 2023, 1, 10.0, 1, 10), ("A", "Pods", 2023, 2, 20.0, 1, 10),
+        ("B", "Pods", 2023, 1, 10.0, 1, None), ("B", "Pods", 2023, 2, 30.0, 1, None),
+        ("A", "Pods", 2023, 3, float("nan"), 1, 10),
+    ])
+    df = df.withColumn("total_revenue_amount", F.coalesce(F.col("total_revenue_amount").cast("double"), F.lit(float("nan"))))
+    # B has weight 0: its term is 1 in every month, with or without a lag
+    assert series(price_index.geo_index(df, "calendar", unique_months=unique)) == approx([1.0, 2.0, None])
+
+
 def test_unknown_product_code_has_no_lag(spark):
     df = prepared(spark, [(None, "Pods", 2023, 1, 1.0, 1, 10), (None, "Pods", 2023, 2, 2.0, 1, 10)])
     for flag in (True, False):

@@ -57,6 +57,18 @@ def test_feather_scan_prunes_and_names_stores(spark, tmp_path):
         spark.read.format("feather").load(str(tmp_path / "none"))
 
 
+def test_store_number_from_a_parquet_file_name(spark, tmp_path):
+    import pyarrow.parquet as pq
+
+    for store in (28380, 7):
+        pq.write_table(pa.table({"x": [1, 2]}), str(tmp_path / f"{store}.snappy.parquet"))
+    df = readers.read_store_table(spark, str(tmp_path), file_id="store")
+    assert sorted(r.store for r in df.collect()) == ["28380", "28380", "7", "7"]
+    assert readers.read_if_present(spark, str(tmp_path / "none")) is None
+    assert readers.read_if_present(spark, str(tmp_path / "none"), "feather") is None
+    assert readers.read_if_present(spark, None) is None
+
+
 def test_large_feather_files_are_cut_at_batches(spark, tmp_path, monkeypatch):
     table = pa.table({"x": list(range(1000))})
     feather.write_feather(table, str(tmp_path / "a.feather"), chunksize=100)

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import argparse
-import os
 
 from pyspark.sql import SparkSession
 
@@ -38,6 +37,7 @@ def _parser() -> argparse.ArgumentParser:
     treat.add_argument("--panel", required=True)
     treat.add_argument("--reviewed", required=True, help="CSV with a 0/1 column 'matching'")
     treat.add_argument("--out", required=True)
+    treat.add_argument("--format", default="parquet", choices=["parquet", "feather"])
 
     check = commands.add_parser("validate", help="check sample tables if present")
     check.add_argument("--store")
@@ -75,13 +75,13 @@ def main(argv: list[str] | None = None) -> None:
         print(result["summary"])
     elif args.command == "treat":
         reviewed = spark.read.option("header", True).option("inferSchema", True).csv(args.reviewed)
-        print(jobs.treatment_job(spark, spark.read.parquet(args.panel), reviewed, args.out))
+        panel = readers.read_store_table(spark, args.panel, args.format)
+        print(jobs.treatment_job(spark, panel, reviewed, args.out, args.format))
     else:
-        tables = {}
-        for kind, path in (("store", args.store), ("index", args.index)):
-            found = path is not None and os.path.exists(path)
-            tables[kind] = readers.read_store_table(spark, path, args.format) if found else None
-        print(jobs.validate_job(tables["store"], tables["index"]))
+        tables = [
+            readers.read_if_present(spark, path, args.format) for path in (args.store, args.index)
+        ]
+        print(jobs.validate_job(*tables))
 
 
 if __name__ == "__main__":

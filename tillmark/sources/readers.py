@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StringType, StructType
 
@@ -56,6 +57,19 @@ def read_store_table(
     return df.withColumn(file_id, store_id_from_file()) if file_id else df
 
 
+def read_if_present(spark: SparkSession, path: str | None, fmt: str = "parquet") -> DataFrame | None:
+    """The table, or None when no path is given or nothing is there."""
+    if path is None:
+        return None
+    try:
+        return read_store_table(spark, path, fmt)
+    except AnalysisException as error:
+        absent = ("PATH_NOT_FOUND", "No Feather files", "No such file")
+        if any(text in str(error) for text in absent):
+            return None
+        raise
+
+
 def missing_to_null(df: DataFrame) -> DataFrame:
     """Text columns with the usual spellings of "missing" set to NULL."""
     text = [n for n, t in df.dtypes if t == "string"]
