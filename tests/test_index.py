@@ -200,6 +200,14 @@ def test_identical_copies_take_the_lag_once(spark):
     assert series(price_index.geo_index(df, "calendar")) == approx([None, 1.2])
 
 
+def test_a_wrong_claim_of_unique_months_fails(spark):
+    df = prepared(spark, [("A", "Pods", 2023, 1, 1.0, 1, 1), ("A", "Bulk", 2023, 1, 1.0, 1, 1)])
+    with pytest.raises(Exception, match="two rows in one month"):
+        price_index.geo_index(df, "calendar", unique_months=True).collect()
+    with pytest.raises(Exception, match="two rows in one month"):
+        lags.value_lags(df, "unit_value_q", unique_months=True).collect()
+
+
 def test_product_that_changes_type_keeps_its_lag(spark, unique):
     df = prepared(spark, [
         ("A", "Pods", 2023, 1, 10.0, 1, 10), ("A", "Bulk", 2023, 2, 15.0, 1, 10),

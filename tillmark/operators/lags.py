@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tillmark.functions.calendar import month_number
 from tillmark.functions.numeric import number
@@ -11,6 +11,11 @@ from tillmark.operators.prepare import require_columns
 SERIES = ["store_id", "gtin"]
 
 
+def not_unique() -> Column:
+    """Fails the query when a series that was said to have unique months has not."""
+    return F.raise_error("a store-product series has two rows in one month").cast("double")
+
+
 def value_lags(
     df: DataFrame,
     value_col: str,
@@ -27,10 +32,10 @@ def value_lags(
     month and must be unique there; without it rows are ordered by value and
     then by their remaining columns.
 
-    ``unique_months=True`` states that a series has one row per month (check
-    with ``duplicate_keys``); the lag is then one window with one shuffle, over
-    groups no larger than the number of months.  Otherwise months are reduced
-    by map-side aggregation before the window, so that any number of rows in one
+    ``unique_months=True`` states that a series has one row per month; the query
+    fails if it has more.  The lag is then one window with one shuffle, over
+    groups no larger than the number of months.  Otherwise months are reduced by
+    map-side aggregation before the window, so that any number of rows in one
     month never meets in one task; the rows pick the result up in an equi-join.
     """
     require_columns(df, [*SERIES, "date", value_col])
@@ -41,7 +46,8 @@ def value_lags(
     if unique_months:
         gap = month_number(F.col("date")) - F.lag(month_number(F.col("date"))).over(series)
         previous = F.lag(out_value_col).over(series)
-        return rows.withColumn("month_diff", F.when(named, gap)).withColumn(
+        distance = F.when(named, F.when(gap == 0, not_unique().cast("int")).otherwise(gap))
+        return rows.withColumn("month_diff", distance).withColumn(
             out_lag_value_col, F.when(F.col("month_diff") == 1, previous)
         )
 

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from tillmark.functions.calendar import month_number
 from tillmark.functions.numeric import finite_positive, ieee_div, ieee_pow, number, product_or_null
 from tillmark.operators.joins import null_safe_left_join
-from tillmark.operators.lags import SERIES
+from tillmark.operators.lags import SERIES, not_unique
 from tillmark.operators.prepare import period_column, require_columns, value_column
 from tillmark.operators.weights import (
     REVENUE,
@@ -80,8 +80,10 @@ def _ratios(months: DataFrame, period: str, unique_months: bool) -> DataFrame:
     named = F.col("store_id").isNotNull() & F.col("gtin").isNotNull()
     if unique_months:
         in_order = series.orderBy("month_no")
-        follows = F.lag("month_no").over(in_order) == F.col("month_no") - 1
-        previous = F.when(follows, F.lag("closing").over(in_order))
+        before = F.lag("month_no").over(in_order)
+        previous = F.when(named & (before == F.col("month_no")), not_unique()).when(
+            before == F.col("month_no") - 1, F.lag("closing").over(in_order)
+        )
     else:
         # a product sold under two types has two rows in a month: only the
         # month's first row has a lag, taken from the previous month's last row
@@ -161,8 +163,8 @@ def geo_index(
     ``weight_basis`` picks fiscal- or calendar-year revenue shares,
     ``index_kind`` the unit value (``price``) or the quantity (``qty``).
     ``order_col`` orders rows that share store, product and month.
-    ``unique_months=True`` states that there are none, which saves a shuffle.
-    ``type_weights`` is described at :func:`type_index`.
+    ``unique_months=True`` states that there are none, which saves a shuffle; the
+    query fails if there are.  ``type_weights`` is described at :func:`type_index`.
     """
     types = type_index(df, weight_basis, index_kind, order_col, unique_months, type_weights)
     return store_index(types, index_kind, label)
