@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tillmark.llm import chat, decontaminate, line_dedup, mixing, topk
+from tillmark.llm import chat, decontaminate, line_dedup, mixing, ngram_join, topk
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -15,6 +15,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.similar_components(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = decontaminate.contamination(docs, table(spark, sf_dir, "benchmark"))
@@ -180,6 +184,7 @@ SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM ranked WHERE
 """
 
 QUERIES: dict[str, Query] = {
+    "op3_ngram_jaccard": op3_ngram_jaccard,
     "op6_decontaminate": op6_decontaminate,
     "op7_line_dedup": op7_line_dedup,
     "op8_source_mix": op8_source_mix,
