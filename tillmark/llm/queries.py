@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tillmark.llm import chat, decontaminate, line_dedup, mixing, ngram_join, topk
+from tillmark.llm import chat, decontaminate, language_id, line_dedup, mixing, ngram_join, topk
+from tillmark.llm.labelled import fold_of
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -15,6 +16,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = language_id.fit(docs.select("doc_id", "text", "lang"))
+    held = fold_of(F.col("doc_id"), language_id.FOLDS) == language_id.HELD
+    return language_id.identify(docs.select("doc_id", "text"), model).select(
+        "doc_id", held.alias("held_out"), "lang_pred", "score"
+    )
+
+
 def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.similar_components(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -184,6 +194,7 @@ SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM ranked WHERE
 """
 
 QUERIES: dict[str, Query] = {
+    "op1_language_id": op1_language_id,
     "op3_ngram_jaccard": op3_ngram_jaccard,
     "op6_decontaminate": op6_decontaminate,
     "op7_line_dedup": op7_line_dedup,
