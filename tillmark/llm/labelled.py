@@ -54,7 +54,7 @@ def label_sample(labels: DataFrame, label: str, folds: int, held: int, max_rows:
         usable = usable.where(F.pmod(F.xxhash64("doc_id"), F.lit(STEPS)) < int(STEPS * max_rows / total))
     table = usable.toArrow()
     return LabelSample(
-        table.column("doc_id").cast(pa.int64()).to_numpy(), table.column("label").to_numpy()
+        table.column("doc_id").cast(pa.int64()).to_numpy(), table.column("label").cast(pa.int64()).to_numpy()
     )
 
 

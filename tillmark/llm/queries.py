@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tillmark.llm import chat, decontaminate, language_id, line_dedup, mixing, ngram_join, topk
+from tillmark.llm import chat, decontaminate, language_id, line_dedup, mixing, ngram_join, quality, topk, toxicity
 from tillmark.llm.labelled import fold_of
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -25,10 +25,34 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.fit(docs, table(spark, sf_dir, "labels"))
+    held = fold_of(F.col("doc_id"), quality.FOLDS) == quality.HELD
+    return quality.score(docs, model).select(
+        "doc_id",
+        held.alias("held_out"),
+        "score",
+        (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted"),
+    )
+
+
 def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.similar_components(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    held = fold_of(F.col("doc_id"), toxicity.FOLDS) == toxicity.HELD
+    return toxicity.score(docs, model).select(
+        "doc_id",
+        held.alias("held_out"),
+        "score",
+        (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"),
+    )
+
+
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = decontaminate.contamination(docs, table(spark, sf_dir, "benchmark"))
@@ -195,7 +219,9 @@ SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM ranked WHERE
 
 QUERIES: dict[str, Query] = {
     "op1_language_id": op1_language_id,
+    "op2_quality": op2_quality,
     "op3_ngram_jaccard": op3_ngram_jaccard,
+    "op5_toxicity": op5_toxicity,
     "op6_decontaminate": op6_decontaminate,
     "op7_line_dedup": op7_line_dedup,
     "op8_source_mix": op8_source_mix,
