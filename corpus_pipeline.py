@@ -1,8 +1,97 @@
-"""Corpus pipeline: placeholder until all stages exist."""
+"""From raw documents to a mixed training corpus.
 
-STAGES = []
+Each stage takes all rows its predecessor kept and returns the columns of
+``documents``; the last one returns the mix.  Between stages rows are written down
+as Parquet in the cluster's shared folder.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from tillmark.llm import decontaminate, language_id, line_dedup, mixing, ngram_join
+from tillmark.llm.storage import stored
+from tillmark.operators.joins import null_safe_left_join
+
+# share of a document's letters that its language must label
+MIN_LANGUAGE_SHARE = 0.5
+
+
+def keep_identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows whose language is known and labels at least half of their letters.
+
+    Texts that are missing or hold no letter go.
+    """
+    model = language_id.fit(docs.select("doc_id", "text", "lang"))
+    names = ("__lang_pred", "__lang_score", "__lang_spans")
+    found = language_id.identify(docs, model, names=names)
+    keep = (F.col(names[0]) != language_id.UNKNOWN) & (F.col(names[1]) >= MIN_LANGUAGE_SHARE)
+    return found.where(keep).select(*docs.columns)
+
+
+def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All rows, their texts without the lines that an earlier document holds.
+
+    ``n_chars`` follows the text; a text that loses every line is empty.
+    """
+    bits = line_dedup.line_keep_bits(docs.select("doc_id", "text")).select(
+        "doc_id", F.col("text_hash").alias("__text_hash"), F.col("keep_words").alias("__keep_words")
+    )
+    rows = docs.withColumn("__text_hash", line_dedup.text_hash(F.col("text")))
+    marked = null_safe_left_join(rows, bits, ["doc_id", "__text_hash"])
+    lost = F.col("__keep_words").isNotNull()
+    kept = F.when(lost, line_dedup.kept_text(F.col("text"), F.col("__keep_words"))).otherwise(F.col("text"))
+    cut = marked.withColumn("text", kept)
+    if "n_chars" in docs.columns:
+        kind = docs.schema["n_chars"].dataType
+        size = F.when(lost, F.char_length("text").cast(kind)).otherwise(F.col("n_chars"))
+        cut = cut.withColumn("n_chars", size)
+    return cut.select(*docs.columns)
+
+
+def keep_one_of_similar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies: the one with the smallest id.
+
+    Rows that repeat both id and text count as copies too.  A row without id stays
+    only if it is like no row with one.
+    """
+    found = stored(ngram_join.similar_components(docs.select("doc_id", "text")), "similar")
+    keep = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__keep")).distinct()
+    kept = docs.join(keep, docs["doc_id"].eqNullSafe(F.col("__keep")), "left_semi")
+    if not found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty():
+        kept = kept.dropDuplicates(["doc_id", "text"])
+    return kept
+
+
+def drop_benchmark_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows that hold no window of a benchmark item."""
+    benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return decontaminate.drop_contaminated(docs, benchmark)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """How often and how far each remaining document enters the mix."""
+    return mixing.mix_sources(docs.select("doc_id", "text", "source"))
+
+
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+STAGES: list[tuple[str, Stage]] = [
+    ("language_id", keep_identified),
+    ("line_dedup", drop_repeated_lines),
+    ("ngram_jaccard", keep_one_of_similar),
+    ("decontaminate", drop_benchmark_copies),
+    ("source_mix", mix),
+]
+
+# the language model of the first stage has no SQL
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf_dir), f"stage-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)

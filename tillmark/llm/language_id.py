@@ -210,23 +210,28 @@ def word_scores(found: LetterWords, model: LanguageModel) -> np.ndarray:
     return scores
 
 
-def identify(docs: DataFrame, model: LanguageModel, switch: float = SWITCH) -> DataFrame:
+def identify(
+    docs: DataFrame,
+    model: LanguageModel,
+    switch: float = SWITCH,
+    names: tuple[str, str, str] = ("lang_pred", "score", "spans"),
+) -> DataFrame:
     """Add ``lang_pred``, ``score`` and ``spans`` to every row; only ``text`` is looked at.
 
     ``spans`` (start, end, lang) are maximal runs of words of one label, in code
     points.  ``lang_pred`` labels most letters (equal shares: the first by name)
     and ``score`` is its share of them.  A text that is missing or has no letter,
     or any text if nothing was learned, is ``und`` with score 0 and no spans.
-    Columns of these names are replaced, others kept.
+    ``names`` renames the three; columns of these names are replaced, others kept.
     """
-    new = ["lang_pred", "score", "spans"]
+    new = list(names)
     docs = docs.drop(*new)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     at_text = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        names = pa.array([*model.languages, UNKNOWN], pa.string())
+        labelled = pa.array([*model.languages, UNKNOWN], pa.string())
         k = len(model.languages)
         span = pa.struct([("start", pa.int64()), ("end", pa.int64()), ("lang", pa.string())])
         for batch in batches:
@@ -246,7 +251,7 @@ def identify(docs: DataFrame, model: LanguageModel, switch: float = SWITCH) -> D
                     head = np.flatnonzero(opens)
                     tail = np.append(head[1:], len(labels)) - 1
                     values = pa.StructArray.from_arrays(
-                        [pa.array(found.starts[head]), pa.array(found.ends[tail]), names.take(pa.array(labels[head]))],
+                        [pa.array(found.starts[head]), pa.array(found.ends[tail]), labelled.take(pa.array(labels[head]))],
                         fields=list(span),
                     )
                     cuts = np.searchsorted(found.rows[head], np.arange(len(texts) + 1))
@@ -255,11 +260,11 @@ def identify(docs: DataFrame, model: LanguageModel, switch: float = SWITCH) -> D
                     best, score = np.full(len(texts), k), np.zeros(len(texts))
                     spans = pa.array([[]] * len(texts), pa.list_(span))
                 yield pa.RecordBatch.from_arrays(
-                    [*part.columns, names.take(pa.array(best)), pa.array(score), spans],
+                    [*part.columns, labelled.take(pa.array(best)), pa.array(score), spans],
                     [*part.schema.names, *new],
                 )
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(
-        run, f"{fields}, lang_pred string, score double, spans array<struct<start:long,end:long,lang:string>>"
-    )
+    kinds = ("string", "double", "array<struct<start:long,end:long,lang:string>>")
+    added = ", ".join(f"`{n}` {k}" for n, k in zip(new, kinds))
+    return docs.mapInArrow(run, f"{fields}, {added}")
