@@ -58,11 +58,11 @@ def keep_one_of_similar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     only if it is like no row with one.
     """
     found = stored(ngram_join.similar_components(docs.select("doc_id", "text")), "similar")
-    keep = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__keep")).distinct()
-    kept = docs.join(keep, docs["doc_id"].eqNullSafe(F.col("__keep")), "left_semi")
-    if not found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty():
-        kept = kept.dropDuplicates(["doc_id", "text"])
-    return kept
+    keep = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("ref").distinct()
+    ref = ngram_join.row_ref(docs["doc_id"], docs["text"])
+    kept = docs.join(keep.withColumnRenamed("ref", "__ref"), ref == F.col("__ref"), "left_semi")
+    repeats = found.groupBy("ref").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    return kept if repeats.isEmpty() else kept.dropDuplicates(["doc_id", "text"])
 
 
 def drop_benchmark_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

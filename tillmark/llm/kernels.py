@@ -9,7 +9,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 
-PIECE = 1 << 22
+PIECE = 1 << 21
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -175,3 +175,47 @@ def sliding_argmin(values: np.ndarray, width: int) -> np.ndarray:
 
 def signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
+
+
+class Lookup:
+    """Values of different integer keys, none of them -1, in one hashed table; 0 for other keys."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        bits = max(4, int(2 * len(keys)).bit_length())
+        self.shift = np.uint64(64 - bits)
+        self.mask = (1 << bits) - 1
+        self.keys = np.full(1 << bits, -1, dtype=np.int64)
+        self.values = np.zeros(1 << bits, dtype=values.dtype)
+        left = np.arange(len(keys))
+        slot = self._slot(keys)
+        while len(left):
+            free = self.keys[slot[left]] == -1
+            # of several keys that want one slot, the first gets it
+            takers = left[free]
+            _, first = np.unique(slot[takers], return_index=True)
+            won = takers[first]
+            self.keys[slot[won]] = keys[won]
+            self.values[slot[won]] = values[won]
+            left = left[self.keys[slot[left]] != keys[left]]
+            slot[left] = (slot[left] + 1) & self.mask
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
+
+    def __call__(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Value of every key, and whether it has one."""
+        slot = self._slot(keys)
+        held = self.keys[slot]
+        known = held == keys
+        value = np.where(known, self.values[slot], self.values.dtype.type(0))
+        left = np.flatnonzero(~known & (held != -1))
+        slot = slot[left]
+        while len(left):
+            slot = (slot + 1) & self.mask
+            held, wanted = self.keys[slot], keys[left]
+            hit = held == wanted
+            value[left[hit]] = self.values[slot[hit]]
+            known[left[hit]] = True
+            go = ~hit & (held != -1)
+            left, slot = left[go], slot[go]
+        return value, known

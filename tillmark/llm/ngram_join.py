@@ -26,10 +26,10 @@ from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from tillmark.llm.components import connected_components
-from tillmark.llm.kernels import NOT_SPACE, Texts, gram_hashes, mix, pieces, signed, words
+from tillmark.llm.kernels import NOT_SPACE, Lookup, Texts, gram_hashes, mix, pieces, signed, words
 from tillmark.llm.storage import stored
 
 SHINGLE = 5
@@ -37,7 +37,7 @@ SHINGLE = 5
 ORDER_B, ORDER_C = 101, 202
 ORDER_A = 303
 # shingles of one counting round in a task, and how often one must occur there to count
-ROUND = 1 << 22
+ROUND = 1 << 21
 LOCAL = 4
 # frequent shingles every task knows (12 bytes each)
 FREQUENT = 1 << 19
@@ -80,8 +80,12 @@ def shingle_sets(texts: Texts, width: int = SHINGLE) -> Sets:
             tokens.append(gram_hashes(found.hashes[index].ravel(), m)[::m])
             rows.append(short)
     token, row = np.concatenate(tokens), np.concatenate(rows)
-    order = np.lexsort((token, row))
-    token, row = token[order], row[order]
+    if len(tokens) > 1:
+        order = np.argsort(row, kind="stable")
+        token, row = token[order], row[order]
+    cuts = np.searchsorted(row, np.arange(len(texts) + 1)).tolist()
+    for start, stop in zip(cuts, cuts[1:]):
+        token[start:stop].sort()
     new = np.ones(len(token), dtype=bool)
     new[1:] = (token[1:] != token[:-1]) | (row[1:] != row[:-1])
     token, row = token[new], row[new]
@@ -89,26 +93,32 @@ def shingle_sets(texts: Texts, width: int = SHINGLE) -> Sets:
 
 
 class Frequent:
-    """Corpus count of frequent shingles, 0 for all others."""
+    """How frequent a shingle is in the corpus, in half powers of two; 0 for most."""
 
     def __init__(self, tokens: np.ndarray, counts: np.ndarray):
-        order = np.argsort(tokens)
-        self.tokens, self.counts = tokens[order], counts[order]
+        steps = np.minimum(63, 2 * np.log2(counts.astype(float) + 1))
+        self.table = Lookup(signed(tokens), steps.astype(np.float32))
 
     def __call__(self, tokens: np.ndarray) -> np.ndarray:
-        if not len(self.tokens):
-            return np.zeros(len(tokens), dtype=np.int64)
-        at = np.minimum(np.searchsorted(self.tokens, tokens), len(self.tokens) - 1)
-        return np.where(self.tokens[at] == tokens, self.counts[at], 0)
-
-
-def prefixes(sets: Sets, weight: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray]:
-    """Index into ``sets`` of every row's prefix under one order, and the position there."""
-    order = np.lexsort((mix(sets.tokens, seed), weight, sets.rows))
-    starts = np.cumsum(sets.sizes) - sets.sizes
-    pos = np.arange(len(order)) - np.repeat(starts, sets.sizes)
-    keep = pos <= np.repeat(sets.sizes // 5, sets.sizes)
-    return order[keep], pos[keep]
+        return self.table(signed(tokens))[0].astype(np.uint64)
+
+
+def prefixes(sets: Sets, weight: np.ndarray, seed: int, ordered: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Index into ``sets`` of every row's prefix under one order; if ``ordered``, in
+    that order and with the position there."""
+    key = (weight << np.uint64(58)) | (mix(sets.tokens, seed) >> np.uint64(6))
+    ends = np.cumsum(sets.sizes)
+    index, pos = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
+    for row in np.flatnonzero(sets.sizes).tolist():
+        n, end = int(sets.sizes[row]), int(ends[row])
+        count, part = n // 5 + 1, key[end - n : end]
+        if ordered:
+            chosen = np.argsort(part, kind="stable")[:count]
+            pos.append(np.arange(count))
+        else:
+            chosen = np.argpartition(part, count - 1)[:count]
+        index.append(chosen + (end - n))
+    return np.concatenate(index), np.concatenate(pos)
 
 
 def parity_bits(tokens: np.ndarray) -> np.ndarray:
@@ -160,11 +170,14 @@ def _batch(names: list[str], *columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns], names)
 
 
+def row_ref(doc_id: Column, text: Column) -> Column:
+    """Names a row by id and text; only rows that repeat both share it."""
+    return F.concat_ws(" ", doc_id.cast("string"), F.xxhash64(F.coalesce(text, F.lit(""))).cast("string"))
+
+
 def _keyed(docs: DataFrame) -> DataFrame:
-    """``doc_id, ref, text``: ``ref`` names a row's text, also without id."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    ref = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("text "), F.xxhash64(text)))
-    return docs.select("doc_id", ref.alias("ref"), F.col("text").alias("text"))
+    """``doc_id, ref, text``."""
+    return docs.select("doc_id", row_ref(F.col("doc_id"), F.col("text")).alias("ref"), "text")
 
 
 def set_headers(docs: DataFrame) -> DataFrame:
@@ -225,10 +238,10 @@ def frequent_shingles(docs: DataFrame) -> Frequent:
 
 def _scan(docs: DataFrame, frequent, make, schema: str) -> DataFrame:
     """``make(sets, signatures, rows)`` over texts; a partition shows each set once."""
-    shared = docs.sparkSession.sparkContext.broadcast((frequent.tokens, frequent.counts))
+    shared = docs.sparkSession.sparkContext.broadcast(frequent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weigh, seen = Frequent(*shared.value), set()
+        weigh, seen = shared.value, set()
         for batch in batches:
             for texts in pieces(batch.column(0)):
                 sets = shingle_sets(texts)
@@ -252,7 +265,7 @@ def prefix_tokens(docs: DataFrame, frequent: Frequent) -> DataFrame:
     """``token, sig, n, pos`` of every order-A prefix token of every class."""
 
     def make(sets: Sets, sigs: np.ndarray, weight: np.ndarray) -> pa.RecordBatch:
-        index, pos = prefixes(sets, weight, ORDER_A)
+        index, pos = prefixes(sets, weight, ORDER_A, True)
         rows = sets.rows[index]
         place = (sets.sizes[rows] << 32) | pos
         return _batch(["token", "sig", "place"], signed(sets.tokens[index]), signed(sigs[rows]), place)
@@ -264,8 +277,8 @@ def class_filters(docs: DataFrame, frequent: Frequent) -> DataFrame:
     """``sig, packed``: what the other filters need of a class."""
 
     def make(sets: Sets, sigs: np.ndarray, weight: np.ndarray) -> pa.RecordBatch:
-        index_b, _ = prefixes(sets, weight, ORDER_B)
-        index_c, _ = prefixes(sets, weight, ORDER_C)
+        index_b, _ = prefixes(sets, weight, ORDER_B, False)
+        index_c, _ = prefixes(sets, weight, ORDER_C, False)
         rows = np.flatnonzero(sets.sizes)
         ends = np.cumsum(sets.sizes[rows])
         cuts = np.cumsum(sets.sizes[rows] // 5 + 1)
@@ -423,12 +436,46 @@ def _across(pairs: DataFrame, components: DataFrame) -> DataFrame:
     return labelled.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
 
 
+def _group_pairs(left: list[tuple], right: list[tuple]) -> list[tuple[int, int]]:
+    """Pairs of two blocks of (sig, place, component, packed) that no filter excludes."""
+    unpacked = [(int(r[1]) >> 32, int(r[1]) & 0xFFFFFFFF, r[2], unpack(r[3])[3]) for r in right]
+    size = np.array([u[0] for u in unpacked])
+    pos = np.array([u[1] for u in unpacked])
+    component = np.array([u[2] for u in unpacked])
+    width = np.array([len(u[3]) for u in unpacked])
+    folded: dict[int, np.ndarray] = {}
+
+    def bits(w: int) -> np.ndarray:
+        """Parity bits of all of ``right`` that have at least ``w`` bytes, folded to ``w``."""
+        if w not in folded:
+            folded[w] = np.stack([_fold_to(u[3], w) if len(u[3]) >= w else np.zeros(w, np.uint8) for u in unpacked])
+        return folded[w]
+
+    found = []
+    for sig, place, own_component, packed in left:
+        n, at = place >> 32, place & 0xFFFFFFFF
+        need = needed(n, size)
+        fits = (component != own_component) & (5 * np.minimum(n, size) >= 4 * np.maximum(n, size))
+        fits &= (at <= n - need) & (pos <= size - need)
+        near = np.flatnonzero(fits)
+        if not len(near):
+            continue
+        own = unpack(packed)[3]
+        for w in np.unique(np.minimum(width[near], len(own))).tolist():
+            some = near[np.minimum(width[near], len(own)) == w]
+            differ = np.bitwise_count(bits(w)[some] ^ _fold_to(own, w)).sum(axis=1, dtype=np.int64)
+            for k in some[(n + size[some] - differ) // 2 >= need[some]].tolist():
+                if survives(packed, right[k][3]):
+                    found.append((min(sig, right[k][0]), max(sig, right[k][0])))
+    return found
+
+
 def leftover_pairs(members: DataFrame, components: DataFrame, filters: DataFrame) -> DataFrame:
     """Pairs of a large token group in different components, all of them, in blocks.
 
     Only groups that the pivots left in several components come here.  Blocks of
     hashed members meet pairwise in tasks of their own; a pair leaves its task
-    only if both filters let it pass.
+    only if all filters let it pass.
     """
     named = components.select(F.col("node").alias("sig"), "component")
     rows = members.join(named, "sig", "left").withColumn("component", F.coalesce("component", "sig"))
@@ -446,28 +493,26 @@ def leftover_pairs(members: DataFrame, components: DataFrame, filters: DataFrame
         F.greatest("mine", "other").alias("y"),
         F.when(F.col("mine") <= F.col("other"), 0).otherwise(1).alias("side"),
         "sig",
+        "place",
         "component",
         "packed",
     )
 
-    def pairs(table: pa.Table) -> pa.Table:
-        first, second = table.column("x")[0].as_py(), table.column("y")[0].as_py()
-        rows = list(zip(*(table.column(c).to_pylist() for c in ("side", "sig", "component", "packed"))))
-        left = [r for r in rows if r[0] == 0]
-        right = left if first == second else [r for r in rows if r[0] == 1]
-        found = [
-            (min(x[1], y[1]), max(x[1], y[1]))
-            for x in left
-            for y in right
-            if x[2] != y[2] and survives(x[3], y[3])
-        ]
-        return pa.table({n: pa.array([p[i] for p in found], pa.int64()) for i, n in enumerate("ab")})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = (r for b in batches for r in zip(*(c.to_pylist() for c in b.columns)))
+        for (_, x, y), block in groupby(rows, key=lambda r: r[:3]):
+            block = list(block)
+            left = [r[4:] for r in block if r[3] == 0]
+            right = left if x == y else [r[4:] for r in block if r[3] == 1]
+            found = _group_pairs(left, right) if left and right else []
+            yield _batch(["a", "b"], *(pa.array([p[i] for p in found], pa.int64()) for i in range(2)))
 
-    return met.groupBy("token", "x", "y").applyInArrow(pairs, "a long, b long").distinct()
+    blocks = met.repartition("token", "x", "y").sortWithinPartitions("token", "x", "y")
+    return blocks.mapInArrow(run, "a long, b long").distinct()
 
 
 def similar_components(docs: DataFrame) -> DataFrame:
-    """``doc_id, n_shingles, component_id`` of every row of ``docs``.
+    """``doc_id, n_shingles, component_id, ref`` of every row of ``docs``.
 
     A row's set holds the distinct shingles of ``SHINGLE`` words, A-Z lower-cased;
     fewer words are one shingle together.  Sets link if intersection / union is at
@@ -480,13 +525,13 @@ def similar_components(docs: DataFrame) -> DataFrame:
     """
     headers = stored(set_headers(docs), "set-headers")
     classes = stored(
-        headers.where("n > 0").groupBy("sig").agg(F.min("doc_id").alias("first_id"), F.min_by("ref", "ref").alias("ref")),
+        headers.where("n > 0").groupBy("sig").agg(F.min("doc_id").alias("first_id"), F.min("ref").alias("ref")),
         "set-classes",
     )
     frequent = frequent_shingles(docs)
     met = stored(candidates(prefix_tokens(docs, frequent)), "prefix-pairs")
     pairs = stored(met.where("token is null").select("a", "b").distinct(), "pairs")
-    members = met.where("token is not null").select("token", F.col("a").alias("sig"))
+    members = met.where("token is not null").select("token", F.col("a").alias("sig"), F.col("b").alias("place"))
     ends = (
         pairs.select(F.col("a").alias("sig")).union(pairs.select("b")).union(members.select("sig")).distinct()
     )
@@ -512,4 +557,5 @@ def similar_components(docs: DataFrame) -> DataFrame:
         "doc_id",
         F.col("n").alias("n_shingles"),
         F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"),
+        "ref",
     )
