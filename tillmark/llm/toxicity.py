@@ -18,7 +18,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from tillmark.llm.kernels import ALNUM, Texts, mix, pieces, words
+from tillmark.llm.kernels import ALNUM, Lookup, Texts, mix, pieces, words
 from tillmark.llm.labelled import LabelSample, fit_logistic, label_sample, logistic
 from tillmark.llm.storage import stored
 
@@ -36,8 +36,10 @@ PASSAGE = 12
 # bytes without evidence that every passage counts besides its own
 PRIOR_BYTES = 32
 THRESHOLD = 0.5
-# n-grams of one counting round in a task
+# different n-grams after which a task hands its counts on, and new ones it lets wait
 ROUND = 1 << 22
+WAITING = 1 << 19
+PIECE = 1 << 20
 _SHIFT = np.uint64(8)
 
 
@@ -67,9 +69,9 @@ def stream(texts: Texts) -> Stream:
     place = at[:-1] + lead * (rows + 1)
     line = np.full(int(at[-1]) + lead * count, 32, dtype=np.uint64)
     marks = np.zeros(len(texts.data) + 1, dtype=np.int8)
-    np.add.at(marks, found.starts, 1)
-    np.add.at(marks, found.ends, -1)
-    source = np.flatnonzero(np.cumsum(marks[:-1]))
+    marks[found.starts] += 1
+    marks[found.ends] -= 1
+    source = np.flatnonzero(np.cumsum(marks[:-1], dtype=np.int8))
     line[source + np.repeat(place - found.starts, size)] = texts.data[source]
     ends = np.arange(at[-1]) + np.repeat(lead * (rows + 1), size + 1)
     grams = np.zeros(len(ends), dtype=np.uint64)
@@ -81,10 +83,47 @@ def stream(texts: Texts) -> Stream:
 
 
 def _streams(column: pa.Array) -> Iterator[tuple[Texts, Stream]]:
-    for texts in pieces(pc.utf8_lower(column)):
+    for texts in pieces(pc.utf8_lower(column), PIECE):
         yield texts, stream(texts)
 
 
+class GramCounter:
+    """Different n-grams of a task and how often each class has them.
+
+    Known ones are counted through a table; new ones wait until there are
+    ``WAITING`` and then enter it.
+    """
+
+    def __init__(self):
+        self.keys = np.zeros(0, dtype=np.int64)
+        self.counts = np.zeros((2, 0), dtype=np.int64)
+        self.table = Lookup(self.keys, self.keys)
+        self.waiting: list[tuple[np.ndarray, np.ndarray]] = []
+        self.size = 0
+
+    def add(self, grams: np.ndarray, labels: np.ndarray) -> None:
+        at, known = self.table(grams)
+        for label in (0, 1):
+            own = at[known & (labels == label)]
+            if len(own):
+                self.counts[label] += np.bincount(own, minlength=len(self.keys))
+        new = ~known
+        self.waiting.append((grams[new], labels[new]))
+        self.size += int(new.sum())
+        if self.size >= WAITING:
+            self.settle()
+
+    def settle(self) -> None:
+        grams = np.concatenate([g for g, _ in self.waiting] or [self.keys[:0]])
+        labels = np.concatenate([x for _, x in self.waiting] or [self.keys[:0]])
+        fresh, at = np.unique(grams, return_inverse=True)
+        counts = [np.bincount(at[labels == label], minlength=len(fresh)) for label in (0, 1)]
+        self.keys = np.concatenate([self.keys, fresh])
+        self.counts = np.concatenate([self.counts, np.array(counts).reshape(2, -1)], axis=1)
+        self.table = Lookup(self.keys, np.arange(len(self.keys)))
+        self.waiting, self.size = [], 0
+
+
 def gram_counts(docs: DataFrame, sample: LabelSample) -> DataFrame:
     """``gram, toxic, ordinary`` of every six-byte string of the corpus.
 
@@ -96,30 +135,27 @@ def gram_counts(docs: DataFrame, sample: LabelSample) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(sample)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray]] = []
+        counter = GramCounter()
 
         def counted() -> pa.RecordBatch:
-            grams = np.concatenate([g for g, _ in held])
-            labels = np.concatenate([x for _, x in held])
-            keys, inverse = np.unique(grams, return_inverse=True)
-            columns = [pa.array(keys.astype(np.int64))]
-            for label in (1, 0):
-                columns.append(pa.array(np.bincount(inverse[labels == label], minlength=len(keys))))
-            return pa.RecordBatch.from_arrays(columns, ["gram", "toxic", "ordinary"])
+            counter.settle()
+            return pa.RecordBatch.from_arrays(
+                [pa.array(counter.keys), pa.array(counter.counts[1]), pa.array(counter.counts[0])],
+                ["gram", "toxic", "ordinary"],
+            )
 
         for batch in batches:
             label = shared.value(batch.column(0))
             point = hashed(batch.column(0))
             keep = ~calibrates(batch.column(0)) & (point < share[label])
-            label = np.where(keep, label, -1)
+            label = np.where(keep, label, -1).astype(np.int8)
             for texts, s in _streams(batch.column(1)):
                 of_word = label[texts.first + s.rows]
-                held.append((s.grams, np.repeat(of_word, np.diff(s.at)).astype(np.int8)))
-                if sum(len(g) for g, _ in held) >= ROUND:
-                    yield counted()
-                    held = []
-        if held:
-            yield counted()
+                counter.add(s.grams.astype(np.int64), np.repeat(of_word, np.diff(s.at)))
+            if len(counter.keys) >= ROUND:
+                yield counted()
+                counter = GramCounter()
+        yield counted()
 
     schema = "gram long, toxic long, ordinary long"
     counted = docs.select("doc_id", "text").mapInArrow(run, schema)
@@ -218,50 +254,6 @@ def _tagged(column: str, order: int):
     return F.col(column).bitwiseOR(F.lit(order << 56)).alias("key")
 
 
-class Lookup:
-    """Values of integer keys in one hashed table; 0 for other keys."""
-
-    def __init__(self, keys: np.ndarray, values: np.ndarray):
-        bits = max(4, int(2 * len(keys)).bit_length())
-        self.shift = np.uint64(64 - bits)
-        self.mask = (1 << bits) - 1
-        self.keys = np.full(1 << bits, -1, dtype=np.int64)
-        self.values = np.zeros(1 << bits, dtype=np.float32)
-        left = np.arange(len(keys))
-        slot = self._slot(keys)
-        while len(left):
-            free = self.keys[slot[left]] == -1
-            # of several keys that want one slot, the first gets it
-            takers = left[free]
-            _, first = np.unique(slot[takers], return_index=True)
-            won = takers[first]
-            self.keys[slot[won]] = keys[won]
-            self.values[slot[won]] = values[won]
-            left = left[self.keys[slot[left]] != keys[left]]
-            slot[left] = (slot[left] + 1) & self.mask
-
-    def _slot(self, keys: np.ndarray) -> np.ndarray:
-        return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
-
-    def __call__(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Value of every key, and whether it has one."""
-        slot = self._slot(keys)
-        held = self.keys[slot]
-        value = np.where(held == keys, self.values[slot], np.float32(0))
-        known = held == keys
-        left = np.flatnonzero(~known & (held != -1))
-        slot = slot[left]
-        while len(left):
-            slot = (slot + 1) & self.mask
-            held, wanted = self.keys[slot], keys[left]
-            hit = held == wanted
-            value[left[hit]] = self.values[slot[hit]]
-            known[left[hit]] = True
-            go = ~hit & (held != -1)
-            left, slot = left[go], slot[go]
-        return value, known
-
-
 @dataclass
 class ToxicityModel:
     grams: Lookup
