@@ -12,8 +12,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from checks import sql_views as sql, views
-from tillmark.functions.similarity import token_sorted
-from tillmark.functions.text import STREET_RULES, basic_clean, expand_street_words
+from tillmark.functions.similarity import similarity_score, token_sorted
+from tillmark.functions.text import basic_clean, expand_street_words
 from tillmark.operators import lags, matching, panel, prepare, price_index, treatment, weights
 from tillmark.operators.contracts import STORE_CONTRACT, index_contract
 
@@ -267,7 +267,9 @@ def _store_counts() -> dict[str, Entry]:
         return prepare.store_status(views.patchy_scanner(spark, sf_dir))
 
     def limited(spark: SparkSession, sf_dir: str) -> DataFrame:
-        rows = prepare.limit_stores(views.scanner(spark, sf_dir), 10)
+        store = F.col("store_id")
+        known = views.scanner(spark, sf_dir).withColumn("store_id", F.when(store % 3 != 0, store))
+        rows = prepare.limit_stores(known, 10)
         return rows.groupBy("store_id").agg(
             F.count(F.lit(1)).alias("row_count"),
             F.round(F.sum("total_revenue_amount"), 4).alias("revenue"),
@@ -295,7 +297,8 @@ def _store_counts() -> dict[str, Entry]:
             limited,
             f"""{head} SELECT store_id, count(*) AS row_count,
                    round(sum(total_revenue_amount), 4) AS revenue FROM scanner
-            WHERE store_id IN (SELECT DISTINCT store_id FROM scanner ORDER BY store_id LIMIT 10)
+            WHERE store_id IN (SELECT DISTINCT store_id FROM scanner WHERE store_id % 3 <> 0
+                               ORDER BY store_id LIMIT 10)
             GROUP BY store_id""",
         ),
     }
@@ -312,6 +315,9 @@ def _contracts() -> dict[str, Entry]:
     def index(spark: SparkSession, sf_dir: str) -> DataFrame:
         return index_contract("price").violations(views.faulty_index(spark, sf_dir, LABEL))
 
+    def qty_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return index_contract("qty").violations(views.faulty_index(spark, sf_dir, LABEL, "qty"))
+
     def duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
         return panel.duplicate_keys(views.faulty_index(spark, sf_dir, LABEL))
 
@@ -320,7 +326,12 @@ def _contracts() -> dict[str, Entry]:
         "transaction_count": "transaction_count > 1",
         "quantity": "calendar_month = 7",
     }
-    required = [f.name for f in STORE_CONTRACT.fields if not f.nullable]
+    # The columns of the input that must hold a value
+    required = [
+        "store_id", "calendar_year", "calendar_month", "gtin", "quantity", "quantity_with_discount",
+        "transaction_count", "transaction_count_with_discount", "total_revenue_amount", "scan_type",
+        "q_plus_qwd",
+    ]
     # in the scanner view these columns do not have the declared type
     narrow = ["calendar_year", "calendar_month"]
 
@@ -332,19 +343,20 @@ def _contracts() -> dict[str, Entry]:
             for c, r, w in cases
         )
 
-    not_null = [(c, "not_null", broken.get(c, "false")) for c in required if c != "transaction_count"]
-    coerced = [(c, "coercion", "false") for c in narrow]
+    not_null = [
+        (c, "not_null", broken.get(c, f"{c} IS NULL")) for c in required if c != "transaction_count"
+    ]
+    coerced = [(c, "coercion", f"{c} IS NOT NULL AND try_cast({c} AS BIGINT) IS NULL") for c in narrow]
     faulty_cases = (
         not_null
         + coerced
         + [
-            ("transaction_count", "not_null", "false"),
+            ("transaction_count", "not_null", "transaction_count IS NULL"),
             ("transaction_count", "coercion", broken["transaction_count"]),
         ]
     )
-    good_cases = [(c, "not_null", "false") for c in required] + coerced
+    good_cases = [(c, "not_null", f"{c} IS NULL") for c in required] + coerced
     inf = "'Infinity'::DOUBLE"
-    level, log = price_index.index_columns("price")
     index_cte = f"""WITH{sql.SCANNER}, checked AS (
         SELECT CASE WHEN store_id % 9 > 0 THEN store_id END AS store_id,
                CAST(make_date(calendar_year, calendar_month, 1) AS DATE) AS date,
@@ -353,16 +365,26 @@ def _contracts() -> dict[str, Entry]:
         FROM scanner),
       repeated AS (SELECT store_id, date, count(*) AS row_count FROM checked
                    GROUP BY store_id, date HAVING count(*) > 1)"""
-    index_rules = rules(
-        "price_index",
-        [
-            ("store_id", "not_null", "store_id IS NULL"),
-            ("date", "not_null", "date IS NULL"),
-            (level, "at_least_0", "v < 0"),
-            (level, "finite", f"v IN ({inf}, -{inf})"),
-            (log, "finite", f"lv IN ({inf}, -{inf})"),
-        ],
-    )
+
+    def index_rules(kind: str) -> str:
+        level, log = f"{LABEL}_{kind}_index", f"l_{LABEL}_{kind}_index"
+        counted = rules(
+            f"{kind}_index",
+            [
+                ("store_id", "not_null", "store_id IS NULL"),
+                ("date", "not_null", "date IS NULL"),
+                (level, "at_least_0", "v < 0"),
+                (level, "finite", f"v IN ({inf}, -{inf})"),
+                (log, "finite", f"lv IN ({inf}, -{inf})"),
+            ],
+        )
+        return (
+            f"{index_cte} {counted}"
+            f" UNION ALL SELECT '{kind}_index', 'note', 'extra_column', 1"
+            f" UNION ALL SELECT '{kind}_index', 'store_id,date', 'unique',"
+            " CAST(coalesce(sum(row_count - 1), 0) AS BIGINT) FROM repeated"
+        )
+
     return {
         "contract_input_clean": Entry(
             good,
@@ -375,13 +397,8 @@ def _contracts() -> dict[str, Entry]:
             + rules("store", faulty_cases)
             + " UNION ALL SELECT 'store', 'pack_size', 'missing_column', 1",
         ),
-        "contract_index_violations": Entry(
-            index,
-            f"{index_cte} {index_rules}"
-            " UNION ALL SELECT 'price_index', 'note', 'extra_column', 1"
-            " UNION ALL SELECT 'price_index', 'store_id,date', 'unique',"
-            " CAST(coalesce(sum(row_count - 1), 0) AS BIGINT) FROM repeated",
-        ),
+        "contract_index_violations": Entry(index, index_rules("price")),
+        "contract_qty_violations": Entry(qty_index, index_rules("qty")),
         "duplicate_keys": Entry(
             duplicates,
             f"{index_cte} SELECT store_id, date, row_count FROM repeated",
@@ -443,6 +460,12 @@ def _matching() -> dict[str, Entry]:
     def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
         return matching.zip_candidates(stores(spark, sf_dir), letters(spark, sf_dir))
 
+    def joined_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return matching.zip_candidates(
+            matching.prep_stores(views.store_master(spark, sf_dir), null_zip="join"),
+            matching.prep_letters(views.letters(spark, sf_dir), null_zip="join"),
+        )
+
     def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
         return matching.match_candidates(stores(spark, sf_dir), letters(spark, sf_dir))
 
@@ -458,7 +481,7 @@ def _matching() -> dict[str, Entry]:
 
     def words(text: str) -> str:
         clean = sql.basic_clean_sql(text)
-        return sql.street_words_sql(clean, STREET_RULES)
+        return sql.street_words_sql(clean)
 
     head = f"WITH RECURSIVE {sql.STORES.strip()},{sql.LETTERS.split(',', 0)[0]}"
     ready = f""",
@@ -500,6 +523,15 @@ def _matching() -> dict[str, Entry]:
             " FROM stores s LEFT JOIN letters l ON s.zip_code = l.zip_code",
             LETTER_DATES,
         ),
+        "zip_candidates_null_join": Entry(
+            joined_candidates,
+            f"{head} SELECT s.address AS address_pdi, l.address AS address_fda, s.store_id,"
+            " s.store_name AS store_name_pdi, s.store_chain_name_pdi,"
+            " l.store_name AS store_name_fda, l.insp_date, l.issue_date,"
+            " coalesce(s.zip_code, 'nan') AS zip_code FROM stores s LEFT JOIN letters l"
+            " ON coalesce(s.zip_code, 'nan') = coalesce(l.zip_code, 'nan')",
+            LETTER_DATES,
+        ),
         "address_similarity": Entry(
             scored,
             f"{head}{ready} SELECT {CANDIDATES}, similarity_score FROM result",
@@ -549,6 +581,17 @@ def _texts() -> dict[str, Entry]:
             expand_street_words(basic_clean(address)).alias("expanded"),
         )
 
+    def long_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+        # every benchmark item against the next one: texts of up to 400 characters
+        items = views.table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("a"))
+        after = items.select((F.col("item_id") - 1).alias("item_id"), F.col("a").alias("b"))
+        a, b = basic_clean(F.col("a")), basic_clean(F.col("b"))
+        return items.join(after, "item_id").select(
+            "item_id",
+            F.length(token_sorted(a)).cast("long").alias("chars"),
+            similarity_score(a, b).alias("score"),
+        )
+
     def sort_words(spark: SparkSession, sf_dir: str) -> DataFrame:
         address = F.col("address")
         words = token_sorted(expand_street_words(basic_clean(address)))
@@ -559,7 +602,7 @@ def _texts() -> dict[str, Entry]:
         " UNION ALL SELECT address FROM letters_raw)"
     )
     cleaned = sql.basic_clean_sql("address")
-    expanded = sql.street_words_sql(cleaned, STREET_RULES)
+    expanded = sql.street_words_sql(cleaned)
     return {
         "address_basic_clean": Entry(
             clean, f"SELECT doc_id, {sql.basic_clean_sql('text')} AS clean FROM documents"
@@ -567,6 +610,18 @@ def _texts() -> dict[str, Entry]:
         "address_expand": Entry(
             expand, f"{both} SELECT address, {cleaned} AS clean, {expanded} AS expanded FROM addresses"
         ),
+        "similarity_long_texts": Entry(
+            long_texts,
+            f"""WITH RECURSIVE pairs AS (
+              SELECT i.item_id, {sql.token_sorted_sql(sql.basic_clean_sql("i.text"))} AS words_a,
+                     {sql.token_sorted_sql(sql.basic_clean_sql("j.text"))} AS words_b
+              FROM benchmark i JOIN benchmark j ON j.item_id = i.item_id + 1
+            ),{sql.BLOCK_RATIO}
+            SELECT item_id, length(words_a) AS chars,
+                   CAST(CASE WHEN words_a = words_b THEN 100 WHEN words_a = '' OR words_b = '' THEN 0
+                        ELSE score END AS INTEGER) AS score
+            FROM pairs LEFT JOIN scored ON top_a = words_a AND top_b = words_b""",
+        ),
         "token_sorted": Entry(
             sort_words,
             f"{both} SELECT address, {sql.token_sorted_sql(expanded)} AS words FROM addresses",
@@ -600,7 +655,7 @@ def _treatments() -> dict[str, Entry]:
                  CASE WHEN o_orderstatus <> 'O'
                       THEN CAST(date_trunc('month', o_orderdate + INTERVAL 60 DAY) AS DATE)
                  END AS issue_date
-          FROM orders WHERE o_orderpriority = '1-URGENT' AND o_orderkey % 10 = 0)"""
+          FROM orders WHERE o_orderpriority = '1-URGENT')"""
     result = f"""{sql.index_ctes("quantity", "fiscal_year")}, {months_cte}, treated AS (
           SELECT i.store_id, i.date, round(i.level, 6) AS {level}, round(i.log_level, 6) AS {log},
                  m.insp_date, m.issue_date,

@@ -122,15 +122,15 @@ def faulty_scanner(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def faulty_index(spark: SparkSession, sf_dir: str, label: str) -> DataFrame:
-    """Scanner rows passed off as a price index: negatives, infinities, duplicates."""
+def faulty_index(spark: SparkSession, sf_dir: str, label: str, kind: str = "price") -> DataFrame:
+    """Scanner rows passed off as an index: negatives, infinities, duplicates."""
     store = F.col("store_id")
     shifted = F.col("unit_value_q") - 1500.0
     return scanner(spark, sf_dir).select(
         F.when(store % 9 > 0, store).alias("store_id"),
         F.make_date("calendar_year", "calendar_month", F.lit(1)).alias("date"),
-        F.when(store % 10 == 0, F.lit(float("inf"))).otherwise(shifted).alias(f"{label}_price_index"),
-        F.when(store % 10 == 1, F.lit(float("-inf"))).otherwise(shifted).alias(f"l_{label}_price_index"),
+        F.when(store % 10 == 0, F.lit(float("inf"))).otherwise(shifted).alias(f"{label}_{kind}_index"),
+        F.when(store % 10 == 1, F.lit(float("-inf"))).otherwise(shifted).alias(f"l_{label}_{kind}_index"),
         F.lit("x").alias("note"),
     )
 
@@ -174,7 +174,7 @@ def store_master(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.col("s_name").alias("STORE_NAME"),
             F.concat(F.lit("Chain "), F.col("s_nationkey")).alias("STORE_CHAIN_NAME"),
             address.alias("STREET_ADDRESS"),
-            F.when(~((key < 51) & (key % 17 == 0)), zip_code).alias("ZIP_CODE"),
+            F.when(key % 17 != 0, zip_code).alias("ZIP_CODE"),
         )
     )
 
@@ -217,7 +217,7 @@ def letters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def reviewed_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Reviewed candidate rows: inspection and issue dates with a 0/1 verdict."""
-    urgent = (F.col("o_orderpriority") == "1-URGENT") & (F.col("o_orderkey") % 10 == 0)
+    urgent = F.col("o_orderpriority") == "1-URGENT"
     inspected = F.col("o_orderdate").cast("date")
     return table(spark, sf_dir, "orders").select(
         (F.col("o_custkey") / 15).cast("bigint").alias("store_id"),

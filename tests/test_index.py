@@ -53,24 +53,23 @@ def unique(request):
 
 
 def tiny_raw(spark):
-    rows = []
-    for i, month in enumerate((10, 11, 12)):
-        rows.append(
-            dict(
-                STORE_ID=1001, CALENDAR_YEAR=2022, CALENDAR_MONTH=month, GTIN="12345",
-                NONSCAN_CATEGORY=None, NONSCAN_SUBCATEGORY=None, NONSCAN_DETAIL=None,
-                QUANTITY=10.0 + i, QUANTITY_WITH_DISCOUNT=5.0 + i / 2, TRANSACTION_COUNT=1,
-                TRANSACTION_COUNT_WITH_DISCOUNT=1, TOTAL_REVENUE_AMOUNT=100.0 + 10 * i,
-                SCAN_TYPE="GTIN", CATEGORY="MERCHANDISE", SUBCATEGORY="Vaping Products",
-                MANUFACTURER=None, BRAND=None, PRODUCT_TYPE="Disposable", SUB_PRODUCT_TYPE=None,
-                UNIT_SIZE=None, PACK_SIZE=None, PRODUCT_DESCRIPTION=None, Q_PLUS_QWD=10.0 + i,
-                UNIT_VALUE_Q_PLUS_QWD=(3.0, 3.5, None)[i], UNIT_VALUE_Q=(5.0, 6.0, 6.5)[i],
-            )
-        )
+    """Raw rows of one product over one spring, upper-case names."""
     from tillmark.sources.readers import store_schema
 
     schema = store_schema(upper=True)
-    return spark.createDataFrame([tuple(r[n] for n in schema.names) for r in rows], schema)
+    fixed = dict(
+        STORE_ID=77, CALENDAR_YEAR=2023, GTIN="00981", TRANSACTION_COUNT=4,
+        TRANSACTION_COUNT_WITH_DISCOUNT=0, QUANTITY_WITH_DISCOUNT=0.0, SCAN_TYPE="GTIN",
+        SUBCATEGORY="Vaping Products", PRODUCT_TYPE="Pods",
+    )
+    rows = []
+    for month, price, quantity in ((3, 4.0, 8.0), (4, 5.0, 20.0), (5, 4.0, 15.0)):
+        row = fixed | dict(
+            CALENDAR_MONTH=month, UNIT_VALUE_Q=price, QUANTITY=quantity, Q_PLUS_QWD=quantity,
+            TOTAL_REVENUE_AMOUNT=price * quantity,
+        )
+        rows.append(tuple(row.get(n) for n in schema.names))
+    return spark.createDataFrame(rows, schema)
 
 
 def test_tiny_store_end_to_end(spark, unique):
@@ -78,51 +77,42 @@ def test_tiny_store_end_to_end(spark, unique):
     rows = prepare.prepare_store(raw)
     assert {"date", "fiscal_year"} <= set(rows.columns)
     assert [r.fiscal_year for r in rows.collect()] == [2023] * 3
-    rows = STORE_CONTRACT.enforce(rows)
-    kept = prepare.filter_subcategory(rows)
+    kept = prepare.filter_subcategory(STORE_CONTRACT.enforce(rows))
     price = index_contract("price").enforce(price_index.geo_index(kept, unique_months=unique))
-    assert series(price) == approx([None, 1.2, 1.083333333])
-    assert series(price, log=True) == approx([None, 0.1823215568, 0.0800427077])
+    assert series(price) == approx([None, 1.25, 0.8])
+    assert series(price, log=True) == approx([None, math.log(1.25), -math.log(1.25)])
     qty = price_index.geo_index(kept, index_kind="qty", unique_months=unique)
-    assert series(index_contract("qty").enforce(qty), "qty") == approx([None, 1.1, 1.0909090909])
+    assert series(index_contract("qty").enforce(qty), "qty") == approx([None, 2.5, 0.75])
 
 
 def test_gap_month_has_no_index(spark, unique):
     df = prepared(spark, [
-        ("A", "Pods", 2023, 1, 10.0, 100, 1000),
-        ("A", "Pods", 2023, 2, 11.0, 110, 1210),
-        ("A", "Pods", 2023, 4, 15.0, 150, 2250),
+        ("g", "Bulk", 2024, 5, 4.0, 1, 7), ("g", "Bulk", 2024, 6, 5.0, 1, 7),
+        ("g", "Bulk", 2024, 9, 8.0, 1, 7), ("g", "Bulk", 2024, 10, 6.0, 1, 7),
     ])
-    assert series(price_index.geo_index(df, unique_months=unique)) == approx([None, 1.1, None])
+    assert series(price_index.geo_index(df, unique_months=unique)) == approx([None, 1.25, None, 0.75])
 
 
 def test_price_and_quantity_differ(spark, unique):
-    df = prepared(spark, [
-        ("A", "Pods", 2023, m, p, q, r)
-        for m, p, q, r in zip(
-            (1, 2, 3, 4), (10.0, 12.0, 12.0, 15.0), (100, 120, 90, 110), (1000, 1440, 1080, 1650)
-        )
-    ])
+    steps = [(2, 8.0, 10), (3, 10.0, 5), (4, 5.0, 20), (5, 6.0, 16)]
+    df = prepared(spark, [("g", "Bulk", 2024, m, p, q, 1) for m, p, q in steps])
     price = price_index.geo_index(df, "calendar", "price", unique_months=unique)
     qty = price_index.geo_index(df, "calendar", "qty", unique_months=unique)
-    assert series(price) == approx([None, 1.2, 1.0, 1.25])
-    assert series(qty, "qty") == approx([None, 1.2, 0.75, 1.2222222222])
+    assert series(price) == approx([None, 1.25, 0.5, 1.2])
+    assert series(qty, "qty") == approx([None, 0.5, 4.0, 0.8])
 
 
 def test_fiscal_and_calendar_differ_under_a_mix_shift(spark, unique):
-    months = [(2022, 10), (2022, 11), (2022, 12), (2023, 1), (2023, 2), (2023, 3)]
-    big, small = [1000] * 3 + [100] * 3, [100] * 3 + [1000] * 3
+    # X doubles each month, Y stands still: the index is 2 to the power of X's share
     rows = []
-    for (y, m), pa, pb, ra, rb in zip(
-        months, (10, 11, 12, 13, 14, 15), (20, 20, 20, 19, 18, 17), big, small
-    ):
-        rows.append(("A", "Pods", y, m, float(pa), 100, ra))
-        rows.append(("B", "Pods", y, m, float(pb), 100, rb))
+    for k, (y, m) in enumerate([(2023, 11), (2023, 12), (2024, 1), (2024, 2)]):
+        sold = (300, 100) if y == 2023 else (100, 300)
+        rows += [("X", "Bulk", y, m, 2.0**k, 1, sold[0]), ("Y", "Bulk", y, m, 3.0, 1, sold[1])]
     df = prepared(spark, rows)
     fiscal = series(price_index.geo_index(df, "fiscal", unique_months=unique))
     calendar = series(price_index.geo_index(df, "calendar", unique_months=unique))
-    assert fiscal == approx([None, 1.04880885, 1.04446594, 1.01447852, 1.01007075, 1.00593477])
-    assert calendar == approx([None, 1.09051015, 1.0823139, 0.96141064, 0.958472, 0.95533796])
+    assert fiscal == approx([None] + [2**0.5] * 3)
+    assert calendar == approx([None, 2**0.75, 2**0.25, 2**0.25])
 
 
 # --- edge rules ------------------------------------------------------------
@@ -200,6 +190,40 @@ def test_identical_copies_take_the_lag_once(spark):
     assert series(price_index.geo_index(df, "calendar")) == approx([None, 1.2])
 
 
+def test_a_repeated_order_fails(spark):
+    df = prepared(spark, [("A", "Pods", 2023, 1, 10.0, 1, 10), ("A", "Pods", 2023, 1, 12.0, 1, 10)])
+    with pytest.raises(Exception, match="order_col repeats"):
+        lags.value_lags(df, "unit_value_q", order_col="quantity").collect()
+    with pytest.raises(Exception, match="order_col repeats"):
+        price_index.geo_index(df, "calendar", order_col="quantity").collect()
+
+
+def test_a_million_copies_are_written_by_several_tasks(spark):
+    one = prepared(spark, [("A", "Pods", 2023, 1, 10.0, 1, 10)]).withColumn("k", F.lit(1))
+    two = prepared(spark, [("A", "Pods", 2023, 2, 12.0, 1, 10)]).withColumn("k", F.lit(1))
+    copies = spark.range(0, 1_000_000, 1, 8).select(F.lit(1).alias("k")).join(F.broadcast(two), "k")
+    out = lags.value_lags(one.unionByName(copies).drop("k"), "unit_value_q")
+    tasks = out.withColumn("task", F.spark_partition_id()).groupBy("task").agg(
+        F.count(F.lit(1)).alias("n"), F.count("lag_value").alias("lags")
+    ).collect()
+    assert sum(r.n for r in tasks) == 1_000_001 and sum(r.lags for r in tasks) == 1
+    assert sum(r.n > 50_000 for r in tasks) > 1
+
+
+def test_rows_without_product_meet_no_window(spark):
+    rows = [(None, "Pods", 2023, 1, 1.0, 1, 10)] * 3 + [("A", "Pods", 2023, m, 2.0**m, 1, 10) for m in (1, 2)]
+    df = prepared(spark, rows)
+    for unique in (True, False):
+        out = lags.value_lags(df, "unit_value_q", unique_months=unique)
+        got = out.where("gtin is null").select("month_diff", "lag_value").collect()
+        assert [tuple(r) for r in got] == [(None, None)] * 3
+        branches = out._jdf.queryExecution().optimizedPlan().children()
+        named, unnamed = branches.head().toString(), branches.last().toString()
+        assert "Window" in named and "isnotnull(gtin" in named and "Window" not in unnamed
+        index = price_index.geo_index(df, "calendar", unique_months=unique)
+        assert series(index) == approx([None, 2.0 ** (20 / 50)])
+
+
 def test_a_wrong_claim_of_unique_months_fails(spark):
     df = prepared(spark, [("A", "Pods", 2023, 1, 1.0, 1, 1), ("A", "Bulk", 2023, 1, 1.0, 1, 1)])
     with pytest.raises(Exception, match="two rows in one month"):

@@ -30,7 +30,9 @@ def test_letter_preparation(spark):
     got = {r.store_name: r for r in matching.prep_letters(df).collect()}
     assert set(got) == {"L0", "L3"}
     assert (got["L0"].store_type, got["L0"].address, got["L0"].zip_code) == ("Retail", "1 Oak", "01234")
-    assert (got["L3"].store_type, got["L3"].zip_code, got["L3"].products) == ("nan", "nan", "nan")
+    assert (got["L3"].store_type, got["L3"].zip_code, got["L3"].products) == ("nan", None, "nan")
+    joined = {r.store_name: r.zip_code for r in matching.prep_letters(df, null_zip="join").collect()}
+    assert joined["L3"] == "nan"
     assert got["L3"].issue_date is None
     with pytest.raises(ValueError):
         matching.prep_letters(df.drop("a"))
@@ -40,24 +42,31 @@ def test_store_preparation_and_zip_rules(spark):
     df = stores(spark, [(1, " 1 Oak ", "12345-6789"), (2, None, None)])
     rows = {r.store_id: r for r in matching.prep_stores(df).collect()}
     assert rows[1].zip_code == "12345-6789" and rows[1].address == "1 Oak"
-    assert rows[2].zip_code == "nan" and rows[2].address == "nan"
+    assert rows[2].zip_code is None and rows[2].address == "nan"
     assert rows[1].store_chain_name_pdi == "chain"
     five = {r.store_id: r.zip_code for r in matching.prep_stores(df, zip5=True).collect()}
-    assert five == {1: "12345", 2: "nan"}
-    kept = {r.store_id: r.zip_code for r in matching.prep_stores(df, null_token=None).collect()}
-    assert kept[2] is None
+    assert five == {1: "12345", 2: None}
+    joined = {r.store_id: r.zip_code for r in matching.prep_stores(df, null_zip="join").collect()}
+    assert joined[2] == "nan"
+    with pytest.raises(ValueError, match="null_zip"):
+        matching.prep_stores(df, null_zip="drop")
+
+
+def test_zip_codes_of_another_type(spark):
+    df = stores(spark, [(1, "1 Oak", "12345")]).withColumn("ZIP_CODE", F.lit(12345))
+    assert [r.zip_code for r in matching.prep_stores(df).collect()] == ["12345"]
 
 
 def test_candidates_join_missing_zips_and_keep_unmatched_stores(spark):
-    s = matching.prep_stores(stores(spark, [(1, "1 Oak", None), (2, "2 Oak", "2"), (3, "3 Oak", "3-1")]))
-    ls = matching.prep_letters(letters(spark, [("r", "1 Oak St.", None), ("r", "2 oak", "2"), ("r", "9 Elm", "2")]))
+    ours = stores(spark, [(1, "1 Oak", None), (2, "2 Oak", "2"), (3, "3 Oak", "3-1")])
+    theirs = letters(spark, [("r", "1 Oak St.", None), ("r", "2 oak", "2"), ("r", "9 Elm", "2")])
+    s = matching.prep_stores(ours, null_zip="join")
+    ls = matching.prep_letters(theirs, null_zip="join")
     got = {(r.store_id, r.store_name_fda) for r in matching.zip_candidates(s, ls).collect()}
     assert got == {(1, "L0"), (2, "L1"), (2, "L2"), (3, None)}
-    strict = matching.zip_candidates(
-        matching.prep_stores(stores(spark, [(1, "1 Oak", None)]), null_token=None),
-        matching.prep_letters(letters(spark, [("r", "1 Oak", None)]), null_token=None),
-    )
-    assert [r.store_name_fda for r in strict.collect()] == [None]
+    apart = matching.zip_candidates(matching.prep_stores(ours), matching.prep_letters(theirs))
+    got = {(r.store_id, r.store_name_fda) for r in apart.collect()}
+    assert got == {(1, None), (2, "L1"), (2, "L2"), (3, None)}
 
 
 def test_cleaning_before_the_join_equals_cleaning_after_it(spark):

@@ -4,7 +4,7 @@ import datetime as dt
 import os
 
 import pyarrow as pa
-import pyarrow.feather as feather
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -13,8 +13,8 @@ from tests.test_index import tiny_raw
 from tillmark.__main__ import main
 from tillmark.operators import prepare, price_index
 from tillmark.plans import jobs
-from tillmark.sources import feather as feather_source, readers
-from tillmark.sources.sinks import write_index_per_store, write_table
+from tillmark.sources import readers
+from tillmark.sources.sinks import with_timestamps, write_index_per_store
 
 SF = "/root/testdata/sf0.001"
 
@@ -35,75 +35,37 @@ def store_file(folder, store, months, scan="GTIN"):
     }
     for name in ("QUANTITY", "QUANTITY_WITH_DISCOUNT", "TOTAL_REVENUE_AMOUNT", "Q_PLUS_QWD"):
         table[name] = [10.0] * n
-    feather.write_feather(pa.table(table), os.path.join(folder, f"{store}.feather"))
+    pq.write_table(pa.table(table), os.path.join(folder, f"{store}.parquet"))
 
 
-def test_feather_scan_prunes_and_names_stores(spark, tmp_path):
+def test_store_scan_with_declared_schema_and_names(spark, tmp_path):
     for store in (7, 8, 9):
         store_file(tmp_path, store, [1, 2, 3], "GTIN" if store < 9 else "NONSCAN")
-    (tmp_path / "notes.txt").write_text("x")
-    df = readers.read_store_table(spark, str(tmp_path), "feather", file_id="file_store")
+    df = readers.read_store_table(spark, str(tmp_path), schema=readers.store_schema(upper=True), file_id="file_store")
     assert df.count() == 9 and {r.file_store for r in df.select("file_store").distinct().collect()} == {"7", "8", "9"}
     kept = df.filter("SCAN_TYPE = 'GTIN' AND STORE_ID > 7").select("STORE_ID", "CALENDAR_MONTH")
     assert sorted(map(tuple, kept.collect())) == [(8, 1), (8, 2), (8, 3)]
-    # a filter on one use of the table must not reach its other use
-    both = df.join(df.filter("SCAN_TYPE = 'GTIN'").select("STORE_ID").distinct(), "STORE_ID", "left_anti")
-    assert {r.STORE_ID for r in both.collect()} == {9}
-    two = spark.read.format("feather").option("columns", "STORE_ID,GTIN").load(str(tmp_path))
-    assert two.columns == ["STORE_ID", "GTIN"] and two.count() == 9
-    declared = readers.read_store_table(spark, str(tmp_path), "feather", readers.store_schema(upper=True))
-    assert dict(declared.dtypes)["BRAND"] == "string"
-    with pytest.raises(Exception, match="No Feather files"):
-        spark.read.format("feather").load(str(tmp_path / "none"))
+    assert dict(df.dtypes)["BRAND"] == "string"
 
 
 def test_store_number_from_a_parquet_file_name(spark, tmp_path):
-    import pyarrow.parquet as pq
-
     for store in (28380, 7):
         pq.write_table(pa.table({"x": [1, 2]}), str(tmp_path / f"{store}.snappy.parquet"))
     df = readers.read_store_table(spark, str(tmp_path), file_id="store")
     assert sorted(r.store for r in df.collect()) == ["28380", "28380", "7", "7"]
     assert readers.read_if_present(spark, str(tmp_path / "none")) is None
-    assert readers.read_if_present(spark, str(tmp_path / "none"), "feather") is None
     assert readers.read_if_present(spark, None) is None
 
 
-def test_large_feather_files_are_cut_at_batches(spark, tmp_path, monkeypatch):
-    table = pa.table({"x": list(range(1000))})
-    feather.write_feather(table, str(tmp_path / "a.feather"), chunksize=100)
-    monkeypatch.setattr(feather_source, "SPLIT_BYTES", 2000)
-    files = feather_source._files(str(tmp_path), "*.feather")
-    from pyspark.sql.types import StructType
-
-    reader = feather_source.FeatherReader(str(tmp_path), files, StructType.fromDDL("x long"), None)
-    parts = reader.partitions()
-    assert len(parts) > 2
-    values = [v for p in parts for b in reader.read(p) for v in b.column(0).to_pylist()]
-    assert values == list(range(1000))
-
-
-def test_feather_round_trip_and_overwrite(spark, tmp_path):
-    path = str(tmp_path / "out")
-    df = spark.range(100).withColumn("d", F.lit(dt.date(2023, 1, 1))).repartition(3)
-    for _ in range(2):
-        back = write_table(df, path, "feather")
-        assert sorted(r.id for r in back.collect()) == list(range(100))
-    assert all(n.endswith(".feather") for n in os.listdir(path))
-    df.limit(5).write.format("feather").mode("append").save(path)
-    assert spark.read.format("feather").load(path).count() == 105
-
-
 def test_index_per_store(spark, tmp_path):
     index = price_index.geo_index(
         prepare.filter_subcategory(prepare.prepare_store(views.scanner(spark, SF), views.FISCAL)),
         unique_months=True,
     )
-    write_index_per_store(index, str(tmp_path / "f"), "feather")
-    names = sorted(os.listdir(tmp_path / "f"))
-    assert names == sorted(f"{r.store_id}.feather" for r in index.select("store_id").distinct().collect())
-    one = feather.read_table(str(tmp_path / "f" / names[0]))
-    assert str(one.schema.field("date").type).startswith("timestamp")
+    write_index_per_store(with_timestamps(index), str(tmp_path / "f"))
+    names = {n for n in os.listdir(tmp_path / "f") if n.startswith("store_id=")}
+    assert names == {f"store_id={r.store_id}" for r in index.select("store_id").distinct().collect()}
+    assert dict(spark.read.parquet(str(tmp_path / "f")).dtypes)["date"] == "timestamp"
     write_index_per_store(index, str(tmp_path / "p"))
     assert spark.read.parquet(str(tmp_path / "p")).count() == index.count()
 
@@ -113,7 +75,7 @@ def test_index_job_presets(spark, tmp_path, preset):
     for store in (7, 8, 9, 10):
         store_file(tmp_path, store, [1, 2, 3], "GTIN" if store != 9 else "NONSCAN")
     out = str(tmp_path / "out")
-    raw = readers.read_store_table(spark, str(tmp_path), "feather", readers.store_schema(upper=True))
+    raw = readers.read_store_table(spark, str(tmp_path), schema=readers.store_schema(upper=True))
     kind, basis = jobs.PRESETS[preset].index_kind, jobs.PRESETS[preset].weight_basis
     panel = jobs.index_job(spark, raw, out, kind, basis, limit=3)
     rows = sorted((r.store_id, r.date.month, r[2]) for r in panel.collect())
@@ -158,7 +120,11 @@ def test_match_and_treatment_jobs_from_files(spark, tmp_path):
 
     level, log = price_index.index_columns("qty")
     index = spark.createDataFrame([(1, dt.date(2023, 3, 1), 1.0, 0.0)], f"store_id long, date date, {level} double, {log} double")
-    reviewed = sheet.withColumn("matching", F.when(F.col("similarity_score") > 90, 1).otherwise(0))
+    marked = sheet.withColumn("matching", F.when(F.col("similarity_score") > 90, 1).otherwise(0))
+    marked.write.option("header", True).csv(str(tmp_path / "reviewed"))
+    reviewed = readers.read_reviewed_sheet(spark, str(tmp_path / "reviewed"))
+    kinds = dict(reviewed.dtypes)
+    assert (kinds["store_id"], kinds["insp_date"], kinds["matching"], kinds["zip_code"]) == ("bigint", "date", "int", "string")
     counts = jobs.treatment_job(spark, index, reviewed, str(tmp_path / "out"))
     assert counts == {"rows": 1, "store_months": 1, "insp_rows": 1, "issue_rows": 1}
     with pytest.raises(ValueError, match="No warning letters"):
@@ -176,9 +142,62 @@ def test_validate_job_and_command_line(spark, tmp_path, capsys, monkeypatch):
     assert "panel rows: 3" in shown and "'index': 'skipped'" in shown
 
 
-def test_excel_reader_says_what_is_missing(spark, tmp_path):
+@pytest.mark.parametrize("cells", [8, 10])
+def test_letter_files_of_another_width_fail(spark, tmp_path, cells):
+    head = ",".join("abcdefghi") + "\n"
+    (tmp_path / "x-announcement.csv").write_text(head + ",".join(["2023-01-01"] * cells) + "\n")
+    with pytest.raises(Exception, match="(?i)malformed"):
+        # not even a single column can be read
+        readers.read_letters_csv(spark, str(tmp_path)).select("city").collect()
+
+
+def test_cells_with_line_breaks_and_other_dates(spark, tmp_path):
+    head = ",".join("abcdefghi") + "\n"
+    (tmp_path / "x-announcement.csv").write_text(head + 'Retail,05/03/2023,,Shop,"12 Main St.\nSuite 2",X,Y,00012,vapor\n')
+    row = readers.read_letters_csv(spark, str(tmp_path), "dd/MM/yyyy", multi_line=True).collect()
+    assert [(r.insp_date, r.address) for r in row] == [(dt.date(2023, 3, 5), "12 Main St.\nSuite 2")]
+    (tmp_path / "stores.csv").write_text('STORE_ID,STREET_ADDRESS\n1,"a\nb"\n')
+    stores = readers.read_store_master(spark, str(tmp_path / "stores.csv"), multi_line=True)
+    assert [r.STREET_ADDRESS for r in stores.collect()] == ["a\nb"]
+
+
+@pytest.mark.parametrize("limit", [None, 2])
+def test_index_job_reads_the_raw_table_twice(spark, tmp_path, limit):
+    for store in (7, 8, 9):
+        store_file(tmp_path, store, [1, 2, 3])
+    raw = readers.read_store_table(spark, str(tmp_path / "*.parquet"), schema=readers.store_schema(upper=True))
+    seen = []
+    real = jobs.write_table
+
+    def counting(df, path, fmt="parquet"):
+        seen.append(df._jdf.queryExecution().optimizedPlan().toString().count("CALENDAR_YEAR#") > 0)
+        return real(df, path, fmt)
+
+    jobs.write_table = counting
     try:
-        import openpyxl  # noqa: F401
-    except ImportError:
-        with pytest.raises(RuntimeError, match="openpyxl"):
-            readers.read_excel(spark, str(tmp_path), "a string")
+        panel = jobs.index_job(spark, raw, str(tmp_path / "out"), limit=limit)
+    finally:
+        jobs.write_table = real
+    # status and kept rows; a dry run reads the ids once before
+    assert sum(seen) == (2 if limit is None else 3)
+    assert panel.select("store_id").distinct().count() == (limit or 3)
+
+
+def test_limit_takes_no_place_for_missing_ids(spark):
+    df = spark.createDataFrame([(None,), (3,), (1,), (2,)], "store_id long")
+    assert {r.store_id for r in prepare.limit_stores(df, 2).collect()} == {1, 2}
+
+
+def test_whole_number_codes_are_plain_digits(spark):
+    from tillmark.operators.contracts import STORE_CONTRACT
+
+    df = spark.createDataFrame([(12345678901234.0,), (1.5,), (None,), (float("nan"),)], "gtin double")
+    assert [r.gtin for r in STORE_CONTRACT.coerce(df).collect()] == ["12345678901234", "1.5", None, None]
+
+
+def test_an_invalid_month_fails_in_the_jobs(spark, tmp_path):
+    spark.conf.set("spark.sql.ansi.enabled", "false")
+    bad = tiny_raw(spark).withColumn("CALENDAR_MONTH", F.lit(13).cast("long"))
+    with pytest.raises(Exception, match="(?i)month"):
+        jobs.index_job(spark, bad, str(tmp_path / "a"))
+    assert spark.conf.get("spark.sql.ansi.enabled") == "true"

@@ -11,6 +11,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from checks.sql_views import STREET_WORDS
 from tillmark.functions import text
 from tillmark.functions.similarity import block_ratios, similarity_score, token_sorted
 from tillmark.operators.matching import score_candidates
@@ -25,7 +26,7 @@ def python_clean(s):
 
 
 def python_expand(s):
-    for pattern, word in text.STREET_RULES:
+    for pattern, word in STREET_WORDS:
         s = re.sub(pattern, word, s, flags=re.IGNORECASE)
     return s
 
@@ -37,7 +38,7 @@ def python_score(a, b):
     a, b = words(a), words(b)
     if a == b:
         return 100
-    return int(round(100 * SequenceMatcher(None, a, b).ratio())) if a and b else 0
+    return int(round(100 * SequenceMatcher(None, a, b, False).ratio())) if a and b else 0
 
 
 def texts(spark, values):

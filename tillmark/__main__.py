@@ -6,6 +6,7 @@ import argparse
 
 from pyspark.sql import SparkSession
 
+from tillmark.operators.matching import NULL_ZIPS
 from tillmark.plans import jobs
 from tillmark.sources import readers
 
@@ -17,7 +18,7 @@ def _parser() -> argparse.ArgumentParser:
     index = commands.add_parser("index", help="store files to index panel")
     index.add_argument("--store-path", required=True)
     index.add_argument("--out", required=True)
-    index.add_argument("--format", default="parquet", choices=["parquet", "feather"])
+    index.add_argument("--format", default="parquet", help="a format that Spark reads and writes")
     index.add_argument("--weight-basis", default="fiscal", choices=["fiscal", "calendar"])
     index.add_argument("--index-kind", default="price", choices=["price", "qty"])
     index.add_argument("--preset", choices=sorted(jobs.PRESETS))
@@ -26,23 +27,29 @@ def _parser() -> argparse.ArgumentParser:
     index.add_argument("--order-column", help="row order inside a store-product-month")
     index.add_argument("--unique-months", action="store_true", help="there is one row per month")
     index.add_argument("--per-store", action="store_true", help="also one output per store")
+    index.add_argument("--timestamps", action="store_true", help="months as timestamps")
 
     match = commands.add_parser("match", help="letters and store master to candidate list")
     match.add_argument("--letters", required=True)
     match.add_argument("--stores", required=True)
     match.add_argument("--out", required=True)
     match.add_argument("--zip5", action="store_true", help="cut ZIP+4 codes to five digits")
+    match.add_argument(
+        "--null-zip", default="keep-apart", choices=NULL_ZIPS, help="what missing ZIPs match"
+    )
+    match.add_argument("--date-format", default="yyyy-MM-dd", help="of the letters' dates")
+    match.add_argument("--multi-line", action="store_true", help="cells may hold line breaks")
 
     treat = commands.add_parser("treat", help="reviewed matches onto an index panel")
     treat.add_argument("--panel", required=True)
     treat.add_argument("--reviewed", required=True, help="CSV with a 0/1 column 'matching'")
     treat.add_argument("--out", required=True)
-    treat.add_argument("--format", default="parquet", choices=["parquet", "feather"])
+    treat.add_argument("--format", default="parquet", help="a format that Spark reads and writes")
 
     check = commands.add_parser("validate", help="check sample tables if present")
     check.add_argument("--store")
     check.add_argument("--index")
-    check.add_argument("--format", default="parquet", choices=["parquet", "feather"])
+    check.add_argument("--format", default="parquet", help="a format that Spark reads and writes")
     return parser
 
 
@@ -65,16 +72,21 @@ def main(argv: list[str] | None = None) -> None:
             unique_months=args.unique_months,
             per_store=args.per_store,
             fmt=args.format,
+            timestamps=args.timestamps,
         )
         print(f"panel rows: {panel.count():,}")
     elif args.command == "match":
-        letters = readers.read_letters_csv(spark, args.letters)
-        stores = readers.read_store_master(spark, args.stores)
-        result = jobs.match_job(spark, stores, letters, args.out, zip5=args.zip5)
+        letters = readers.read_letters_csv(
+            spark, args.letters, args.date_format, multi_line=args.multi_line
+        )
+        stores = readers.read_store_master(spark, args.stores, multi_line=args.multi_line)
+        result = jobs.match_job(
+            spark, stores, letters, args.out, zip5=args.zip5, null_zip=args.null_zip
+        )
         print(f"letters: {result['letters']:,}, candidate pairs: {result['pairs']:,}")
         print(result["summary"])
     elif args.command == "treat":
-        reviewed = spark.read.option("header", True).option("inferSchema", True).csv(args.reviewed)
+        reviewed = readers.read_reviewed_sheet(spark, args.reviewed)
         panel = readers.read_store_table(spark, args.panel, args.format)
         print(jobs.treatment_job(spark, panel, reviewed, args.out, args.format))
     else:

@@ -45,6 +45,10 @@ class Field:
         c = F.col(self.name)
         if source in FLOATING:
             c = F.when(self.known(source), c)
+            if self.dtype == "string":
+                # a whole number is written in plain digits, as from an integer column
+                whole = (c == F.floor(c)) & (F.abs(c) < 1e18)
+                return F.when(whole, c.cast("decimal(38,0)").cast("string")).otherwise(c.cast("string"))
         return c if source == self.dtype else c.try_cast(self.dtype)
 
     def broken(self, source: str) -> Iterator[tuple[str, Column]]:

@@ -16,6 +16,15 @@ def not_unique() -> Column:
     return F.raise_error("a store-product series has two rows in one month").cast("double")
 
 
+def not_ordered() -> Column:
+    """Fails the query when two rows of a month have the same place in its order."""
+    return F.raise_error("order_col repeats within a month").cast("double")
+
+
+# parts that identical rows are counted in, and so tasks that write them out again
+PARTS = 32
+
+
 def value_lags(
     df: DataFrame,
     value_col: str,
@@ -29,57 +38,75 @@ def value_lags(
     Rows of one store-product series are ordered by month.  When a month has
     several rows, the first takes the lag of the previous month's last row and
     the others follow it at distance 0.  ``order_col`` is the row order inside a
-    month and must be unique there; without it rows are ordered by value and
-    then by their remaining columns.
+    month; the query fails if two rows of a month share it.  Without it rows are
+    ordered by value and then by their remaining columns.
+
+    Rows without store or product have no lag and no distance; they go around the
+    windows and shuffles.
 
     ``unique_months=True`` states that a series has one row per month; the query
     fails if it has more.  The lag is then one window with one shuffle, over
     groups no larger than the number of months.  Otherwise months are reduced by
-    map-side aggregation before the window, so that any number of rows in one
-    month never meets in one task; the rows pick the result up in an equi-join.
+    map-side aggregation before the window, and the rows pick the result up in an
+    equi-join.  Without ``order_col``, identical rows are counted before they move,
+    in up to ``PARTS`` parts, and each part writes its copies out in its own task.
     """
     require_columns(df, [*SERIES, "date", value_col])
     rows = df.withColumn(out_value_col, number(F.col(value_col)))
     named = F.col("store_id").isNotNull() & F.col("gtin").isNotNull()
+    unnamed = rows.where(~named).withColumns(
+        {"month_diff": F.lit(None).cast("int"), out_lag_value_col: F.lit(None).cast("double")}
+    )
+    rows = rows.where(named)
+    columns = [*df.columns, "month_diff", out_value_col, out_lag_value_col]
+    columns = list(dict.fromkeys(columns))
     series = Window.partitionBy(*SERIES).orderBy("date")
+    month = [*SERIES, "date"]
+    number_of_month = month_number(F.col("date"))
 
     if unique_months:
-        gap = month_number(F.col("date")) - F.lag(month_number(F.col("date"))).over(series)
+        gap = number_of_month - F.lag(number_of_month).over(series)
         previous = F.lag(out_value_col).over(series)
-        distance = F.when(named, F.when(gap == 0, not_unique().cast("int")).otherwise(gap))
-        return rows.withColumn("month_diff", distance).withColumn(
+        distance = F.when(gap == 0, not_unique().cast("int")).otherwise(gap)
+        lagged = rows.withColumn("month_diff", distance).withColumn(
             out_lag_value_col, F.when(F.col("month_diff") == 1, previous)
         )
+        return lagged.select(*columns).unionByName(unnamed.select(*columns))
 
     value = F.col(out_value_col)
     if order_col is None:
-        # identical rows become one row with a count, expanded again at the end
+        # identical rows become one row per part with a count
+        part = F.pmod(F.spark_partition_id(), F.lit(PARTS))
+        rows = rows.withColumn("__part", part)
         rows = rows.groupBy(*rows.columns).agg(F.count(F.lit(1)).alias("__copies"))
-        rest = [c for c in df.columns if c not in (*SERIES, "date", value_col)]
-        key = F.struct(value.alias("value"), *rest)
-        closing = F.max(key)["value"]
+        rest = [c for c in df.columns if c not in (*month, value_col)]
+        key = F.struct(value.alias("value"), *rest, F.col("__part"))
+        ends = rows.groupBy(*month).agg(F.min(key).alias("__open"), F.max(key)["value"].alias("__close"))
     else:
         rows = rows.withColumn("__copies", F.lit(1).cast("long"))
         key = F.col(order_col)
-        closing = F.max_by(value, key)
+        placed = rows.groupBy(*month, order_col).agg(
+            F.first(value).alias("__value"), F.count(F.lit(1)).alias("__rows")
+        )
+        checked = F.when(F.col("__rows") > 1, not_ordered()).otherwise(F.col("__value"))
+        ends = placed.groupBy(*month).agg(F.min(key).alias("__open"), F.max_by(checked, key).alias("__close"))
 
-    month = [*SERIES, "date"]
-    months = rows.groupBy(*month).agg(F.min(key).alias("__open"), closing.alias("__close"))
-    number_of_month = month_number(F.col("date"))
-    months = months.select(
+    months = ends.select(
         *month,
         "__open",
         (number_of_month - F.lag(number_of_month).over(series)).alias("__gap"),
         F.lag("__close").over(series).alias("__previous"),
     )
-    joined = rows.join(months, month, "left").withColumn(
-        "__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies")))
-    )
-    opens = key.eqNullSafe(F.col("__open")) & (F.col("__copy") == 1)
-    return (
-        joined.withColumn(
-            "month_diff", F.when(named, F.when(opens, F.col("__gap")).otherwise(F.lit(0)))
-        )
-        .withColumn(out_lag_value_col, F.when(F.col("month_diff") == 1, F.col("__previous")))
-        .select(*df.columns, "month_diff", out_value_col, out_lag_value_col)
-    )
+    joined = rows.join(months, month, "left").withColumn("__first", key.eqNullSafe(F.col("__open")))
+    if order_col is None:
+        single = joined.where("__copies = 1").withColumn("__copy", F.lit(1).cast("long"))
+        several = joined.where("__copies > 1").repartition(PARTS, "__part", *month)
+        copies = F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies")))
+        joined = single.unionByName(several.withColumn("__copy", copies))
+    else:
+        joined = joined.withColumn("__copy", F.lit(1).cast("long"))
+    opens = F.col("__first") & (F.col("__copy") == 1)
+    lagged = joined.withColumn(
+        "month_diff", F.when(opens, F.col("__gap")).otherwise(F.lit(0))
+    ).withColumn(out_lag_value_col, F.when(F.col("month_diff") == 1, F.col("__previous")))
+    return lagged.select(*columns).unionByName(unnamed.select(*columns))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from tillmark.functions.similarity import similarity_score, sorted_ratio, token_sorted
 from tillmark.functions.text import as_text, normalise_address, strip
@@ -18,13 +18,30 @@ ONLINE_STORE_TYPES = ("Online", "online")
 SUFFIXES = ("_pdi", "_fda")
 
 
-def prep_letters(df: DataFrame, null_token: str | None = "nan") -> DataFrame:
-    """Name the nine columns by position, text-clean them, drop online stores."""
+# What a missing ZIP does: match nothing, or match every other missing one as text.
+NULL_ZIPS = ("keep-apart", "join")
+
+
+def _zip_text(null_token: str | None, null_zip: str) -> Column:
+    if null_zip not in NULL_ZIPS:
+        raise ValueError(f"null_zip must be one of {NULL_ZIPS}")
+    return as_text(F.col("zip_code"), null_token if null_zip == "join" else None)
+
+
+def prep_letters(
+    df: DataFrame, null_token: str | None = "nan", null_zip: str = "keep-apart"
+) -> DataFrame:
+    """Name the nine columns by position, text-clean them, drop online stores.
+
+    A missing ZIP stays missing and matches no store; with ``null_zip="join"`` it
+    becomes the text ``null_token`` like other missing values, and pairs with
+    every store whose ZIP is missing too.
+    """
     if len(df.columns) != len(LETTER_COLUMNS):
         raise ValueError(f"letters need {len(LETTER_COLUMNS)} columns, got {len(df.columns)}")
     named = df.toDF(*LETTER_COLUMNS)
     text = {c: as_text(F.col(c), null_token) for c in LETTER_COLUMNS if c not in LETTER_DATES}
-    text["zip_code"] = F.replace(text["zip_code"], F.lit('"'), F.lit(""))
+    text["zip_code"] = F.replace(_zip_text(null_token, null_zip), F.lit('"'), F.lit(""))
     cleaned = named.withColumns({c: strip(e) for c, e in text.items()})
     offline = ~F.coalesce(F.col("store_type").isin(*ONLINE_STORE_TYPES), F.lit(False))
     return cleaned.filter(offline)
@@ -35,17 +52,20 @@ def prep_stores(
     null_token: str | None = "nan",
     zip5: bool = False,
     suffix: str = SUFFIXES[0],
+    null_zip: str = "keep-apart",
 ) -> DataFrame:
-    """Lower-case and rename columns, text-clean every text column.
+    """Lower-case and rename columns, text-clean every text column and the ZIP.
 
     ``zip5`` cuts ZIP+4 codes to five digits.  The default keeps them as they
-    are and only removes the literal text ``-.*``.
+    are and only removes the literal text ``-.*``.  ``null_zip`` is described at
+    :func:`prep_letters`.
     """
     df = lower_columns(df).withColumnsRenamed(
         {"store_chain_name": f"store_chain_name{suffix}", "street_address": "address"}
     )
     require_columns(df, ["store_id", "store_name", "address", "zip_code"])
     text = {n: as_text(F.col(n), null_token) for n, t in df.dtypes if t == "string"}
+    text["zip_code"] = _zip_text(null_token, null_zip)
     if zip5:
         text["zip_code"] = F.regexp_replace(text["zip_code"], "-.*", "")
     else:
@@ -118,7 +138,7 @@ def match_candidates(
     before the join multiplies them.  The join is that of :func:`zip_candidates`.
     Scoring a pair costs far more than moving it, so pairs are dealt out evenly
     first: a crowded ZIP is then scored by all tasks and not by those that
-    joined it.
+    joined it.  AQE sets the number of these tasks by the size of the pairs.
     """
     ours, theirs = _store_side(stores, suffixes[0]), _letter_side(letters, suffixes[1])
     a, b = (f"address{s}" for s in suffixes)
@@ -130,7 +150,7 @@ def match_candidates(
         return df.withColumn(f"__{address}", token_sorted(F.col(address)))
 
     pairs = words(clean(ours, a), a).join(words(clean(theirs, b), b), "zip_code")
-    pairs = pairs.repartition(int(stores.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    pairs = pairs.hint("rebalance")
     score = sorted_ratio(F.col(f"__{a}"), F.col(f"__{b}"))
     scored = pairs.select(*candidate_columns(suffixes), score.alias("similarity_score"))
     alone = clean(_without_letters(ours, theirs), a)
@@ -142,7 +162,8 @@ def rank_candidates(scored: DataFrame) -> DataFrame:
     """Best score first, missing last.
 
     The remaining columns break ties, which also lets the range shuffle cut
-    through the many rows that share one score.
+    through the many rows that share one score.  That shuffle samples its input
+    first: rank scores that are written down, or they are computed twice.
     """
     ties = [c for c in scored.columns if c != "similarity_score"]
     return scored.orderBy(F.col("similarity_score").desc_nulls_last(), *ties)

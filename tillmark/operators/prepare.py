@@ -39,7 +39,7 @@ def value_column(index_kind: str) -> str:
 def require_columns(df: DataFrame, names: Sequence[str]) -> None:
     absent = [n for n in names if n not in df.columns]
     if absent:
-        raise KeyError(f"Expected column(s) {absent} not found. Available: {df.columns}")
+        raise KeyError(f"the table lacks {absent}; it has {df.columns}")
 
 
 def lower_columns(df: DataFrame) -> DataFrame:
@@ -72,15 +72,21 @@ def filter_subcategory(df: DataFrame, subcategory: str = DEFAULT_SUBCATEGORY) ->
 def limit_stores(df: DataFrame, n: int | None) -> DataFrame:
     """Rows of the ``n`` smallest store ids (dry run); ``None`` keeps everything.
 
-    The id list is a top-n over a partially aggregated distinct.  The semi join
-    carries no hint: Spark broadcasts the list only when its size allows it.
+    The id list is a top-n over a partially aggregated distinct; rows without id
+    take no place in it.  The semi join carries no hint: Spark broadcasts the list
+    only when its size allows it.
     """
     if n is None:
         return df
     if n < 0:
         raise ValueError("limit must not be negative")
-    chosen = df.select("store_id").distinct().orderBy("store_id").limit(n)
-    return df.join(chosen, "store_id", "left_semi")
+    return df.join(smallest_stores(df, n), "store_id", "left_semi")
+
+
+def smallest_stores(df: DataFrame, n: int) -> DataFrame:
+    """The ``n`` smallest store ids."""
+    ids = df.select("store_id").where(F.col("store_id").isNotNull()).distinct()
+    return ids.orderBy("store_id").limit(n)
 
 
 def store_status(

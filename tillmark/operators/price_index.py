@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from tillmark.functions.calendar import month_number
 from tillmark.functions.numeric import finite_positive, ieee_div, ieee_pow, number, product_or_null
 from tillmark.operators.joins import null_safe_left_join
-from tillmark.operators.lags import SERIES, not_unique
+from tillmark.operators.lags import SERIES, not_ordered, not_unique
 from tillmark.operators.prepare import period_column, require_columns, value_column
 from tillmark.operators.weights import (
     REVENUE,
@@ -46,26 +46,42 @@ def index_columns(index_kind: str, label: str = DEFAULT_LABEL) -> tuple[str, str
     return level, f"l_{level}"
 
 
+def input_columns(weight_basis: str, index_kind: str, order_col: str | None = None) -> list[str]:
+    """The columns of prepared rows that the index reads."""
+    names = [*product_keys(period_column(weight_basis)), "date", value_column(index_kind), REVENUE]
+    return list(dict.fromkeys(names + ([order_col] if order_col else [])))
+
+
 def _product_months(
     df: DataFrame, value_col: str, period: str, order_col: str | None, unique_months: bool
 ) -> DataFrame:
     """One row per store, product, type and month with its revenue and end values.
 
     ``opens_at`` and ``closes_at`` place the row among those of its month.  With
-    a plain ``order_col`` all buffers are fixed-width, so the aggregation hashes.
+    a plain ``order_col`` all buffers are fixed-width, so the aggregation hashes;
+    two rows of one product-month with the same order fail the query.
     """
     value = number(F.col(value_col))
     groups = [*product_keys(period), "date"]
     if unique_months:
         revenue = F.coalesce(number(F.col(REVENUE)), F.lit(0.0))
-        ends = [value.alias(c) for c in ("opening", "closing", "opens_at", "closes_at")]
-        return df.select(*groups, revenue.alias("revenue"), *ends)
+        names = ("opening", "closing", "opens_at", "closes_at")
+        named = F.col("store_id").isNotNull() & F.col("gtin").isNotNull()
+        known = df.where(named).select(*groups, revenue.alias("revenue"), *[value.alias(c) for c in names])
+        # rows without store or product have no lag, may repeat, and are one row a month
+        unnamed = df.where(~named).groupBy(*groups).agg(revenue_total().alias("revenue"))
+        return known.unionByName(unnamed.withColumns({c: F.lit(None).cast("double") for c in names}))
     if order_col is None:
         # rows of a month in order of value, unknown values first
         first = F.when(F.count_if(value.isNull()) == 0, F.min(value))
         ends = [first, F.max(value), first, F.max(value)]
     else:
         at = F.col(order_col)
+        lines = df.groupBy(*groups, order_col).agg(
+            revenue_total().alias(REVENUE), F.first(value).alias(value_col), F.count(F.lit(1)).alias("__rows")
+        )
+        once = F.when(F.col("__rows") > 1, not_ordered()).otherwise(F.col(value_col))
+        df = lines.withColumn(value_col, once)
         ends = [F.min_by(value, at), F.max_by(value, at), F.min(at), F.max(at)]
     names = ("opening", "closing", "opens_at", "closes_at")
     return df.groupBy(*groups).agg(

@@ -17,7 +17,7 @@ from tillmark.operators.contracts import STORE_CONTRACT, index_contract
 from tillmark.operators.weights import type_weight_table
 from tillmark.session import tune
 from tillmark.sources.readers import require_rows
-from tillmark.sources.sinks import write_index_per_store, write_review_sheet, write_table
+from tillmark.sources.sinks import with_timestamps, write_index_per_store, write_review_sheet, write_table
 
 
 @dataclass(frozen=True)
@@ -57,19 +57,31 @@ def index_job(
     unique_months: bool = False,
     per_store: bool = False,
     fmt: str = "parquet",
+    timestamps: bool = False,
 ) -> DataFrame:
     """Raw store rows to the validated index panel of all stores.
 
     Writes below ``out_dir``: ``store_status`` (with the contract's rule counts per
-    store, taken in the same scan), ``type_weights/<name>``, ``index/<name>``,
-    ``index_panels/<name>``, and with ``per_store`` also ``store_<name>``.
+    store, taken in the same scan), ``rows/<name>``, ``type_weights/<name>``,
+    ``index/<name>``, ``index_panels/<name>``, and with ``per_store`` also
+    ``store_<name>``; with ``limit`` first ``stores``, the chosen ids.
     ``contract="report"`` counts violations without stopping for them.
+    ``timestamps`` writes the months of panel and stores as timestamps.
+
+    The raw table is read twice (once more for the ids of a dry run): for the status
+    with its checks, and for the few columns of the kept rows, which are written
+    once and serve both the weights and the index.
     """
     name = output_name(index_kind, weight_basis, label)
     if contract not in CONTRACT_MODES:
         raise ValueError(f"contract must be one of {CONTRACT_MODES}")
     tune(spark)
-    raw = prepare.limit_stores(prepare.lower_columns(raw), limit)
+    raw = prepare.lower_columns(raw)
+    if limit is not None:
+        if limit < 0:
+            raise ValueError("limit must not be negative")
+        chosen = write_table(prepare.smallest_stores(raw, limit), f"{out_dir}/stores")
+        raw = raw.join(chosen, "store_id", "left_semi")
     rows = prepare.filter_subcategory(prepare.prepare_store(raw, calendar), subcategory)
     if contract == "skip":
         write_table(prepare.store_status(raw, subcategory), f"{out_dir}/store_status")
@@ -79,6 +91,9 @@ def index_job(
         if contract == "enforce":
             STORE_CONTRACT.fail_on(prepare.total_violations(status))
         rows = STORE_CONTRACT.coerce(rows)
+    rows = write_table(
+        rows.select(*price_index.input_columns(weight_basis, index_kind, order_col)), f"{out_dir}/rows/{name}"
+    )
 
     weights = write_table(
         type_weight_table(rows, prepare.period_column(weight_basis)),
@@ -89,8 +104,10 @@ def index_job(
     )
     index = write_table(index, f"{out_dir}/index/{name}")
     if per_store:
-        write_index_per_store(index, f"{out_dir}/store_{name}", fmt)
-    return build_panel(index, f"{out_dir}/index_panels/{name}", index_kind, label, fmt)
+        write_index_per_store(with_timestamps(index, timestamps), f"{out_dir}/store_{name}", fmt)
+    return build_panel(
+        index, f"{out_dir}/index_panels/{name}", index_kind, label, fmt, timestamps
+    )
 
 
 def build_panel(
@@ -99,11 +116,13 @@ def build_panel(
     index_kind: str = "price",
     label: str = price_index.DEFAULT_LABEL,
     fmt: str = "parquet",
+    timestamps: bool = False,
 ) -> DataFrame:
     """One row per store and month, checked against the index contract."""
     require_rows(index, "No store-level index rows to build a panel from", RuntimeError)
     unique = panel.keep_first(index)
-    return write_table(index_contract(index_kind, label).enforce(unique), path, fmt)
+    checked = index_contract(index_kind, label).enforce(unique)
+    return write_table(with_timestamps(checked, timestamps), path, fmt)
 
 
 def match_job(
@@ -114,19 +133,23 @@ def match_job(
     null_token: str | None = "nan",
     zip5: bool = False,
     preview: int = 10,
+    null_zip: str = "keep-apart",
 ) -> dict[str, Any]:
     """Raw letters and store master to the ranked candidate list for review.
 
-    Writes the letter panel, the scored pairs and the sorted review sheet.
+    Writes the prepared stores, the letter panel, the scored pairs and the sorted review sheet.
     Scores are computed once: the summary, the preview and the sort (whose range
-    shuffle samples its input first) all read the written pairs.
+    shuffle samples its input first) all read the written pairs.  Stores and
+    letters without ZIP match nothing unless ``null_zip`` is ``join``.
     """
     tune(spark)
     letter_panel = write_table(
-        matching.prep_letters(letters, null_token), f"{out_dir}/warning_letters_panel"
+        matching.prep_letters(letters, null_token, null_zip), f"{out_dir}/warning_letters_panel"
     )
     require_rows(letter_panel, "No warning letters found")
-    prepared = matching.prep_stores(stores, null_token, zip5)
+    prepared = write_table(
+        matching.prep_stores(stores, null_token, zip5, null_zip=null_zip), f"{out_dir}/stores"
+    )
     scored = write_table(
         matching.match_candidates(prepared, letter_panel), f"{out_dir}/warning_letters_scored"
     )

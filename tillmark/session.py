@@ -16,6 +16,8 @@ RUNTIME_CONF = {
     "spark.sql.adaptive.autoBroadcastJoinThreshold": "64MB",
     "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold": "64MB",
     "spark.sql.session.timeZone": "UTC",
+    # an invalid month must fail, not become NULL and drop out
+    "spark.sql.ansi.enabled": "true",
 }
 
 

@@ -2,16 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
-from pyspark.sql.types import StringType, StructType
+from pyspark.sql import Column, DataFrame, DataFrameReader, SparkSession, functions as F
+from pyspark.sql.types import StructType
 
 from tillmark.operators.contracts import STORE_CONTRACT
 from tillmark.operators.matching import LETTER_COLUMNS, LETTER_DATES
-from tillmark.sources.feather import register_feather
 
 # Spellings of "missing" in CSV and spreadsheet cells.
 MISSING_TOKENS = (
@@ -41,17 +37,10 @@ def read_store_table(
     schema: StructType | None = None,
     file_id: str | None = None,
 ) -> DataFrame:
-    """All store files under ``path`` as one table.
+    """All store files under ``path`` as one table, in a format that Spark reads itself.
 
     ``file_id`` adds a column with the store number taken from the file name.
     """
-    if fmt == "feather":
-        register_feather(spark)
-        reader = spark.read.format("feather")
-        if file_id:
-            reader = reader.option("fileStem", file_id)
-            schema = StructType(list(schema)).add(file_id, StringType()) if schema else None
-        return (reader.schema(schema) if schema else reader).load(path)
     reader = spark.read.schema(schema) if schema else spark.read
     df = reader.format(fmt).load(path)
     return df.withColumn(file_id, store_id_from_file()) if file_id else df
@@ -64,8 +53,7 @@ def read_if_present(spark: SparkSession, path: str | None, fmt: str = "parquet")
     try:
         return read_store_table(spark, path, fmt)
     except AnalysisException as error:
-        absent = ("PATH_NOT_FOUND", "No Feather files", "No such file")
-        if any(text in str(error) for text in absent):
+        if "PATH_NOT_FOUND" in str(error):
             return None
         raise
 
@@ -76,11 +64,22 @@ def missing_to_null(df: DataFrame) -> DataFrame:
     return df.withColumns({n: F.when(~F.col(n).isin(*MISSING_TOKENS), F.col(n)) for n in text})
 
 
+def _csv(spark: SparkSession, multi_line: bool) -> DataFrameReader:
+    reader = spark.read.option("header", True).option("quote", '"').option("escape", '"')
+    return reader.option("multiLine", multi_line)
+
+
 def read_store_master(
-    spark: SparkSession, path: str, schema: StructType | str | None = None
+    spark: SparkSession,
+    path: str,
+    schema: StructType | str | None = None,
+    multi_line: bool = False,
 ) -> DataFrame:
-    """Store master CSV.  Without a schema every column but STORE_ID is text."""
-    reader = spark.read.option("header", True).option("quote", '"').option("escape", '"')
+    """Store master CSV.  Without a schema every column but STORE_ID is text.
+
+    ``multi_line`` lets a quoted cell hold line breaks; a file is then one task.
+    """
+    reader = _csv(spark, multi_line)
     if schema is not None:
         return missing_to_null(reader.schema(schema).csv(path))
     df = missing_to_null(reader.csv(path))
@@ -89,15 +88,24 @@ def read_store_master(
 
 
 def read_letters_csv(
-    spark: SparkSession, path: str, date_format: str = "yyyy-MM-dd", glob: str = LETTER_GLOB
+    spark: SparkSession,
+    path: str,
+    date_format: str = "yyyy-MM-dd",
+    glob: str = LETTER_GLOB,
+    multi_line: bool = False,
 ) -> DataFrame:
-    """Letter files (one header line each) matched by position, in one read."""
+    """Letter files (one header line each) matched by position, in one read.
+
+    A row with more or fewer than nine cells fails the read.  The parser sees that
+    only in columns it parses, so it parses all of them whatever is selected.
+    ``multi_line`` is described at :func:`read_store_master`.
+    """
     schema = ", ".join(f"{c} string" for c in LETTER_COLUMNS)
     raw = (
-        spark.read.option("header", True)
-        .option("quote", '"')
-        .option("escape", '"')
+        _csv(spark, multi_line)
         .option("pathGlobFilter", glob)
+        .option("mode", "FAILFAST")
+        .option("columnPruning", False)
         .schema(schema)
         .csv(path)
     )
@@ -105,27 +113,16 @@ def read_letters_csv(
     return require_rows(missing_to_null(raw).withColumns(dates), f"No warning letters in: {path}")
 
 
-def read_excel(spark: SparkSession, path: str, schema: str, glob: str = "*.xlsx") -> DataFrame:
-    """Spreadsheets, one task per file (a sheet is bounded by its format).
+def read_reviewed_sheet(spark: SparkSession, path: str) -> DataFrame:
+    """The review sheet with the reviewer's 0/1 column ``matching``.
 
-    Needs an Excel engine for pandas on the executors.
+    Only the columns that the treatment needs are typed, the others stay text.
     """
-    try:
-        import openpyxl  # noqa: F401
-    except ImportError as error:
-        raise RuntimeError("reading .xlsx needs openpyxl; use CSV or Parquet instead") from error
-    names = StructType.fromDDL(schema).names
-
-    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import io
-
-        for batch in batches:
-            for content in batch["content"]:
-                sheet = pd.read_excel(io.BytesIO(content), dtype=object)
-                yield sheet.set_axis(names, axis=1)
-
-    files = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path)
-    return files.select("content").mapInPandas(parse, schema)
+    sheet = _csv(spark, False).csv(path)
+    kinds = {"store_id": "bigint", "insp_date": "date", "issue_date": "date", "matching": "int"}
+    return missing_to_null(sheet).withColumns(
+        {c: F.col(c).cast(kinds[c.lower()]) for c in sheet.columns if c.lower() in kinds}
+    )
 
 
 def require_rows(df: DataFrame, message: str, error: type[Exception] = ValueError) -> DataFrame:

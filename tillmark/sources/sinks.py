@@ -5,26 +5,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 from tillmark.functions.calendar import month_timestamp
-from tillmark.sources.feather import register_feather, write_feather_per_store
 
 
 def write_table(df: DataFrame, path: str, fmt: str = "parquet") -> DataFrame:
     """Write a table and return it as read back, so later steps do not recompute it."""
-    spark = df.sparkSession
-    if fmt == "feather":
-        register_feather(spark)
     df.write.format(fmt).mode("overwrite").save(path)
-    return spark.read.format(fmt).schema(df.schema).load(path)
+    return df.sparkSession.read.format(fmt).schema(df.schema).load(path)
+
+
+def with_timestamps(df: DataFrame, wanted: bool = True) -> DataFrame:
+    """The month as a timestamp, for readers that expect one; the jobs' index sinks use it."""
+    return df.withColumn("date", month_timestamp(df["date"])) if wanted else df
 
 
 def write_index_per_store(df: DataFrame, path: str, fmt: str = "parquet") -> None:
-    """One folder (Parquet) or one file (Feather, month as timestamp) per store."""
-    if fmt == "feather":
-        register_feather(df.sparkSession)
-        write_feather_per_store(df.withColumn("date", month_timestamp(df["date"])), path)
-    else:
-        placed = df.repartition("store_id")
-        placed.write.mode("overwrite").partitionBy("store_id").format(fmt).save(path)
+    """One folder per store."""
+    placed = df.repartition("store_id")
+    placed.write.mode("overwrite").partitionBy("store_id").format(fmt).save(path)
 
 
 def write_review_sheet(df: DataFrame, path: str) -> None:
