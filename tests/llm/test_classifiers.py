@@ -1,6 +1,7 @@
 """Language, quality and toxicity: held-out accuracy and awkward rows."""
 
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -167,3 +168,55 @@ def test_scores_of_awkward_rows(spark, docs, no_docs, module):
 def test_samples_are_bounded(spark):
     labels = spark.range(4000).select(F.col("id").alias("doc_id"), F.lit(1).alias("toxic"))
     assert 150 < len(labelled.label_sample(labels, "toxic", 5, 0, 200)) < 260
+
+
+def _line(text):
+    return b"     " + b"".join(w.encode() + b" " for w in text.split())
+
+
+def _plain_kneser_ney(rows, classes, discount=0.75):
+    """log P(toxic) - log P(ordinary) by n-gram, and by context for any other byte, added up from order 3.
+
+    ``classes`` has two lists of rows; all rows count for the estimate below each order.
+    """
+    lines = {"whole": rows, "toxic": classes[0], "ordinary": classes[1]}
+    counts = {}
+    for name, group in lines.items():
+        level = Counter(t[i : i + 6] for t in map(_line, group) for i in range(len(t) - 5))
+        counts[name, 6] = level
+        for n in range(5, 0, -1):
+            level = Counter(s[1:] for s in level)
+            counts[name, n] = level
+
+    def split(name, s):
+        level = counts[name, len(s)]
+        after = [c for x, c in level.items() if x[:-1] == s[:-1]]
+        if not after:
+            return 0.0, 1.0
+        return max(level[s] - discount, 0) / sum(after), discount * len(after) / sum(after)
+
+    def shared(s):
+        if len(s) == 1:
+            return counts["whole", 1][s] / sum(counts["whole", 1].values())
+        own, rest = split("whole", s)
+        return own + rest * shared(s[1:])
+
+    strings, others = {}, {}
+    for n in range(3, 7):
+        for s in set(counts["toxic", n]) | set(counts["ordinary", n]):
+            parts = [split(c, s) for c in ("toxic", "ordinary")]
+            p = [own + rest * shared(s[1:]) for own, rest in parts]
+            strings[s] = np.log(p[0] / p[1]) + strings.get(s[1:], 0)
+            others[s[:-1]] = np.log(parts[0][1] / parts[1][1])
+    return strings, others
+
+
+def test_class_models_back_off_to_all_documents_at_every_order(spark):
+    texts = ["vurkig lo", "ne vurk ra", "ra ne tol", "tol ra ne", "vurkol tolvu", "rane vurki", "lo lovurk", "tolne"]
+    groups = [texts[:2], texts[2:4]]
+    grams = [Counter(t[i : i + 6] for t in map(_line, g) for i in range(len(t) - 5)) for g in (texts, *groups)]
+    table = [(int.from_bytes(s, "big"), grams[1][s], grams[2][s]) for s in grams[0]]
+    strings, others = toxicity.log_ratios(spark.createDataFrame(table, "gram long, toxic long, ordinary long"))
+    for got, wanted, more in zip((strings, others), _plain_kneser_ney(texts, groups), (0, 1)):
+        named = {int.from_bytes(s, "big") | (len(s) + more) << 56: v for s, v in wanted.items()}
+        assert {r["key"]: r["value"] for r in got.collect()} == pytest.approx(named)

@@ -1,11 +1,12 @@
 """Toxicity by class-conditional Kneser-Ney models over characters.
 
-A toxic and an ordinary model give each byte of a text a probability from the
-``ORDER - 1`` bytes before it.  Both back off, order by order, to one distribution
-of low order, whose continuation counts come from every document of the corpus, so
-that a rare expression is smoothed alike in both.  A document is scored by the difference of
-the two log-likelihoods per byte, over the whole text and over its most telling
-passage of ``PASSAGE`` words.
+At each order from ``LOWEST + 1`` to ``ORDER`` a toxic and an ordinary model give each
+byte of a text a probability from the bytes before it.  Both back off to one Kneser-Ney
+estimate of the order below, whose continuation counts come from every document of the
+corpus, so that a rare expression is smoothed alike in both and one that only unlabelled
+texts hold is equally likely in both.  The log-ratios of the orders add up.  A document is
+scored by the sum per byte, over the whole text and over its most telling passage of
+``PASSAGE`` words.
 """
 
 from __future__ import annotations
@@ -23,8 +24,8 @@ from tillmark.llm.labelled import LabelSample, fit_logistic, label_sample, logis
 from tillmark.llm.storage import stored
 
 ORDER = 6
-# orders up to this one are shared by both classes
-SHARED = 2
+# orders up to this one are not counted by class
+LOWEST = 2
 CLASSES = ("toxic", "ordinary")
 DISCOUNT = 0.75
 FOLDS, HELD = 5, 0
@@ -218,30 +219,47 @@ def _with_context(table: DataFrame, columns: tuple[str, ...]) -> tuple[DataFrame
     return table.join(contexts, "context"), contexts
 
 
+def shared_estimates(levels: dict[int, DataFrame]) -> dict[int, DataFrame]:
+    """``s, p`` of orders 1 to ``ORDER - 1``: Kneser-Ney from ``whole``, every string of the corpus."""
+    total = levels[1].agg(F.sum("whole")).first()[0] or 1
+    out = {1: levels[1].select("s", (F.col("whole") / F.lit(float(total))).alias("p"))}
+    for n in range(2, ORDER):
+        table, _ = _with_context(levels[n].select("s", "whole"), ("whole",))
+        below = out[n - 1].select(F.col("s").alias("tail"), F.col("p").alias("below"))
+        joined = table.withColumn("tail", _low("s", n - 1)).join(below, "tail")
+        out[n] = stored(joined.select("s", _smoothed(joined, "whole", "below").alias("p")), f"shared-{n}")
+    return out
+
+
 def log_ratios(counts: DataFrame) -> tuple[DataFrame, DataFrame]:
     """``key, value``: log P(toxic) - log P(ordinary) of every string a class has, and
     of the weights its contexts give to the order below for any other byte.
 
-    Orders up to ``SHARED`` are one distribution for both classes.
+    The value of a string adds up the orders above ``LOWEST``, those of its tails included.
     """
     levels = continuation_levels(counts)
-    total = levels[1].agg(F.sum("whole")).first()[0] or 1
-    lower = levels[1].select("s", (F.col("whole") / F.lit(float(total))).alias("p"))
-    for n in range(2, SHARED + 1):
-        table, _ = _with_context(levels[n], ("whole",))
-        below = lower.select(F.col("s").alias("tail"), F.col("p").alias("below"))
-        joined = table.withColumn("tail", _low("s", n - 1)).join(below, "tail")
-        lower = joined.select("s", _smoothed(joined, "whole", "below").alias("p"))
-    lower = lower.select("s", *[F.col("p").alias(c) for c in CLASSES])
-    strings, others = None, None
-    for n in range(SHARED + 1, ORDER + 1):
+    return class_ratios(levels, shared_estimates(levels))
+
+
+def class_ratios(levels: dict[int, DataFrame], shared: dict[int, DataFrame]) -> tuple[DataFrame, DataFrame]:
+    """The tables of ``log_ratios``.
+
+    At each order both classes back off to the shared estimate one order below.  It
+    cancels in the ratio of a string that neither class has, whatever the string, so
+    that no corpus string is left out by joining it to those of the classes only.
+    """
+    strings, others, lower = None, None, None
+    for n in range(LOWEST + 1, ORDER + 1):
         table, contexts = _with_context(levels[n].where("toxic + ordinary > 0"), CLASSES)
-        below = lower.select(F.col("s").alias("tail"), *[F.col(c).alias(f"{c}_below") for c in CLASSES])
+        below = shared[n - 1].select(F.col("s").alias("tail"), F.col("p").alias("below"))
         joined = table.withColumn("tail", _low("s", n - 1)).join(below, "tail")
-        lower = stored(
-            joined.select("s", *[_smoothed(joined, c, f"{c}_below").alias(c) for c in CLASSES]), f"smoothed-{n}"
-        )
-        at = lower.select(_tagged("s", n), (F.ln("toxic") - F.ln("ordinary")).alias("value"))
+        toxic, ordinary = (F.ln(_smoothed(joined, c, "below")) for c in CLASSES)
+        own = joined.select("s", "tail", (toxic - ordinary).alias("value"))
+        if lower is not None:
+            tails = lower.select(F.col("s").alias("tail"), F.col("value").alias("tail_value"))
+            own = own.join(tails, "tail").select("s", (F.col("value") + F.col("tail_value")).alias("value"))
+        lower = stored(own.select("s", "value"), f"ratios-{n}")
+        at = lower.select(_tagged("s", n), "value")
         rest = contexts.select(
             _tagged("context", n), (F.ln("toxic_rest") - F.ln("ordinary_rest")).alias("value")
         )
@@ -267,7 +285,7 @@ class ToxicityModel:
             return out
         value = np.zeros(len(s.grams), dtype=np.float32)
         left, keys = np.arange(len(s.grams)), s.grams.astype(np.int64)
-        for order in range(ORDER, SHARED, -1):
+        for order in range(ORDER, LOWEST, -1):
             keys &= (1 << (8 * order)) - 1
             found, known = self.grams(keys | (order << 56))
             value[left] += found
