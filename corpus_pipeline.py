@@ -15,20 +15,16 @@ from tillmark.llm import decontaminate, language_id, line_dedup, mixing, ngram_j
 from tillmark.llm.storage import stored
 from tillmark.operators.joins import null_safe_left_join
 
-# share of a document's letters that its language must label
-MIN_LANGUAGE_SHARE = 0.5
-
 
 def keep_identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows whose language is known and labels at least half of their letters.
+    """Rows whose language is known, however many languages a text mixes.
 
     Texts that are missing or hold no letter go.
     """
     model = language_id.fit(docs.select("doc_id", "text", "lang"))
     names = ("__lang_pred", "__lang_score", "__lang_spans")
     found = language_id.identify(docs, model, names=names)
-    keep = (F.col(names[0]) != language_id.UNKNOWN) & (F.col(names[1]) >= MIN_LANGUAGE_SHARE)
-    return found.where(keep).select(*docs.columns)
+    return found.where(F.col(names[0]) != language_id.UNKNOWN).select(*docs.columns)
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

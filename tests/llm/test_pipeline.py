@@ -34,6 +34,14 @@ def test_language_stage_drops_texts_without_letters_only(spark, rows, sf_dir):
     assert got == Counter(r for r in rows if any(c.isalpha() for c in r[1] or ""))
 
 
+def test_language_stage_keeps_texts_of_three_languages(spark, sf_dir):
+    known = [("aa", "zug wech fjord hvit kvel"), ("bb", "дом река лес море поле"), ("cc", "νερό φως δρόμος πόλη γη")]
+    rows = [(i * 10 + k, f"{text} " * 8, lang) for k, (lang, text) in enumerate(known) for i in range(20)]
+    mixed = " ".join(f"{text} " * n for n, (_, text) in zip((4, 3, 3), known))
+    kept = STAGES["language_id"](spark, documents(spark, [*rows, (999, mixed, None)]), sf_dir[0])
+    assert Counter(r["doc_id"] for r in kept.collect()) == Counter([r[0] for r in rows] + [999])
+
+
 def test_line_stage_cuts_texts(spark, docs, rows, sf_dir):
     cut = STAGES["line_dedup"](spark, docs, sf_dir[0])
     assert cut.columns == docs.columns
