@@ -51,10 +51,13 @@ def keep_one_of_similar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     """One document of each group of near copies: the one with the smallest id.
 
     Rows that repeat both id and text count as copies too.  A row without id stays
-    only if it is like no row with one.
+    only if it is like no row with one; of several such rows, or of different texts
+    that share the smallest id, one stays.  Texts without words are like no other.
     """
-    found = stored(ngram_join.similar_components(docs.select("doc_id", "text")), "similar")
-    keep = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("ref").distinct()
+    found = stored(ngram_join.keyed_components(docs.select("doc_id", "text")), "similar")
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "ref")).getField("ref")
+    grouped = found.where("component is not null").groupBy("component").agg(first.alias("ref")).select("ref")
+    keep = grouped.union(found.where("component is null").select("ref")).distinct()
     ref = ngram_join.row_ref(docs["doc_id"], docs["text"])
     kept = docs.join(keep.withColumnRenamed("ref", "__ref"), ref == F.col("__ref"), "left_semi")
     repeats = found.groupBy("ref").agg(F.count(F.lit(1)).alias("n")).where("n > 1")

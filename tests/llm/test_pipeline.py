@@ -7,7 +7,7 @@ import pytest
 import __spark_entry__ as contract
 import corpus_pipeline
 from checks.compare import _rows
-from tests.llm.tables import brute_components, brute_contamination, brute_lines, documents
+from tests.llm.tables import brute_components, brute_contamination, brute_lines, changed, documents, prose
 
 STAGES = dict(corpus_pipeline.STAGES)
 ITEMS = "item_id long, text string"
@@ -60,6 +60,17 @@ def test_similar_stage_keeps_one_of_each_group(spark, docs, rows, sf_dir):
     assert sorted(got, key=str) == sorted(wanted, key=str)
 
 
+def test_similar_stage_keeps_one_without_ids_and_with_shared_ids(spark, sf_dir):
+    bare, shared = prose(71, 80), prose(72, 80)
+    rows = [(None, bare), (None, changed(bare, 1, 1)), (None, changed(bare, 2, 1)), (None, "alone " + prose(73, 20))]
+    rows += [(5, shared), (5, changed(shared, 3, 1)), (6, shared), (5, prose(74, 80)), (None, bare)]
+    rows += [(8, ""), (8, "..."), (None, ""), (None, None)]
+    got = [(r["doc_id"], r["text"]) for r in STAGES["ngram_jaccard"](spark, documents(spark, rows), sf_dir[0]).collect()]
+    groups = [rows[:3] + rows[8:9], rows[3:4], rows[4:7], rows[7:8], rows[9:10], rows[10:11]]
+    assert [sum(r in group for r in got) for group in groups] == [1] * 6
+    assert (6, shared) not in got and len(got) == 6 + 2
+
+
 def test_benchmark_stage_drops_hit_rows(spark, docs, rows, sf_dir):
     kept = STAGES["decontaminate"](spark, docs, sf_dir[0])
     clean = {d: 0 for d, _, hit, _ in brute_contamination(rows, sf_dir[1]) if not hit}

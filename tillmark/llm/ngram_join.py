@@ -523,6 +523,11 @@ def similar_components(docs: DataFrame) -> DataFrame:
     id links like any other but is never the smallest; alone it has no component.
     Sets are told apart by 64-bit hashes.
     """
+    return keyed_components(docs).drop("component")
+
+
+def keyed_components(docs: DataFrame) -> DataFrame:
+    """``similar_components`` with ``component``: the group's smallest signature, null for an empty set."""
     headers = stored(set_headers(docs), "set-headers")
     classes = stored(
         headers.where("n > 0").groupBy("sig").agg(F.min("doc_id").alias("first_id"), F.min("ref").alias("ref")),
@@ -552,10 +557,11 @@ def similar_components(docs: DataFrame) -> DataFrame:
         "component", F.coalesce("component", "sig")
     )
     lowest = labelled.groupBy("component").agg(F.min("first_id").alias("component_id"))
-    by_class = labelled.join(lowest, "component").select("sig", "component_id")
+    by_class = labelled.join(lowest, "component").select("sig", "component", "component_id")
     return headers.join(by_class, "sig", "left").select(
         "doc_id",
         F.col("n").alias("n_shingles"),
         F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"),
         "ref",
+        F.when(F.col("n") > 0, F.col("component")).alias("component"),
     )
