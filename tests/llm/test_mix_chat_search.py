@@ -154,3 +154,11 @@ def test_unusable_vectors_take_no_part(spark):
     assert [tuple(r) for r in got] == [(0, 1, 5, 0)]
     assert topk.top_products(vectors.where("false"), F.col("vec_id") == 0).collect() == []
     assert topk.top_products(vectors, F.lit(False)).collect() == []
+
+
+@pytest.mark.parametrize("value", [2.0**45, -(2.0**60), 1e307])
+def test_large_finite_components_are_not_left_out_silently(spark, value):
+    rows = [(0, [1.0, 2.0]), (1, [value, 1.0])]
+    vectors = topk.quantised(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    with pytest.raises(Exception, match="too large for exact products"):
+        vectors.collect()

@@ -27,20 +27,26 @@ LARGEST = 1 << 53
 def quantised(vectors: DataFrame, scale: int = 256) -> DataFrame:
     """``vec_id, v``: floor(scale * x) of every component as long.
 
-    Vectors that are missing or hold a missing, non-finite or more than 53-bit
-    component take no part, nor do rows without id; repeated rows count once.
+    Vectors that are missing or hold a missing or non-finite component take no part,
+    nor do rows without id; repeated rows count once.  A finite component whose scaled
+    value needs more than 53 bits fails the query.
     """
     x = F.col("embedding")
 
     def scaled(c: Column) -> Column:
         return c.cast("double") * scale
 
+    def whole(c: Column) -> Column:
+        fits = F.abs(scaled(c)) < F.lit(float(LARGEST))
+        failed = F.raise_error(F.lit("embedding component is too large for exact products")).cast("long")
+        return F.when(fits, F.floor(scaled(c))).otherwise(failed)
+
     usable = F.forall(
-        x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(scaled(c)) < F.lit(float(LARGEST)))
+        x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c.cast("double")) < F.lit(float("inf")))
     )
     return (
         vectors.where(F.col("vec_id").isNotNull() & x.isNotNull() & F.coalesce(usable, F.lit(False)))
-        .select("vec_id", F.transform(x, lambda c: F.floor(scaled(c))).alias("v"))
+        .select("vec_id", F.transform(x, whole).alias("v"))
         .distinct()
     )
 
