@@ -6,7 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tillmark.llm import chat, decontaminate, language_id, line_dedup, mixing, ngram_join, quality, suffix_dedup, topk, toxicity
+from tillmark.llm import (
+    chat,
+    decontaminate,
+    language_id,
+    line_dedup,
+    mixing,
+    ngram_join,
+    periodic_runs,
+    quality,
+    suffix_dedup,
+    topk,
+    toxicity,
+)
 from tillmark.llm.labelled import fold_of
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -229,6 +241,103 @@ WITH usable AS (
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM ranked WHERE rank <= 5
 """
 
+WORD = r"[^\x20\x09-\x0D]+"
+
+
+def with_planted_periods(docs: DataFrame) -> DataFrame:
+    """``doc_id, text``; one text in ten goes on in a period from some word on."""
+    h = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
+    g = F.floor(h / 10)
+    words = F.when(h % 10 == 0, F.regexp_extract_all("text", F.lit(WORD), F.lit(0)))
+    listed = docs.select("doc_id", "text", g.alias("g"), words.alias("w")).withColumn("n", F.size("w"))
+    a = (F.col("g") % F.col("n")).cast("int")
+    period = F.lit(1) + F.floor((F.col("n") - F.col("a")) / (3 + F.col("g") % 8)).cast("int")
+    placed = listed.withColumn("a", F.when(F.col("n") > 0, a)).withColumn("p", period)
+    repeated = F.transform(
+        F.sequence(F.lit(0), F.col("n") - F.col("a") - 1),
+        lambda k: F.element_at("w", F.col("a") + k % F.col("p") + 1),
+    )
+    planted = F.array_join(F.concat(F.slice("w", F.lit(1), F.col("a")), repeated), " ")
+    return placed.select("doc_id", F.when(F.col("a").isNotNull(), planted).otherwise(F.col("text")).alias("text"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = periodic_runs.collapse_runs(with_planted_periods(docs))
+    first = F.get("runs", F.lit(0))
+    best = F.aggregate(
+        "runs",
+        first,
+        lambda held, run: F.when(run["length"] * held["period"] > held["length"] * run["period"], run).otherwise(held),
+    )
+    lines = F.transform("runs", lambda r: F.format_string("%d,%d,%d\n", r["start"], r["length"], r["period"]))
+    return found.withColumn("best", best).select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        F.col("best.start").alias("start"),
+        F.col("best.length").alias("length"),
+        F.col("best.period").alias("period"),
+        F.floor(F.expr("1000 * best.length div best.period")).alias("exponent_milli"),
+        F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+# crc32 of a list of bytes by a table of 256 remainders, built by the rule of the polynomial
+CRC_TABLE = """crc_table AS (
+  SELECT list(c ORDER BY i) AS t FROM (SELECT i, list_reduce(list_prepend(CAST(i AS BIGINT), CAST(range(8) AS BIGINT[])),
+    lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c FROM range(256) r(i))
+)"""
+
+
+def crc_sql(data: str) -> str:
+    return (
+        f"xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), {data}), "
+        "lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295)"
+    )
+
+
+OP13_SQL = rf"""
+WITH {CRC_TABLE}, hashed AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^ 	-]+') AS w,
+    {crc_sql("list_transform(string_split(coalesce(CAST(doc_id AS VARCHAR), ''), ''), lambda ch: CAST(ascii(ch) AS BIGINT))")} AS h
+  FROM documents, crc_table
+), placed AS (
+  SELECT doc_id, w, len(w) AS n, h % 10 = 0 AND len(w) > 0 AS planted, h // 10 AS g,
+    CASE WHEN len(w) > 0 THEN (h // 10) % len(w) END AS a FROM hashed
+), texts AS (
+  SELECT doc_id, n, CASE WHEN planted THEN list_concat(w[1 : a], list_transform(range(n - a),
+    lambda k: w[a + k % (1 + (n - a) // (3 + g % 8)) + 1])) ELSE w END AS w FROM placed
+), positions AS (
+  SELECT doc_id, n, unnest(range(n)) AS i, unnest(w) AS word FROM texts
+), equal AS (
+  SELECT x.doc_id, y.i - x.i AS q, x.i FROM positions x JOIN positions y
+    ON x.doc_id = y.doc_id AND x.word = y.word AND y.i > x.i AND 3 * (y.i - x.i) <= x.n
+), islands AS (
+  SELECT doc_id, q, min(i) AS start, count(*) + q AS length
+  FROM (SELECT *, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS island FROM equal)
+  GROUP BY doc_id, q, island HAVING count(*) + q >= greatest(24, 3 * q)
+), runs AS (
+  SELECT * FROM islands r WHERE NOT EXISTS (SELECT 1 FROM islands s WHERE s.doc_id = r.doc_id AND s.q < r.q
+    AND s.start <= r.start AND s.start + s.length >= r.start + r.length)
+), listed AS (
+  SELECT doc_id, count(*) AS n_runs, string_agg(start || ',' || length || ',' || q || chr(10), '' ORDER BY start, q) AS lines
+  FROM runs GROUP BY doc_id
+), best AS (
+  SELECT * FROM runs r WHERE NOT EXISTS (SELECT 1 FROM runs s WHERE s.doc_id = r.doc_id AND (s.length * r.q > r.length * s.q
+    OR (s.length * r.q = r.length * s.q AND (s.start < r.start OR (s.start = r.start AND s.q < r.q)))))
+), dropped AS (
+  SELECT DISTINCT doc_id, unnest(range(start + q, start + length)) AS i FROM runs
+), kept AS (
+  SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS text
+  FROM positions ANTI JOIN dropped USING (doc_id, i) GROUP BY doc_id
+)
+SELECT t.doc_id, coalesce(n_runs, 0) AS n_runs, b.start, b.length, b.q AS period,
+  1000 * b.length // b.q AS exponent_milli, sha256(coalesce(lines, '')) AS runs_sha256,
+  sha256(coalesce(k.text, '')) AS collapsed_sha256
+FROM texts t LEFT JOIN listed USING (doc_id) LEFT JOIN best b USING (doc_id) LEFT JOIN kept k USING (doc_id)
+"""
+
 QUERIES: dict[str, Query] = {
     "op1_language_id": op1_language_id,
     "op2_quality": op2_quality,
@@ -240,6 +349,7 @@ QUERIES: dict[str, Query] = {
     "op8_source_mix": op8_source_mix,
     "op9_chat_format": op9_chat_format,
     "op10_exact_topk": op10_exact_topk,
+    "op13_periodic_runs": op13_periodic_runs,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -248,4 +358,5 @@ ORACLE_SQL: dict[str, str] = {
     "op8_source_mix": OP8_SQL,
     "op9_chat_format": OP9_SQL,
     "op10_exact_topk": OP10_SQL,
+    "op13_periodic_runs": OP13_SQL,
 }
