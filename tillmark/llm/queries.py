@@ -15,6 +15,7 @@ from tillmark.llm import (
     ngram_join,
     periodic_runs,
     quality,
+    spelling,
     suffix_dedup,
     topk,
     toxicity,
@@ -241,6 +242,22 @@ WITH usable AS (
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM ranked WHERE rank <= 5
 """
 
+def with_planted_slips(runs: DataFrame) -> DataFrame:
+    """``word`` of every run; about one run in 97 lacks a letter."""
+    h = F.crc32(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "word"))
+    hashed = runs.select("word", h.alias("h"))
+    at = (F.col("h") % F.char_length("word")).cast("int") + 1
+    return hashed.select(
+        F.when(F.col("h") % 97 == 0, F.overlay("word", F.lit(""), at, F.lit(1))).otherwise(F.col("word")).alias("word")
+    )
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    runs = spelling.letter_runs(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    words = spelling.frequent_words(with_planted_slips(runs))
+    return spelling.spelling_variants(words).select("word", "form", "root", "n", "n_near", "form_n")
+
+
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -299,7 +316,8 @@ def crc_sql(data: str) -> str:
 
 OP13_SQL = rf"""
 WITH {CRC_TABLE}, hashed AS (
-  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^ 	-]+') AS w,
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^ 	-
+]+') AS w,
     {crc_sql("list_transform(string_split(coalesce(CAST(doc_id AS VARCHAR), ''), ''), lambda ch: CAST(ascii(ch) AS BIGINT))")} AS h
   FROM documents, crc_table
 ), placed AS (
@@ -338,6 +356,38 @@ SELECT t.doc_id, coalesce(n_runs, 0) AS n_runs, b.start, b.length, b.q AS period
 FROM texts t LEFT JOIN listed USING (doc_id) LEFT JOIN best b USING (doc_id) LEFT JOIN kept k USING (doc_id)
 """
 
+OP12_SQL = f"""
+WITH RECURSIVE {CRC_TABLE}, runs AS (
+  SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS doc_id, unnest(regexp_extract_all(
+    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-zÀ-ÿ]+')) AS run FROM documents
+), hashed AS (
+  SELECT run, {crc_sql("""flatten(list_transform(string_split(doc_id || ':' || run, ''),
+    lambda ch: CASE WHEN unicode(ch) < 128 THEN [CAST(unicode(ch) AS BIGINT)] ELSE [195, unicode(ch) - 64] END))""")} AS h
+  FROM runs, crc_table
+), typed AS (
+  SELECT CASE WHEN h % 97 = 0 THEN left(run, CAST(h % length(run) AS BIGINT)) || substr(run, CAST(h % length(run) AS BIGINT) + 2)
+    ELSE run END AS word FROM hashed
+), words AS (
+  SELECT word, count(*) AS n FROM typed WHERE length(word) >= 5 GROUP BY word HAVING count(*) >= 3
+), gaps AS (
+  SELECT word, n, left(word, i - 1) || substr(word, i + 1) AS short, i FROM (SELECT *, unnest(range(1, length(word) + 1)) AS i FROM words)
+), near AS (
+  SELECT x.word, y.word AS other, y.n FROM gaps x JOIN gaps y ON x.short = y.short AND x.i = y.i AND x.word <> y.word
+  UNION SELECT x.word, y.word, y.n FROM gaps x JOIN words y ON x.short = y.word
+  UNION SELECT y.word, x.word, x.n FROM gaps x JOIN words y ON x.short = y.word
+), best AS (
+  SELECT word, count(*) AS n_near, max(n) AS form_n, arg_min(other, (-n, other)) AS form FROM near GROUP BY word
+), named AS (
+  SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN b.form_n >= 2 * w.n THEN b.form END AS form,
+    CASE WHEN b.form_n >= 2 * w.n THEN b.form_n END AS form_n FROM words w LEFT JOIN best b USING (word)
+), chains AS (
+  SELECT word, word AS root FROM named UNION ALL
+  SELECT c.word, n.form FROM chains c JOIN named n ON n.word = c.root WHERE n.form IS NOT NULL
+)
+SELECT w.word, w.form, c.root, w.n, w.n_near, w.form_n FROM named w JOIN chains c ON c.word = w.word
+WHERE c.root IN (SELECT word FROM named WHERE form IS NULL)
+"""
+
 QUERIES: dict[str, Query] = {
     "op1_language_id": op1_language_id,
     "op2_quality": op2_quality,
@@ -349,6 +399,7 @@ QUERIES: dict[str, Query] = {
     "op8_source_mix": op8_source_mix,
     "op9_chat_format": op9_chat_format,
     "op10_exact_topk": op10_exact_topk,
+    "op12_spelling_variants": op12_spelling_variants,
     "op13_periodic_runs": op13_periodic_runs,
 }
 
@@ -358,5 +409,6 @@ ORACLE_SQL: dict[str, str] = {
     "op8_source_mix": OP8_SQL,
     "op9_chat_format": OP9_SQL,
     "op10_exact_topk": OP10_SQL,
+    "op12_spelling_variants": OP12_SQL,
     "op13_periodic_runs": OP13_SQL,
 }
