@@ -12,6 +12,7 @@ from tillmark.llm import (
     language_id,
     line_dedup,
     mixing,
+    near_vectors,
     ngram_join,
     periodic_runs,
     quality,
@@ -242,6 +243,31 @@ WITH usable AS (
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM ranked WHERE rank <= 5
 """
 
+def op11_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors.near_vectors(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
+OP11_SQL = r"""
+WITH RECURSIVE usable AS (
+  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), links AS (
+  SELECT a.vec_id AS x, b.vec_id AS y FROM usable a JOIN usable b
+    ON a.vec_id <> b.vec_id AND len(a.v) = len(b.v) AND list_cosine_similarity(a.v, b.v) >= 0.9
+), reach AS (
+  SELECT vec_id AS x, vec_id AS y FROM embeddings
+  UNION SELECT r.x, l.y FROM reach r JOIN links l ON l.x = r.y
+), lowest AS (
+  SELECT x AS vec_id, min(y) AS component_id FROM reach GROUP BY x
+), counted AS (
+  SELECT x AS vec_id, count(*) AS n_links FROM links GROUP BY x
+)
+SELECT vec_id, coalesce(n_links, 0) AS n_links, component_id, vec_id = component_id AS kept
+FROM embeddings LEFT JOIN counted USING (vec_id) LEFT JOIN lowest USING (vec_id)
+"""
+
+
 def with_planted_slips(runs: DataFrame) -> DataFrame:
     """``word`` of every run; about one run in 97 lacks a letter."""
     h = F.crc32(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "word"))
@@ -399,6 +425,7 @@ QUERIES: dict[str, Query] = {
     "op8_source_mix": op8_source_mix,
     "op9_chat_format": op9_chat_format,
     "op10_exact_topk": op10_exact_topk,
+    "op11_near_vectors": op11_near_vectors,
     "op12_spelling_variants": op12_spelling_variants,
     "op13_periodic_runs": op13_periodic_runs,
 }
@@ -409,6 +436,7 @@ ORACLE_SQL: dict[str, str] = {
     "op8_source_mix": OP8_SQL,
     "op9_chat_format": OP9_SQL,
     "op10_exact_topk": OP10_SQL,
+    "op11_near_vectors": OP11_SQL,
     "op12_spelling_variants": OP12_SQL,
     "op13_periodic_runs": OP13_SQL,
 }
