@@ -35,9 +35,14 @@ CELL = 1 << 15
 SAMPLE = 1 << 16
 LEAST_SAMPLED = 16
 CHUNK = 1 << 11
-PAIRS = 1 << 16
+# rows of a tile of a cell, rows compared with it at once, and pairs verified at once
+TILE = 1 << 10
+STRIP = 1 << 9
+PAIRS = 1 << 14
 # rounding of scaled and rotated coordinates, relative to a squared distance
 SLACK = 1e-9
+# rounding of single precision, in which far pairs are told apart first
+SINGLE = 1e-5
 
 
 def _matrix(column: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -210,11 +215,33 @@ class _Rows:
         self.ids, self.rows = ids, rows
         self.given = scaled(given)
         self.length = np.sqrt(_summed(self.given * self.given))
-        self.rotated = layout.rotated(self.given / self.length[:, None])
+        units = self.given / self.length[:, None]
+        self.units = units.astype(np.float32)
+        self.rotated = layout.rotated(units)
 
     def __len__(self) -> int:
         return len(self.ids)
 
+    def ordered(self, order: np.ndarray) -> None:
+        for name in ("ids", "rows", "given", "length", "units", "rotated", "size"):
+            setattr(self, name, getattr(self, name)[order])
+
+
+def _tiles(x: np.ndarray) -> list[np.ndarray]:
+    """Rows of ``x`` in tiles, cut at medians of the widest axis."""
+    found, stack = [], [np.arange(len(x))]
+    while stack:
+        rows = stack.pop()
+        if len(rows) <= TILE:
+            found.append(rows)
+            continue
+        axis = int(np.argmax(np.ptp(x[rows], axis=0)))
+        order = rows[np.argsort(x[rows, axis], kind="stable")]
+        # whole tiles on one side
+        half = (len(order) // TILE + 1) // 2 * TILE
+        stack += [order[half:], order[:half]]
+    return found
+
 
 class _Forest:
     """Disjoint sets of the numbers below ``n``; a set goes by its smallest member."""
@@ -256,6 +283,18 @@ class _Cell:
             return
         ids, rows, vectors = zip(*self.parts)
         self.own = _Rows(np.concatenate(ids), np.concatenate(rows), pa.concat_arrays(vectors), self.layout)
+        a, b = self.layout.bounds[self.block]
+        tiles = _tiles(self.own.rotated[:, a:b])
+        self.own.ordered(np.concatenate(tiles))
+        self.tiles, at = [], 0
+        for tile in tiles:
+            y = self.own.rotated[at : at + len(tile), a:b]
+            # one product of matrices yields squared distances; filled up to whole words with far points
+            side = np.full((y.shape[1] + 2, len(tile) + -len(tile) % 8), 9, dtype=np.float32)
+            side[:, : len(tile)] = np.column_stack([y, np.ones(len(y)), (y * y).sum(axis=1)]).T
+            side[:-1, len(tile) :] = 0
+            self.tiles.append((at, y.min(axis=0), y.max(axis=0), side))
+            at += len(tile)
         self.counts = np.zeros(len(self.own), dtype=np.int64)
         self.forest = _Forest(len(self.own))
         own = self.own
@@ -300,27 +339,41 @@ class _Cell:
     def _close(self, asking: _Rows, some: slice, inside: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Pairs whose squared distance in the block may be within its share, in parts."""
         a, b = self.layout.bounds[self.block]
-        x, y = asking.rotated[some, a:b], self.own.rotated[:, a:b]
-        limit = self.layout.shares[self.block] * (1 + 1e-6) + 1e-12
-        first = some.start or 0
-        x2, y2 = (x * x).sum(axis=1), (y * y).sum(axis=1)
-        step = max(1, (1 << 22) // max(1, len(y)))
-        for at in range(0, len(x), step):
-            part = slice(at, at + step)
-            near = x2[part, None] + y2 - 2 * (x[part] @ y.T) <= limit
-            i, j = np.nonzero(near)
-            i += first + at
-            if inside:
-                i, j = i[i < j], j[i < j]
-            for k in range(0, len(i), PAIRS):
-                yield i[k : k + PAIRS], j[k : k + PAIRS]
+        x, first = asking.rotated[some, a:b], some.start or 0
+        limit = self.layout.shares[self.block] + SINGLE
+        side = np.column_stack([-2 * x, (x * x).sum(axis=1), np.ones(len(x))]).astype(np.float32)
+        held, count = [], 0
+        for start, low, high, tile in self.tiles:
+            width = tile.shape[1]
+            if inside and start + width <= first:
+                continue
+            gap = np.maximum(low - x, 0) + np.maximum(x - high, 0)
+            rows = np.flatnonzero((gap * gap).sum(axis=1) <= limit)
+            for at in range(0, len(rows), STRIP):
+                strip = rows[at : at + STRIP]
+                near = (side[strip] @ tile <= np.float32(limit)).ravel()
+                words = np.flatnonzero(near.view(np.uint64))
+                word, place = np.nonzero(near.reshape(-1, 8)[words])
+                i, j = np.divmod(8 * words[word] + place, width)
+                i, j = strip[i] + first, j + start
+                if inside:
+                    i, j = i[i < j], j[i < j]
+                held.append((i, j))
+                count += len(i)
+                if count >= PAIRS:
+                    yield tuple(np.concatenate(side) for side in zip(*held))
+                    held, count = [], 0
+        if count:
+            yield tuple(np.concatenate(side) for side in zip(*held))
 
     def _linked(self, asking: _Rows, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         """Pairs that reach the threshold and that no earlier block finds."""
         own = self.own
-        product = np.einsum("ij,ij->i", asking.given[i], own.given[j])
-        cosine = product / (asking.length[i] * own.length[j])
-        good = np.flatnonzero((cosine >= self.threshold) & (asking.size[i] == own.size[j]))
+        close = np.einsum("ij,ij->i", asking.units[i], own.units[j]) >= self.threshold - 1e-4
+        maybe = np.flatnonzero(close & (asking.size[i] == own.size[j]))
+        product = np.einsum("ij,ij->i", asking.given[i[maybe]], own.given[j[maybe]])
+        cosine = product / (asking.length[i[maybe]] * own.length[j[maybe]])
+        good = maybe[cosine >= self.threshold]
         gap = asking.rotated[i[good]] - own.rotated[j[good]]
         gap *= gap
         here = np.ones(len(good), dtype=bool)
