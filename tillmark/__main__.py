@@ -29,6 +29,13 @@ def _parser() -> argparse.ArgumentParser:
     index.add_argument("--per-store", action="store_true", help="also one output per store")
     index.add_argument("--timestamps", action="store_true", help="months as timestamps")
 
+    panel = commands.add_parser("panel", help="per-store indexes, of any runs, to index panel")
+    panel.add_argument("--store-index", required=True, help="folder with one folder per store")
+    panel.add_argument("--out", required=True, help="where the panel goes")
+    panel.add_argument("--format", default="parquet", help="a format that Spark reads and writes")
+    panel.add_argument("--index-kind", default="price", choices=["price", "qty"])
+    panel.add_argument("--timestamps", action="store_true", help="months as timestamps")
+
     match = commands.add_parser("match", help="letters and store master to candidate list")
     match.add_argument("--letters", required=True)
     match.add_argument("--stores", required=True)
@@ -39,6 +46,12 @@ def _parser() -> argparse.ArgumentParser:
     )
     match.add_argument("--date-format", default="yyyy-MM-dd", help="of the letters' dates")
     match.add_argument("--multi-line", action="store_true", help="cells may hold line breaks")
+    match.add_argument(
+        "--malformed",
+        default="fail",
+        choices=readers.MALFORMED,
+        help="letter rows of another form: fail, or list them and go on without",
+    )
 
     treat = commands.add_parser("treat", help="reviewed matches onto an index panel")
     treat.add_argument("--panel", required=True)
@@ -75,10 +88,18 @@ def main(argv: list[str] | None = None) -> None:
             timestamps=args.timestamps,
         )
         print(f"panel rows: {panel.count():,}")
-    elif args.command == "match":
-        letters = readers.read_letters_csv(
-            spark, args.letters, args.date_format, multi_line=args.multi_line
+    elif args.command == "panel":
+        panel = jobs.panel_job(
+            spark, args.store_index, args.out, args.index_kind, fmt=args.format, timestamps=args.timestamps
         )
+        print(f"panel rows: {panel.count():,}")
+    elif args.command == "match":
+        options = {"date_format": args.date_format, "multi_line": args.multi_line}
+        if args.malformed != "fail":
+            found = readers.letter_violations(spark, args.letters, **options)
+            print(f"letter rows left out or undated: {jobs.quarantine_job(found, args.out):,}")
+            # a cell that is no date is missing then, not an error
+        letters = readers.read_letters_csv(spark, args.letters, malformed=args.malformed, **options)
         stores = readers.read_store_master(spark, args.stores, multi_line=args.multi_line)
         result = jobs.match_job(
             spark, stores, letters, args.out, zip5=args.zip5, null_zip=args.null_zip

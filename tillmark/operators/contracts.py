@@ -6,7 +6,7 @@ count when it has a key); only the violation counts reach the driver.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -90,19 +90,23 @@ class Contract:
             ]
         )
 
-    def rule_counts(self, df: DataFrame, rows: Column | None = None) -> Column:
-        """Aggregate: array of (column, rule, violations), zeros included.
-
-        ``rows`` restricts the check to some rows.  Uniqueness is not part of it.
-        """
+    def row_rules(self, df: DataFrame, rows: Column | None = None) -> list[tuple[str, str, Column]]:
+        """(column, rule, aggregate that counts violations); ``rows`` restricts it to some rows."""
         types = dict(df.dtypes)
         wanted = F.lit(True) if rows is None else rows
-        counts = [
+        return [
             (f.name, rule, F.count_if(F.coalesce(wanted & test, F.lit(False))))
             for f in self.fields
             if f.name in types
             for rule, test in f.broken(types[f.name])
         ]
+
+    def rule_counts(self, df: DataFrame, rows: Column | None = None) -> Column:
+        """Aggregate: array of (column, rule, violations), zeros included.
+
+        ``rows`` restricts the check to some rows.  Uniqueness is not part of it.
+        """
+        counts = self.row_rules(df, rows)
         counts += [(c, rule, F.lit(1).cast("long")) for c, rule in self.structure(df)]
         return F.array(*[_rule(*r) for r in counts])
 
@@ -124,8 +128,12 @@ class Contract:
     def fail_on(self, violations: DataFrame) -> None:
         """Raise if a table of (column, rule, violations) has a count above zero."""
         found = violations.filter(F.col("violations") > 0).collect()
-        if found:
-            text = "; ".join(f"{r['column']}: {r['rule']} x{r['violations']}" for r in found)
+        self.fail_on_counts([(r["column"], r["rule"], r["violations"]) for r in found])
+
+    def fail_on_counts(self, counts: Iterable[tuple[str, str, int]]) -> None:
+        """Raise if one of (column, rule, violations) is above zero."""
+        text = "; ".join(f"{column}: {rule} x{n}" for column, rule, n in counts if n)
+        if text:
             raise ContractError(f"{self.name}: {text}")
 
     def enforce(self, df: DataFrame) -> DataFrame:

@@ -87,32 +87,86 @@ def read_store_master(
     return df.withColumns(ids)
 
 
+# Column of a row's text where the row has another number of cells.
+BAD_ROW = "__row"
+MALFORMED = ("fail", "leave-out")
+
+
+def _letter_rows(spark: SparkSession, path: str, glob: str, multi_line: bool, mode: str) -> DataFrame:
+    """The nine cells of every letter row as text.
+
+    The parser counts the cells only of columns it parses, so it parses all of them
+    whatever is selected.
+    """
+    names = LETTER_COLUMNS + ([BAD_ROW] if mode == "PERMISSIVE" else [])
+    return (
+        _csv(spark, multi_line)
+        .option("pathGlobFilter", glob)
+        .option("mode", mode)
+        .option("columnNameOfCorruptRecord", BAD_ROW)
+        .option("columnPruning", False)
+        .schema(", ".join(f"{c} string" for c in names))
+        .csv(path)
+    )
+
+
 def read_letters_csv(
     spark: SparkSession,
     path: str,
     date_format: str = "yyyy-MM-dd",
     glob: str = LETTER_GLOB,
     multi_line: bool = False,
+    malformed: str = "fail",
 ) -> DataFrame:
     """Letter files (one header line each) matched by position, in one read.
 
-    A row with more or fewer than nine cells fails the read.  The parser sees that
-    only in columns it parses, so it parses all of them whatever is selected.
+    A row with more or fewer than nine cells fails the read, or with
+    ``malformed="leave-out"`` stays out of it; a cell that should hold a date and does
+    not fails the read as well, or is missing.  :func:`letter_violations` lists both.
     ``multi_line`` is described at :func:`read_store_master`.
     """
-    schema = ", ".join(f"{c} string" for c in LETTER_COLUMNS)
-    raw = (
-        _csv(spark, multi_line)
-        .option("pathGlobFilter", glob)
-        .option("mode", "FAILFAST")
-        .option("columnPruning", False)
-        .schema(schema)
-        .csv(path)
-    )
-    dates = {c: F.to_date(F.col(c), date_format) for c in LETTER_DATES}
+    if malformed not in MALFORMED:
+        raise ValueError(f"malformed must be one of {MALFORMED}")
+    raw = _letter_rows(spark, path, glob, multi_line, "FAILFAST" if malformed == "fail" else "PERMISSIVE")
+    if malformed != "fail":
+        # Spark refuses to read that column alone, so the test takes in the others
+        others = F.xxhash64(*LETTER_COLUMNS) >= F.lit(-(1 << 63))
+        raw = raw.where(F.col(BAD_ROW).isNull() & others).drop(BAD_ROW)
+    to_date = F.to_date if malformed == "fail" else F.try_to_date
+    dates = {c: to_date(F.col(c), date_format) for c in LETTER_DATES}
     return require_rows(missing_to_null(raw).withColumns(dates), f"No warning letters in: {path}")
 
 
+def letter_violations(
+    spark: SparkSession,
+    path: str,
+    date_format: str = "yyyy-MM-dd",
+    glob: str = LETTER_GLOB,
+    multi_line: bool = False,
+) -> DataFrame:
+    """Rows of the letter files that break their form: ``file, rule, column, value, row``.
+
+    ``cells`` is a row with more or fewer than nine cells; ``value`` is its first cell.
+    ``date`` is a cell of a well-formed row that holds text but no date.
+    """
+    raw = _letter_rows(spark, path, glob, multi_line, "PERMISSIVE").withColumn("file", F.col("_metadata.file_name"))
+    raw = raw.withColumns(
+        {c: F.when(~F.col(c).isin(*MISSING_TOKENS), F.col(c)) for c in LETTER_COLUMNS}
+    )
+    text = F.to_csv(F.struct(*LETTER_COLUMNS))
+
+    def broken(test: Column, rule: str, column: str, row: Column) -> Column:
+        named = [F.lit(rule).alias("rule"), F.lit(column).alias("column"), F.col(column).alias("value")]
+        return F.when(test, F.struct(*named, row.alias("row")))
+
+    formed = F.col(BAD_ROW).isNull()
+    rules = [broken(~formed, "cells", LETTER_COLUMNS[0], F.col(BAD_ROW))]
+    for c in LETTER_DATES:
+        undated = F.col(c).isNotNull() & F.try_to_date(F.col(c), date_format).isNull()
+        rules.append(broken(formed & undated, "date", c, text))
+    return raw.select("file", F.explode(F.array_compact(F.array(*rules))).alias("found")).select("file", "found.*")
+
+
 def read_reviewed_sheet(spark: SparkSession, path: str) -> DataFrame:
     """The review sheet with the reviewer's 0/1 column ``matching``.
 
