@@ -63,6 +63,24 @@ def sorted_ratio(a: Column, b: Column) -> Column:
     )
 
 
+def letter_tags(words: Column) -> Column:
+    """Every letter with its number among equal ones, so that a set holds repeated letters."""
+    letters = F.array_sort(F.split(words, ""))
+    return F.transform(letters, lambda c, i: F.concat(c, (i - F.array_position(letters, c)).cast("string")))
+
+
+def ratio_bound(a: Column, b: Column, tags_a: Column, tags_b: Column) -> Column:
+    """No :func:`sorted_ratio` exceeds it: matched blocks share their letters, in any order."""
+    total = F.length(a) + F.length(b)
+    shared = F.size(F.array_intersect(tags_a, tags_b))
+    return (
+        F.when(a.isNull() | b.isNull(), F.lit(None).cast("int"))
+        .when(a == b, 100)
+        .when((a == "") | (b == ""), 0)
+        .otherwise(F.least(F.lit(100), F.ceil(F.lit(200) * shared / total).cast("int")))
+    )
+
+
 def similarity_score(a: Column, b: Column) -> Column:
     """0..100, NULL when either text is missing."""
     return sorted_ratio(token_sorted(a), token_sorted(b))

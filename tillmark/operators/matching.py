@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import math
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tillmark.functions.similarity import similarity_score, sorted_ratio, token_sorted
+from tillmark.functions.similarity import letter_tags, ratio_bound, similarity_score, sorted_ratio, token_sorted
 from tillmark.functions.text import as_text, normalise_address, strip
 from tillmark.operators.prepare import lower_columns, require_columns
+from tillmark.sources.scratch import stored
 
 # Letter columns by position, dropped store types, output suffixes.
 LETTER_COLUMNS = [
@@ -16,6 +20,7 @@ LETTER_COLUMNS = [
 LETTER_DATES = ("insp_date", "issue_date")
 ONLINE_STORE_TYPES = ("Online", "online")
 SUFFIXES = ("_pdi", "_fda")
+SCORES = range(101)
 
 
 # What a missing ZIP does: match nothing, or match every other missing one as text.
@@ -129,6 +134,29 @@ def score_candidates(candidates: DataFrame, suffixes: tuple[str, str] = SUFFIXES
     return candidates.withColumn("similarity_score", similarity_score(a, b))
 
 
+def _prepared_sides(
+    stores: DataFrame, letters: DataFrame, suffixes: tuple[str, str]
+) -> tuple[DataFrame, DataFrame]:
+    """Stores and letters with clean addresses and their sorted words, as ``__address<suffix>``."""
+
+    def prepared(df: DataFrame, address: str) -> DataFrame:
+        df = df.withColumn(address, normalise_address(F.col(address)))
+        return df.withColumn(f"__{address}", token_sorted(F.col(address)))
+
+    ours, theirs = _store_side(stores, suffixes[0]), _letter_side(letters, suffixes[1])
+    return prepared(ours, f"address{suffixes[0]}"), prepared(theirs, f"address{suffixes[1]}")
+
+
+def dealt_by_words(pairs: DataFrame, a: str, b: str) -> DataFrame:
+    """Equal pairs of texts side by side, so that the scorer searches each but once.
+
+    Scoring a pair costs far more than moving it, so a crowded ZIP must not be scored by
+    the task that joined it.  AQE sets the number of tasks by the size of the pairs,
+    and splits a task again that one pair of texts makes too large.
+    """
+    return pairs.hint("rebalance", F.col(a), F.col(b)).sortWithinPartitions(b, a)
+
+
 def match_candidates(
     stores: DataFrame, letters: DataFrame, suffixes: tuple[str, str] = SUFFIXES
 ) -> DataFrame:
@@ -136,40 +164,185 @@ def match_candidates(
 
     Addresses are cleaned and token-sorted once per store and once per letter,
     before the join multiplies them.  The join is that of :func:`zip_candidates`.
-    Scoring a pair costs far more than moving it, so pairs are dealt out evenly
-    first: a crowded ZIP is then scored by all tasks and not by those that
-    joined it.  AQE sets the number of these tasks by the size of the pairs.
     """
-    ours, theirs = _store_side(stores, suffixes[0]), _letter_side(letters, suffixes[1])
-    a, b = (f"address{s}" for s in suffixes)
-
-    def clean(df: DataFrame, address: str) -> DataFrame:
-        return df.withColumn(address, normalise_address(F.col(address)))
-
-    def words(df: DataFrame, address: str) -> DataFrame:
-        return df.withColumn(f"__{address}", token_sorted(F.col(address)))
-
-    pairs = words(clean(ours, a), a).join(words(clean(theirs, b), b), "zip_code")
-    pairs = pairs.hint("rebalance")
-    score = sorted_ratio(F.col(f"__{a}"), F.col(f"__{b}"))
+    a, b = (f"__address{s}" for s in suffixes)
+    ours, theirs = _prepared_sides(stores, letters, suffixes)
+    pairs = dealt_by_words(ours.join(theirs, "zip_code"), a, b)
+    score = sorted_ratio(F.col(a), F.col(b))
     scored = pairs.select(*candidate_columns(suffixes), score.alias("similarity_score"))
-    alone = clean(_without_letters(ours, theirs), a)
+    alone = _without_letters(ours, theirs)
     unscored = alone.withColumn("similarity_score", F.lit(None).cast("int"))
     return scored.unionByName(unscored.select(*scored.columns))
 
 
-def rank_candidates(scored: DataFrame) -> DataFrame:
-    """Best score first, missing last.
+def bounded_pairs(
+    stores: DataFrame, letters: DataFrame, suffixes: tuple[str, str] = SUFFIXES
+) -> DataFrame:
+    """Pairs of a ZIP, unscored, with ``__bound``: no score exceeds it.
+
+    The bound comes from the lengths and the letters that both texts hold.  It is native and
+    cheap next to the search for matching blocks.
+    """
+    a, b = (f"__address{s}" for s in suffixes)
+    sides = _prepared_sides(stores, letters, suffixes)
+    ours, theirs = (side.withColumn(f"{c}_tags", letter_tags(F.col(c))) for side, c in zip(sides, (a, b)))
+    bound = ratio_bound(F.col(a), F.col(b), F.col(f"{a}_tags"), F.col(f"{b}_tags"))
+    return ours.join(theirs, "zip_code").select(*candidate_columns(suffixes), a, b, bound.alias("__bound"))
+
 
-    The remaining columns break ties, which also lets the range shuffle cut
-    through the many rows that share one score.  That shuffle samples its input
-    first: rank scores that are written down, or they are computed twice.
+def least_useful_bound(pairs: DataFrame, n: int, suffixes: tuple[str, str] = SUFFIXES) -> int:
+    """Pairs with a smaller bound cannot be among the ``n`` best.
+
+    Scores the pairs of the highest bounds, about ``n`` of them and all that share the
+    last of these bounds.  The ``n``-th best of their scores is one that any better
+    pair must reach.
+    """
+    counts = {r["__bound"]: r["count"] for r in pairs.groupBy("__bound").count().collect()}
+    known = ScoreCounts({k: m for k, m in counts.items() if k is not None}, counts.get(None, 0))
+    if known.known < n:
+        return 0
+    a, b = (F.col(f"__address{s}") for s in suffixes)
+    first = dealt_by_words(pairs.where(F.col("__bound") >= known.nth(n)), *(f"__address{s}" for s in suffixes))
+    scores = first.select(sorted_ratio(a, b).alias("score")).groupBy("score").count().collect()
+    return ScoreCounts({r["score"]: r["count"] for r in scores}, 0).nth(n)
+
+
+def top_matches(
+    stores: DataFrame, letters: DataFrame, n: int = 10, suffixes: tuple[str, str] = SUFFIXES
+) -> DataFrame:
+    """``top_candidates`` of :func:`match_candidates`, scoring only pairs that can be in it.
+
+    Pairs are joined once and written down, then scored in two rounds: those with the
+    highest bounds, then all whose bound reaches the ``n``-th best score of these,
+    ties included.
+    """
+    if n < 1:
+        raise ValueError("n must be at least 1")
+    pairs = stored(bounded_pairs(stores, letters, suffixes), "bounded-pairs")
+    least = least_useful_bound(pairs, n, suffixes)
+    if least == 0:
+        return top_candidates(match_candidates(stores, letters, suffixes), n)
+    a, b = (f"__address{s}" for s in suffixes)
+    useful = dealt_by_words(pairs.where(F.col("__bound") >= least), a, b)
+    score = sorted_ratio(F.col(a), F.col(b))
+    return top_candidates(useful.select(*candidate_columns(suffixes), score.alias("similarity_score")), n)
+
+
+@dataclass(frozen=True)
+class ScoreCounts:
+    """How many rows have each score; all that a summary and a deal-out by score need."""
+
+    by_score: dict[int, int]
+    missing: int
+
+    @classmethod
+    def of(cls, seen: dict[str, int]) -> ScoreCounts:
+        """From the values of :func:`score_counts`."""
+        return cls({k: seen[f"score_{k}"] for k in SCORES if seen[f"score_{k}"]}, seen["missing"])
+
+    @property
+    def known(self) -> int:
+        return sum(self.by_score.values())
+
+    @property
+    def rows(self) -> int:
+        return self.known + self.missing
+
+    def nth(self, n: int) -> int:
+        """Score of the ``n``-th best row, 0 if there are fewer."""
+        for score in sorted(self.by_score, reverse=True):
+            n -= self.by_score[score]
+            if n <= 0:
+                return score
+        return 0
+
+    def _quantile(self, q: float) -> float:
+        at = q * (self.known - 1)
+        low = self.known - math.floor(at)
+        high = self.known - math.ceil(at)
+        return self.nth(low) + (at - math.floor(at)) * (self.nth(high) - self.nth(low))
+
+    def summary(self) -> dict[str, float | None]:
+        """The values of :func:`score_summary`."""
+        n = self.known
+        names = ("count", "mean", "std", "min", "p25", "p50", "p75", "max")
+        if not n:
+            return dict.fromkeys(names) | {"count": 0}
+        mean = sum(k * m for k, m in self.by_score.items()) / n
+        spread = sum(m * (k - mean) ** 2 for k, m in self.by_score.items())
+        std = math.sqrt(spread / (n - 1)) if n > 1 else None
+        quartiles = [self._quantile(q) for q in (0.25, 0.5, 0.75)]
+        values = [n, mean, std, float(min(self.by_score)), *quartiles, float(max(self.by_score))]
+        return dict(zip(names, values))
+
+
+def score_counts(column: str = "similarity_score") -> dict[str, Column]:
+    """Aggregates for :class:`ScoreCounts`, which a write can take along."""
+    score = F.col(column)
+    counts = {f"score_{k}": F.count_if(score == k) for k in SCORES}
+    return counts | {"missing": F.count_if(score.isNull())}
+
+
+def _text_place(c: Column) -> Column:
+    """A number that never falls as texts rise: the first six bytes; -1 for a missing text."""
+    digits = F.rpad(F.substr(F.hex(F.encode(c, "utf-8")), F.lit(1), F.lit(12)), 12, "0")
+    return F.coalesce(F.conv(digits, 16, 10).cast("long"), F.lit(-1).cast("long"))
+
+
+def _dealt_by_score(scored: DataFrame, counts: ScoreCounts, partitions: int) -> DataFrame:
+    """Rows in partitions that follow the order of :func:`rank_candidates`.
+
+    The counts say where each score goes.  A score with more rows than a partition
+    should have is cut by its first tie column, at quantiles of that score's rows.
+    """
+    share = max(1, -(-counts.rows // partitions))
+    crowded = {k: -(-n // share) for k, n in counts.by_score.items() if n > 2 * share}
+    if counts.missing > 2 * share:
+        crowded[-1] = -(-counts.missing // share)
+    tie = next(c for c in scored.columns if c != "similarity_score")
+    key, place = F.coalesce("similarity_score", F.lit(-1)), _text_place(F.col(tie).cast("string"))
+    cuts: dict[int, list[int]] = {}
+    if crowded:
+        most = max(crowded.values())
+        steps = [i / most for i in range(1, most)]
+        rows = scored.where(key.isin(*crowded)).groupBy(key.alias("key"))
+        found = rows.agg(F.percentile_approx(place, steps, 10_000).alias("cuts")).collect()
+        cuts = {r["key"]: sorted(set(r["cuts"])) for r in found}
+    first, at, held = {}, 0, 0
+    for score in [*sorted(counts.by_score, reverse=True), -1]:
+        n = counts.missing if score == -1 else counts.by_score[score]
+        if held and (score in cuts or held + n > share):
+            at, held = at + 1, 0
+        first[score] = at
+        if score in cuts:
+            at += len(cuts[score]) + 1
+        else:
+            held += n
+    starts = F.array(*[F.lit(first.get(k, 0)) for k in (-1, *SCORES)])
+    part = F.get(starts, key + 1)
+    for score, values in cuts.items():
+        passed = sum(((place > v).cast("int") for v in values), F.lit(0))
+        part = F.when(key == score, F.lit(first[score]) + passed).otherwise(part)
+    return scored.repartitionById(at + 1, part)
+
+
+def rank_candidates(scored: DataFrame, counts: ScoreCounts | None = None) -> DataFrame:
+    """Best score first, missing last; the remaining columns break ties.
+
+    With ``counts``, taken while ``scored`` was written, rows are dealt out by them and
+    every score is read once.  Without, a range shuffle samples its input first, so
+    that scores which are not written down are computed twice.
     """
     ties = [c for c in scored.columns if c != "similarity_score"]
-    return scored.orderBy(F.col("similarity_score").desc_nulls_last(), *ties)
+    order = [F.col("similarity_score").desc_nulls_last(), *ties]
+    if counts is None:
+        return scored.orderBy(*order)
+    partitions = int(scored.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return _dealt_by_score(scored, counts, partitions).sortWithinPartitions(*order)
 
 
 def top_candidates(scored: DataFrame, n: int = 10) -> DataFrame:
+    """The first ``n`` rows of :func:`rank_candidates`."""
     return rank_candidates(scored).limit(n)
 
 
