@@ -87,6 +87,27 @@ def test_index_shuffles_rows_once_when_type_weights_are_stored(spark, rows, tmp_
     assert text.count("partial_product") == 2
 
 
+def moved(df):
+    """Columns of every exchange that carries single months of single products."""
+    found = re.findall(r"Exchange hashpartitioning\(.*?\n(.*?)\n", re.sub(r"#\d+L?", "", plan(df)))
+    return [line for line in found if "opening" in line or "unit_value_q" in line]
+
+
+@pytest.mark.parametrize("stored", [False, True])
+def test_index_moves_rows_once_at_every_weight_table_size(spark, rows, tmp_path, stored):
+    given = write_table(weights.type_weight_table(rows, "fiscal_year"), str(tmp_path / "w")) if stored else None
+    plain = {tuple(r)[:2]: r[2] for r in price_index.geo_index(rows, unique_months=True, type_weights=given).collect()}
+    with settings(spark, **NO_BROADCAST):
+        index = price_index.geo_index(rows, unique_months=True, type_weights=given)
+        assert len(moved(index)) == 1 and "Broadcast" not in plan(index)
+        # the weights join the rows of a series where its window left them
+        join = re.search(r"SortMergeJoin \[store_id, gtin\].*?\n(.*?)Window", re.sub(r"#\d+L?", "", plan(index)), re.S)
+        assert "Exchange" not in join.group(1)
+        in_place = {tuple(r)[:2]: r[2] for r in index.collect()}
+    assert in_place.keys() == plain.keys() and len(plain) > 500
+    assert all(v == (in_place[k] and pytest.approx(in_place[k], rel=1e-9)) for k, v in plain.items())
+
+
 def test_copies_are_combined_before_they_are_shuffled(spark, rows):
     index = price_index.geo_index(rows, order_col="quantity")
     first = "store_id, subcategory, product_type, gtin, fiscal_year, date"
@@ -103,7 +124,8 @@ def formatted(df):
 def test_index_reads_only_its_columns(spark, rows):
     text = formatted(price_index.geo_index(rows, "calendar", "qty", unique_months=True))
     scans = re.findall(r"ReadSchema: struct<([^>]*)>", text)
-    assert len(scans) == 3
+    # series, products, rows without store or product, and the weights for each of the last two
+    assert len(scans) == 5
     assert all("unit_value_q" not in s and "fiscal_year" not in s for s in scans)
 
 
@@ -207,6 +229,17 @@ def test_a_hot_month_is_split_in_the_lag_join(spark, rows):
         assert out.filter("store_id = 0 AND month_diff = 0").count() == 23999
 
 
+def test_copies_of_one_partition_are_written_by_several_tasks(spark):
+    one = spark.range(1_000_000, numPartitions=1).select(
+        F.lit(1).cast("long").alias("store_id"), F.lit("g").alias("gtin"), F.lit("2022-01-01").cast("date").alias("date"),
+        F.lit(2.0).alias("unit_value_q"),
+    )
+    out = lags.value_lags(one, "unit_value_q").withColumn("part", F.spark_partition_id())
+    sizes = {r["part"]: r["count"] for r in out.groupBy("part").count().collect()}
+    assert sum(sizes.values()) == 1_000_000 and len(sizes) > 2 and max(sizes.values()) < 600_000
+    assert out.where("month_diff is null").count() == 1
+
+
 def test_treatment_side_is_reduced_before_its_join(spark, rows):
     index = price_index.geo_index(rows, unique_months=True)
     reviewed = rows.select("store_id", F.col("date").alias("insp_date"), F.col("date").alias("issue_date"))

@@ -21,8 +21,8 @@ def not_ordered() -> Column:
     return F.raise_error("order_col repeats within a month").cast("double")
 
 
-# parts that identical rows are counted in, and so tasks that write them out again
-PARTS = 32
+# copies of a row that one task writes out again at a time
+COPIES = 1 << 12
 
 
 def value_lags(
@@ -48,8 +48,9 @@ def value_lags(
     fails if it has more.  The lag is then one window with one shuffle, over
     groups no larger than the number of months.  Otherwise months are reduced by
     map-side aggregation before the window, and the rows pick the result up in an
-    equi-join.  Without ``order_col``, identical rows are counted before they move,
-    in up to ``PARTS`` parts, and each part writes its copies out in its own task.
+    equi-join.  Without ``order_col``, identical rows are counted before they move.
+    One of them may open its month; the others are dealt out in lots of ``COPIES``
+    before they are written out again, wherever they came from.
     """
     require_columns(df, [*SERIES, "date", value_col])
     rows = df.withColumn(out_value_col, number(F.col(value_col)))
@@ -75,12 +76,10 @@ def value_lags(
 
     value = F.col(out_value_col)
     if order_col is None:
-        # identical rows become one row per part with a count
-        part = F.pmod(F.spark_partition_id(), F.lit(PARTS))
-        rows = rows.withColumn("__part", part)
+        # identical rows become one with a count
         rows = rows.groupBy(*rows.columns).agg(F.count(F.lit(1)).alias("__copies"))
         rest = [c for c in df.columns if c not in (*month, value_col)]
-        key = F.struct(value.alias("value"), *rest, F.col("__part"))
+        key = F.struct(value.alias("value"), *rest)
         ends = rows.groupBy(*month).agg(F.min(key).alias("__open"), F.max(key)["value"].alias("__close"))
     else:
         rows = rows.withColumn("__copies", F.lit(1).cast("long"))
@@ -98,13 +97,20 @@ def value_lags(
         F.lag("__close").over(series).alias("__previous"),
     )
     joined = rows.join(months, month, "left").withColumn("__first", key.eqNullSafe(F.col("__open")))
+    # the first of identical rows may open the month, the others follow it
+    joined = joined.withColumn("__copy", F.lit(1).cast("long"))
     if order_col is None:
-        single = joined.where("__copies = 1").withColumn("__copy", F.lit(1).cast("long"))
-        several = joined.where("__copies > 1").repartition(PARTS, "__part", *month)
-        copies = F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies")))
-        joined = single.unionByName(several.withColumn("__copy", copies))
-    else:
-        joined = joined.withColumn("__copy", F.lit(1).cast("long"))
+        one = F.lit(1).cast("long")
+        several = joined.where("__copies > 1").withColumn("__copies", F.col("__copies") - 1)
+        lots = F.ceil(F.col("__copies") / COPIES).cast("long")
+        lot = several.withColumn("__lot", F.explode(F.sequence(one, lots))).withColumn(
+            "__size", F.least(F.lit(COPIES), F.col("__copies") - (F.col("__lot") - 1) * COPIES)
+        )
+        # a fixed number of tasks: lots are tiny until they are written out
+        tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        dealt = lot.repartition(tasks, *month, "__lot")
+        follow = dealt.withColumn("__copy", F.explode(F.sequence(one + 1, F.col("__size") + 1)))
+        joined = joined.unionByName(follow.drop("__lot", "__size"))
     opens = F.col("__first") & (F.col("__copy") == 1)
     lagged = joined.withColumn(
         "month_diff", F.when(opens, F.col("__gap")).otherwise(F.lit(0))

@@ -9,18 +9,21 @@ large part of the rows:
 1. rows -> one row per product and month.  Map-side aggregation, so copies of a
    month collapse before they are shuffled.  Skipped when months are unique.
 2. one shuffle on (store, product): a window group is at most the months of one
-   series.  The lag and the product's revenue per period both use it.
-3. type revenue comes from its own map-side aggregation and is joined back.
-   The table is tiny next to the rows; Spark broadcasts it if its measured size
-   allows and sort-merges it otherwise, where AQE splits a hot store.  The next
-   aggregation has other keys, so it never blocks that split.
+   series.
+3. the weights come to where the rows lie.  A weight table that is measured as small
+   enough is broadcast to them.  Otherwise the weights meet the revenue of products
+   and periods, which is one row for all months of a year and is reduced map-side;
+   what they yield per product goes to (store, product) and joins the rows there
+   without moving them.  A store with many products is spread over all tasks.
 4. two grouped products, both reduced map-side; what is shuffled is at most one
    row per store, type and month from each task.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tillmark.functions.calendar import month_number
 from tillmark.functions.numeric import finite_positive, ieee_div, ieee_pow, number, product_or_null
@@ -52,6 +55,26 @@ def input_columns(weight_basis: str, index_kind: str, order_col: str | None = No
     return list(dict.fromkeys(names + ([order_col] if order_col else [])))
 
 
+def _named() -> Column:
+    """Does the row belong to a series?"""
+    return F.col("store_id").isNotNull() & F.col("gtin").isNotNull()
+
+
+MONTH_ENDS = ("opening", "closing", "opens_at", "closes_at")
+
+
+def _single_months(df: DataFrame, value_col: str, groups: list[str]) -> DataFrame:
+    """Rows that each are a product's only one of the month."""
+    revenue = F.coalesce(number(F.col(REVENUE)), F.lit(0.0)).alias("revenue")
+    return df.select(*groups, revenue, *[number(F.col(value_col)).alias(c) for c in MONTH_ENDS])
+
+
+def _unnamed_months(df: DataFrame, groups: list[str]) -> DataFrame:
+    """Months of rows without store or product: revenue, and no values to compare."""
+    months = df.groupBy(*groups).agg(revenue_total().alias("revenue"))
+    return months.withColumns({c: F.lit(None).cast("double") for c in MONTH_ENDS})
+
+
 def _product_months(
     df: DataFrame, value_col: str, period: str, order_col: str | None, unique_months: bool
 ) -> DataFrame:
@@ -64,13 +87,9 @@ def _product_months(
     value = number(F.col(value_col))
     groups = [*product_keys(period), "date"]
     if unique_months:
-        revenue = F.coalesce(number(F.col(REVENUE)), F.lit(0.0))
-        names = ("opening", "closing", "opens_at", "closes_at")
-        named = F.col("store_id").isNotNull() & F.col("gtin").isNotNull()
-        known = df.where(named).select(*groups, revenue.alias("revenue"), *[value.alias(c) for c in names])
         # rows without store or product have no lag, may repeat, and are one row a month
-        unnamed = df.where(~named).groupBy(*groups).agg(revenue_total().alias("revenue"))
-        return known.unionByName(unnamed.withColumns({c: F.lit(None).cast("double") for c in names}))
+        known = _single_months(df.where(_named()), value_col, groups)
+        return known.unionByName(_unnamed_months(df.where(~_named()), groups))
     if order_col is None:
         # rows of a month in order of value, unknown values first
         first = F.when(F.count_if(value.isNull()) == 0, F.min(value))
@@ -83,9 +102,8 @@ def _product_months(
         once = F.when(F.col("__rows") > 1, not_ordered()).otherwise(F.col(value_col))
         df = lines.withColumn(value_col, once)
         ends = [F.min_by(value, at), F.max_by(value, at), F.min(at), F.max(at)]
-    names = ("opening", "closing", "opens_at", "closes_at")
     return df.groupBy(*groups).agg(
-        revenue_total().alias("revenue"), *[e.alias(n) for e, n in zip(ends, names)]
+        revenue_total().alias("revenue"), *[e.alias(n) for e, n in zip(ends, MONTH_ENDS)]
     )
 
 
@@ -93,7 +111,7 @@ def _ratios(months: DataFrame, period: str, unique_months: bool) -> DataFrame:
     """Month-on-month ratio and product revenue, in one (store, product) shuffle."""
     months = months.withColumn("month_no", month_number(F.col("date")))
     series = Window.partitionBy(*SERIES)
-    named = F.col("store_id").isNotNull() & F.col("gtin").isNotNull()
+    named = _named()
     if unique_months:
         in_order = series.orderBy("month_no")
         before = F.lag("month_no").over(in_order)
@@ -117,6 +135,66 @@ def _ratios(months: DataFrame, period: str, unique_months: bool) -> DataFrame:
     )
 
 
+def broadcastable(df: DataFrame) -> bool:
+    """Is it a stored table, whose size is measured, and small enough for Spark to broadcast?"""
+    limit = df.sparkSession._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
+    plan = df._jdf.queryExecution().optimizedPlan()
+    return plan.children().isEmpty() and int(str(plan.stats().sizeInBytes())) <= limit
+
+
+def _series_shares(df: DataFrame, weights: DataFrame, period: str) -> DataFrame:
+    """Per store and product a short list ``held``: share and stage-2 weight of each type and period.
+
+    A product's revenue is one row for all months of a period and is reduced map-side.
+    """
+    products = df.where(_named()).groupBy(*product_keys(period)).agg(
+        revenue_total().alias("product_revenue")
+    )
+    share = ieee_div(F.col("product_revenue"), F.col("type_annual_revenue")).alias("share")
+    entry = F.struct("subcategory", "product_type", period, share, "stage_2_weight")
+    joined = null_safe_left_join(products, weights, type_keys(period))
+    return joined.groupBy(*SERIES).agg(F.collect_list(entry).alias("held"))
+
+
+def _weighted_in_place(
+    df: DataFrame,
+    weights: DataFrame,
+    value_col: str,
+    period: str,
+    order_col: str | None,
+    unique_months: bool,
+) -> DataFrame:
+    """Ratios with ``share`` and ``stage_2_weight``, the rows of a series shuffled once.
+
+    A series picks its weights from its own list.  Rows without store or product
+    belong to no series; they are combined and join by type.
+    """
+    groups = [*product_keys(period), "date"]
+    rows = df.where(_named())
+    if unique_months:
+        months = _single_months(rows, value_col, groups)
+    else:
+        months = _product_months(rows, value_col, period, order_col, False)
+    picked = ["subcategory", "product_type", period]
+
+    def fits(entry: Column) -> Column:
+        return reduce(lambda a, b: a & b, [entry[c].eqNullSafe(F.col(c)) for c in picked])
+
+    held = _ratios(months, period, unique_months).drop("product_revenue").join(
+        _series_shares(df, weights, period), SERIES, "left"
+    )
+    columns = [*groups, "ratio", "share", "stage_2_weight"]
+    found = held.withColumn("__entry", F.get(F.filter("held", fits), F.lit(0)))
+    in_place = found.withColumns({c: F.col(f"__entry.{c}") for c in columns[-2:]}).select(*columns)
+
+    other = _unnamed_months(df.where(~_named()), groups)
+    revenue = F.sum("revenue").over(Window.partitionBy(*product_keys(period)))
+    other = null_safe_left_join(other.withColumn("product_revenue", revenue), weights, type_keys(period))
+    share = ieee_div(F.col("product_revenue"), F.col("type_annual_revenue"))
+    other = other.withColumns({"ratio": F.lit(None).cast("double"), "share": share})
+    return in_place.unionByName(other.select(*columns))
+
+
 def type_index(
     df: DataFrame,
     weight_basis: str = "fiscal",
@@ -128,22 +206,26 @@ def type_index(
     """Stage 1: index and stage-2 weight per store, subcategory, type and month.
 
     ``type_weights`` takes the result of ``type_weight_table`` for the same rows
-    and period.  Given as a stored table, its size is known when the join is
-    planned, and a small one is broadcast without shuffling the rows again.
+    and period.  Given as a stored table, its size is known, and a small one is
+    broadcast.  In every other case the weights go to the rows' place, so that rows
+    are shuffled once at any size.
     """
     period, value_col = period_column(weight_basis), value_column(index_kind)
     extra = [] if order_col is None else [order_col]
     require_columns(df, [*product_keys(period), "date", value_col, REVENUE, *extra])
 
-    months = _product_months(df, value_col, period, order_col, unique_months)
-    ratios = _ratios(months, period, unique_months)
-    if type_weights is None:
-        type_weights = type_weight_table(df, period)
-    weighted = null_safe_left_join(ratios, type_weights, type_keys(period))
-    share = ieee_div(F.col("product_revenue"), F.col("type_annual_revenue"))
+    if type_weights is not None and broadcastable(type_weights):
+        months = _product_months(df, value_col, period, order_col, unique_months)
+        joined = null_safe_left_join(
+            _ratios(months, period, unique_months), type_weights, type_keys(period)
+        )
+        share = ieee_div(F.col("product_revenue"), F.col("type_annual_revenue"))
+        weighted = joined.withColumn("share", share)
+    else:
+        weights = type_weight_table(df, period) if type_weights is None else type_weights
+        weighted = _weighted_in_place(df, weights, value_col, period, order_col, unique_months)
     return (
-        weighted.withColumn("share", share)
-        .withColumn("term", finite_positive(ieee_pow(F.col("ratio"), F.col("share"))))
+        weighted.withColumn("term", finite_positive(ieee_pow(F.col("ratio"), F.col("share"))))
         # the period is a function of the month, so it is not a grouping key
         .groupBy("store_id", "subcategory", "product_type", "date")
         .agg(
