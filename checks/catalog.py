@@ -16,6 +16,7 @@ from tillmark.functions.similarity import similarity_score, token_sorted
 from tillmark.functions.text import basic_clean, expand_street_words
 from tillmark.operators import lags, matching, panel, prepare, price_index, treatment, weights
 from tillmark.operators.contracts import STORE_CONTRACT, index_contract
+from tillmark.sources.scratch import stored_counted
 
 Query = Callable[[SparkSession, str], DataFrame]
 LABEL = price_index.DEFAULT_LABEL
@@ -279,12 +280,14 @@ def _store_counts() -> dict[str, Entry]:
     return {
         "store_status": Entry(
             status,
-            f"""{head}, patchy AS (
+            f"""{head}, relabelled AS (
+              SELECT store_id, CASE WHEN store_id % 7 = 0 THEN 'NONSCAN' ELSE scan_type END AS scan_type,
+                     CASE WHEN store_id % 7 <> 0 AND store_id % 5 = 0 THEN 'Other' ELSE subcategory END AS subcategory
+              FROM scanner),
+            patchy AS (
               SELECT *, scan_type = 'GTIN' AS is_product,
                      scan_type = 'GTIN' AND subcategory = 'Vaping Products' AS is_kept
-              FROM scanner
-              WHERE CASE WHEN store_id % 7 = 0 THEN scan_type = 'NONSCAN'
-                         WHEN store_id % 5 = 0 THEN subcategory = 'Other' ELSE true END)
+              FROM relabelled)
             SELECT store_id, count(*) AS rows_read,
                    count(*) FILTER (WHERE is_product) AS product_rows,
                    count(*) FILTER (WHERE is_kept) AS subcategory_rows,
@@ -470,10 +473,11 @@ def _matching() -> dict[str, Entry]:
         return matching.match_candidates(stores(spark, sf_dir), letters(spark, sf_dir))
 
     def top(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return matching.top_candidates(scored(spark, sf_dir), 10)
+        return matching.top_matches(stores(spark, sf_dir), letters(spark, sf_dir), 10)
 
     def ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return matching.rank_candidates(scored(spark, sf_dir))
+        written, seen = stored_counted(scored(spark, sf_dir), "scored-pairs", matching.score_counts())
+        return matching.rank_candidates(written, matching.ScoreCounts.of(seen))
 
     def summary(spark: SparkSession, sf_dir: str) -> DataFrame:
         df = matching.score_summary(scored(spark, sf_dir))
