@@ -1,6 +1,7 @@
 """Mixing, chat formatting and exact search."""
 
 import hashlib
+import math
 import random
 from collections import Counter, defaultdict
 
@@ -156,9 +157,52 @@ def test_unusable_vectors_take_no_part(spark):
     assert topk.top_products(vectors, F.lit(False)).collect() == []
 
 
-@pytest.mark.parametrize("value", [2.0**45, -(2.0**60), 1e307])
-def test_large_finite_components_are_not_left_out_silently(spark, value):
-    rows = [(0, [1.0, 2.0]), (1, [value, 1.0])]
-    vectors = topk.quantised(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
-    with pytest.raises(Exception, match="too large for exact products"):
-        vectors.collect()
+def _scores(spark, rows, kind="double", k=3):
+    vectors = topk.quantised(spark.createDataFrame(rows, f"vec_id long, embedding array<{kind}>"))
+    got = topk.top_products(vectors, F.col("vec_id") % 50 == 0, k).collect()
+    return sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in got)
+
+
+def test_products_of_large_components_are_exact(spark):
+    for power in (22, 30, 40, 45):
+        big = 2.0**power
+        near = min(big, 2.0 ** (46 - power))
+        rows = [(0, [big, 1.0, -near]), (1, [near, 1.0, 0.0]), (2, [near, 3.0, 0.5]), (3, [-near, 2.0, 7.0])]
+        rows += [(4, [0.0, 0.0, 0.0]), (50, [near, -1.0, near])]
+        whole = [(i, [math.floor(256 * x) for x in v]) for i, v in rows]
+        assert Counter(_scores(spark, rows)) == _brute(whole, 3)
+
+
+def test_components_beyond_longs_still_score(spark):
+    rows = [(0, [2.0**60, 0.0, 1.0]), (1, [0.0, 1.0, 1.0]), (2, [-(2.0**90), 5.0, 0.0]), (3, [0.0, 2.0, 3.0]), (4, [0.0, 9.0, -1.0])]
+    assert _scores(spark, rows) == [(0, 1, 3, 3 << 16), (0, 2, 1, 1 << 16), (0, 3, 4, -(1 << 16))]
+    # sums that leave the range on the way and come back
+    rows = [(0, [2.0**30, 2.0**30, 1.0]), (1, [2.0**30, -(2.0**30), 2.0]), (2, [0.0, 0.0, 1.0])]
+    assert _scores(spark, rows) == [(0, 1, 1, 2 << 16), (0, 2, 2, 1 << 16)]
+
+
+@pytest.mark.parametrize("value", [2.0**40, -(2.0**40), 1e307])
+def test_scores_that_fit_no_long_fail(spark, value):
+    with pytest.raises(Exception, match="does not fit a long|too large for exact products"):
+        _scores(spark, [(0, [abs(value), 2.0]), (1, [value, 1.0])])
+
+
+def test_close_scores_beyond_doubles_keep_their_order(spark):
+    # scores differ by one and by less than a double can tell
+    big = 1 << 30
+    rows = [(0, [big, 1])] + [(i, [big, i]) for i in range(1, 300)]
+    vectors = spark.createDataFrame(rows, "vec_id long, v array<long>").repartition(3)
+    got = topk.top_products(vectors, F.col("vec_id") == 0, 5, 16).collect()
+    assert sorted((r["rank"], r["vec_id"], r["score"]) for r in got) == [
+        (1 + i, 299 - i, big * big + 299 - i) for i in range(5)
+    ]
+
+
+def test_the_plan_does_not_grow_with_the_blocks(spark):
+    rows = [(i, [i, 1]) for i in range(400)]
+    vectors = spark.createDataFrame(rows, "vec_id long, v array<long>").repartition(3)
+    sizes = []
+    for block_rows in (200, 4):
+        found = topk.top_products(vectors, F.col("vec_id") % 50 == 0, 5, block_rows)
+        sizes.append(len(found._jdf.queryExecution().optimizedPlan().toString()))
+    assert sizes[1] < 1.2 * sizes[0]

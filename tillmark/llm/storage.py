@@ -1,31 +1,5 @@
 """Tables an operator writes down in the cluster's shared folder."""
 
-from __future__ import annotations
+from tillmark.sources.scratch import run_folder, shared_dir, stored
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """Folder named by ``spark.checkpoint.dir``; on a single machine a folder of its own.
-
-    A cluster without the setting is an error: its machines share no temp folder.
-    """
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named
-    if not spark.sparkContext.master.startswith("local["):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    named = tempfile.mkdtemp(prefix="tillmark-")
-    spark.conf.set("spark.checkpoint.dir", named)
-    return named
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet and read it back: no lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+__all__ = ["run_folder", "shared_dir", "stored"]

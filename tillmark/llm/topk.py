@@ -19,17 +19,23 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from tillmark.llm.storage import stored
 
 TILE = 1024
+# blocks by length; what they hold beyond their size is split by hash
+MAX_BLOCKS = 4096
 # share of the squared length that the leading axes hold
 LEADING = 0.75
 LARGEST = 1 << 53
+# scores of this size and more do not fit a long that can change its sign
+SCORE_LIMIT = (1 << 63) - 1
+# squares of larger components leave the range of doubles
+COMPONENT_LIMIT = 2.0**500
 
 
 def quantised(vectors: DataFrame, scale: int = 256) -> DataFrame:
-    """``vec_id, v``: floor(scale * x) of every component as long.
+    """``vec_id, v``: floor(scale * x) of every component, whole numbers as doubles.
 
-    Vectors that are missing or hold a missing or non-finite component take no part,
-    nor do rows without id; repeated rows count once.  A finite component whose scaled
-    value needs more than 53 bits fails the query.
+    A double times a power of two and its floor are exact at every size.  Vectors that
+    are missing or hold a missing or non-finite component take no part, nor do rows
+    without id; repeated rows count once.  A scaled component from 2^500 on fails the query.
     """
     x = F.col("embedding")
 
@@ -37,9 +43,11 @@ def quantised(vectors: DataFrame, scale: int = 256) -> DataFrame:
         return c.cast("double") * scale
 
     def whole(c: Column) -> Column:
-        fits = F.abs(scaled(c)) < F.lit(float(LARGEST))
-        failed = F.raise_error(F.lit("embedding component is too large for exact products")).cast("long")
-        return F.when(fits, F.floor(scaled(c))).otherwise(failed)
+        x = scaled(c)
+        # from 2^53 on every double is whole; zero has one sign
+        floor = F.when(F.abs(x) < F.lit(float(LARGEST)), F.floor(x).cast("double")).otherwise(x)
+        failed = F.raise_error(F.lit("embedding component is too large for exact products")).cast("double")
+        return F.when(F.abs(x) < F.lit(COMPONENT_LIMIT), floor).otherwise(failed)
 
     usable = F.forall(
         x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c.cast("double")) < F.lit(float("inf")))
@@ -57,12 +65,49 @@ def _matrix(column: pa.Array, dim: int) -> np.ndarray:
         column = column.combine_chunks()
     sizes = np.diff(np.asarray(column.offsets))
     values = column.flatten().to_numpy(zero_copy_only=False)
-    out = np.zeros((len(column), dim), dtype=np.int64)
+    out = np.zeros((len(column), dim), dtype=values.dtype if len(values) else np.int64)
     rows = np.repeat(np.arange(len(column)), sizes)
     out[rows, np.arange(len(values)) - np.repeat(np.cumsum(sizes) - sizes, sizes)] = values
     return out
 
 
+class Vectors:
+    """Whole numbers, as longs where these hold them and as doubles."""
+
+    def __init__(self, given: np.ndarray):
+        self.given = given
+        self.floats = given.astype(float)
+        self.length = np.sqrt((self.floats**2).sum(axis=1))
+        fits = np.abs(self.floats) < 2.0**62
+        self.longs = np.where(fits, given, 0).astype(np.int64)
+
+    def __len__(self) -> int:
+        return len(self.given)
+
+    def __getitem__(self, rows) -> Vectors:
+        part = object.__new__(Vectors)
+        for name, value in self.__dict__.items():
+            setattr(part, name, value[rows])
+        return part
+
+
+def _exact(x: np.ndarray, y: np.ndarray) -> int:
+    return sum(int(a) * int(b) for a, b in zip(x.tolist(), y.tolist()))
+
+
+def _settle(score: np.ndarray, q: Vectors, c: Vectors, hit_q: np.ndarray, hit_c: np.ndarray) -> None:
+    """Puts right the scores of pairs so long that sums of longs may have run over.
+
+    A score above the limit is an error; one below it becomes its negative, which is an
+    error only if it is among the best.
+    """
+    for k in np.flatnonzero(q.length[hit_q] * c.length[hit_c] >= 2.0**62).tolist():
+        value = _exact(q.given[hit_q[k]], c.given[hit_c[k]])
+        if value >= SCORE_LIMIT:
+            raise OverflowError("an inner product does not fit a long")
+        score[k] = max(value, -SCORE_LIMIT)
+
+
 def principal_axes(vectors: DataFrame, dim: int) -> tuple[np.ndarray, int]:
     """Right singular vectors of all rows, strongest first, and how many lead.
 
@@ -111,15 +156,21 @@ class Best:
         keep = rank < self.k
         self.query, self.score, self.ident = query[keep], score[keep], ident[keep]
         last = rank == self.k - 1
-        self.floor[query[last]] = np.maximum(self.floor[query[last]], score[last])
+        self.floor[query[last]] = np.maximum(self.floor[query[last]], _at_most(score[last]))
 
 
-def _products(q: np.ndarray, c: np.ndarray) -> np.ndarray:
-    """Exact inner products of all rows of q with all rows of c."""
-    largest = float(np.abs(q).max(initial=0)) * float(np.abs(c).max(initial=0)) * q.shape[1]
+def _products(q: Vectors, c: Vectors) -> np.ndarray:
+    """Inner products of all rows of q with all rows of c, right modulo 2^64."""
+    largest = float(np.abs(q.floats).max(initial=0)) * float(np.abs(c.floats).max(initial=0)) * q.floats.shape[1]
     if largest < LARGEST:
-        return (q.astype(float) @ c.astype(float).T).astype(np.int64)
-    return q @ c.T
+        return (q.floats @ c.floats.T).astype(np.int64)
+    return q.longs @ c.longs.T
+
+
+def _at_most(score: np.ndarray) -> np.ndarray:
+    """Doubles that do not exceed these longs."""
+    near = score.astype(float)
+    return np.where(np.abs(near) < LARGEST, near, np.nextafter(near, -np.inf))
 
 
 def search_block(
@@ -129,34 +180,39 @@ def search_block(
     """Candidates of one block that reach the queries' floors, at most k per query."""
     best = Best(len(queries), k)
     best.floor = floors.astype(float).copy()
-    length = np.sqrt((block.astype(float) ** 2).sum(axis=1))
-    order = np.argsort(-length, kind="stable")
-    block, ids, length = block[order], ids[order], length[order]
-    turned_q, turned_c = queries @ axes, block @ axes
-    q_len = np.sqrt((queries.astype(float) ** 2).sum(axis=1))
+    asked, held = Vectors(queries), Vectors(block)
+    order = np.argsort(-held.length, kind="stable")
+    held, ids = held[order], ids[order]
+    turned_q, turned_c = asked.floats @ axes, held.floats @ axes
     q_rest = np.sqrt((turned_q[:, lead:] ** 2).sum(axis=1))
     c_rest = np.sqrt((turned_c[:, lead:] ** 2).sum(axis=1))
     at, tile = 0, 64
-    while at < len(block):
+    while at < len(held):
         part = slice(at, at + tile)
+        some = held[part]
         at, tile = at + tile, min(TILE, tile * 4)
         # rounding errors of the bounds stay far below this slack
-        slack = 1e-9 * q_len * length[part][0] + 1e-6
-        live = np.flatnonzero(q_len * length[part][0] + slack >= best.floor)
+        reach = asked.length * some.length[0]
+        slack = 1e-9 * reach + 1e-6
+        live = np.flatnonzero(reach + slack >= best.floor)
         if not len(live):
             break
         bound = turned_q[live, :lead] @ turned_c[part, :lead].T
         bound += q_rest[live, None] * c_rest[None, part]
-        hit_q, hit_c = np.nonzero(bound + slack[live, None] >= best.floor[live, None])
+        near = bound + slack[live, None] >= best.floor[live, None]
+        # rows with a query's own id are no candidates
+        near &= query_ids[live, None] != ids[None, part]
+        hit_q, hit_c = np.nonzero(near)
         if len(hit_q) * 4 > bound.size:
-            score = _products(queries[live], block[part])[hit_q, hit_c]
+            score = _products(asked[live], some)[hit_q, hit_c]
         else:
             score = np.empty(len(hit_q), dtype=np.int64)
             for s in range(0, len(hit_q), 1 << 16):
                 cut = slice(s, s + (1 << 16))
-                score[cut] = np.einsum("ij,ij->i", queries[live[hit_q[cut]]], block[part][hit_c[cut]])
+                score[cut] = np.einsum("ij,ij->i", asked.longs[live[hit_q[cut]]], some.longs[hit_c[cut]])
         query, ident = live[hit_q], ids[part][hit_c]
-        ok = (score >= best.floor[query]) & (ident != query_ids[query])
+        _settle(score, asked, some, query, hit_c)
+        ok = score >= best.floor[query]
         best.add(query[ok], score[ok], ident[ok])
     return best
 
@@ -166,8 +222,9 @@ def top_products(
 ) -> DataFrame:
     """The ``k`` largest inner products of every query row with all other rows.
 
-    ``vectors`` holds ``vec_id`` (long) and ``v`` (array of long), as ``quantised``
-    returns it.  Gives ``query_id, rank, vec_id, score``, all candidates if there
+    ``vectors`` holds ``vec_id`` (long) and ``v``, whole numbers as ``quantised`` returns
+    them or as longs.  Scores are exact at every size; one among the best that does not
+    fit a long fails the query.  Gives ``query_id, rank, vec_id, score``, all candidates if there
     are fewer than ``k``; equal scores favour the smaller ``vec_id``.  Rows that
     share the query's id are its own and no candidates.  If ids repeat with other
     vectors, each is a query.  Shorter vectors count as padded with zeros.
@@ -179,7 +236,7 @@ def top_products(
         F.count(F.lit(1)).alias("n"), F.max(F.size("v")).alias("dim"), F.count_if(is_query).alias("nq")
     ).first()
     dim = max(1, facts["dim"] or 0)
-    blocks = max(1, -(-facts["n"] // block_rows))
+    blocks = min(MAX_BLOCKS, max(1, -(-facts["n"] // block_rows)))
     query_blocks = max(1, -(-facts["nq"] // query_rows))
     axes, lead = principal_axes(rows, dim)
 
@@ -197,14 +254,27 @@ def top_products(
                 [*batch.columns, pa.array(block.astype(np.int32))], ["vec_id", "v", "length", "block"]
             )
 
-    placed = rows.mapInArrow(place, "vec_id long, v array<long>, length double, block int")
-    sizes = placed.groupBy("block").agg(F.count(F.lit(1)).alias("n"), F.max("length").alias("longest"))
-    layout = sorted((r["block"], -(-r["n"] // block_rows), r["longest"]) for r in sizes.collect())
+    kind = rows.schema["v"].dataType.simpleString()
+    placed = rows.mapInArrow(place, f"vec_id long, v {kind}, length double, block int")
     # equal lengths all fall into one block; hashed ids split it into slots
-    if not layout:
+    sizes = placed.groupBy("block").agg(F.count(F.lit(1)).alias("n"), F.max("length").alias("longest"))
+    layout = sizes.select("block", F.ceil(F.col("n") / block_rows).cast("int").alias("slots"), "longest").toArrow()
+    if not layout.num_rows:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    slots = F.element_at(F.create_map(*[F.lit(x) for b, s, _ in layout for x in (b, s)]), F.col("block"))
-    placed = placed.withColumn("slot", F.pmod(F.xxhash64("vec_id"), slots).cast("int"))
+    layout = layout.sort_by("block")
+    block_ids, block_slots, longest = (layout.column(c).to_numpy() for c in ("block", "slots", "longest"))
+    first = int(block_ids[0])
+    spread = spark.sparkContext.broadcast((block_ids, block_slots, np.minimum.accumulate(longest)))
+
+    def slotted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block_ids, slots, _ = spread.value
+        for batch in batches:
+            own = slots[np.searchsorted(block_ids, batch.column(3).to_numpy())]
+            slot = pa.array((batch.column(4).to_numpy() % own).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], slot], ["vec_id", "v", "length", "block", "slot"])
+
+    hashed = placed.withColumn("hashed", F.pmod(F.xxhash64("vec_id"), F.lit(1 << 30)))
+    placed = hashed.mapInArrow(slotted, f"vec_id long, v {kind}, length double, block int, slot int")
     queries = rows.where(is_query).select(
         "vec_id", "v", "length", F.xxhash64("v").alias("query_hash"),
         F.pmod(F.xxhash64("vec_id"), F.lit(query_blocks)).cast("int").alias("query_block"),
@@ -234,31 +304,46 @@ def top_products(
             asked.select(*groups, "vec_id", "v", "query_hash", "floor").groupBy(*groups)
         ).applyInArrow(search, "query_id long, query_hash long, vec_id long, score long")
 
-    first, rest = layout[0][0], layout[1:]
-    head = [(first, 0, layout[0][2])]
-    others = [(first, s, layout[0][2]) for s in range(1, layout[0][1])]
-    others += [(b, s, longest) for b, n, longest in rest for s in range(n)]
-
-    def targets(items: list[tuple[int, int, float]]) -> Column:
-        return F.array(
-            *[F.struct(F.lit(b).alias("block"), F.lit(s).alias("slot"), F.lit(x).alias("longest")) for b, s, x in items]
-        )
-
-    at_head = queries.withColumn("floor", F.lit(float("-inf"))).select("*", F.inline(targets(head)))
+    def aimed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Every query with each slot whose longest vector can still reach its floor, but the very first."""
+        block_ids, slots, longest = spread.value
+        upto = np.concatenate([[0], np.cumsum(slots)])
+        for batch in batches:
+            floor, length = (batch.column(c).to_numpy() for c in ("floor", "length"))
+            with np.errstate(divide="ignore", invalid="ignore"):
+                least = (floor - 1e-6) / (length * (1 + 1e-9)) * (1 - 1e-12)
+            # blocks are in descending order of length; a zero vector scores zero everywhere
+            least = np.where(length > 0, least, np.where(floor <= 1e-6, -np.inf, np.inf))
+            count = upto[np.searchsorted(-longest, -least, side="right")]
+            at = 0
+            while at < len(count):
+                stop = max(at + 1, int(np.searchsorted(np.cumsum(count[at:]), 1 << 13, side="right")) + at)
+                many = np.maximum(count[at:stop] - 1, 0)
+                row = np.repeat(np.arange(at, stop), many)
+                place = np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many) + 1
+                block = np.searchsorted(upto, place, side="right") - 1
+                columns = batch.take(pa.array(row)).columns
+                marks = [pa.array(x.astype(np.int32)) for x in (block_ids[block], place - upto[block])]
+                yield pa.RecordBatch.from_arrays([*columns, *marks], [*batch.schema.names, "block", "slot"])
+                at = stop
+
+    at_head = queries.withColumns({"floor": F.lit(float("-inf")), "block": F.lit(first), "slot": F.lit(0)})
     opening = stored(searched(each.where((F.col("block") == first) & (F.col("slot") == 0)), at_head), "top-head")
     found = opening
-    if others:
+    if block_slots.sum() > 1:
         floors = opening.groupBy("query_id", "query_hash").agg(
             F.when(F.count("score") >= k, F.min("score")).cast("double").alias("floor")
         )
+        # no more than the score itself
+        floors = floors.withColumn("floor", F.col("floor") - F.abs("floor") * 4e-16)
         asked = queries.join(
             floors.withColumnRenamed("query_id", "vec_id"), ["vec_id", "query_hash"], "left"
         ).fillna(float("-inf"), "floor")
-        asked = asked.select("*", F.inline(targets(others)))
-        reach = F.col("length") * F.col("longest")
-        asked = asked.where(reach * (1 + 1e-9) + 1e-6 >= F.col("floor"))
+        asked = asked.mapInArrow(aimed, ", ".join(f"{n} {t}" for n, t in [*asked.dtypes, ("block", "int"), ("slot", "int")]))
         tail = each.where((F.col("block") != first) | (F.col("slot") != 0))
         found = opening.union(searched(tail, asked))
     best = Window.partitionBy("query_id", "query_hash").orderBy(F.desc("score"), "vec_id")
     ranked = found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
-    return ranked.select("query_id", "rank", "vec_id", "score")
+    failed = F.raise_error(F.lit("an inner product does not fit a long")).cast("long")
+    score = F.when(F.col("score") == F.lit(-SCORE_LIMIT), failed).otherwise(F.col("score"))
+    return ranked.select("query_id", "rank", "vec_id", score.alias("score"))
