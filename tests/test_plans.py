@@ -167,6 +167,22 @@ def test_one_python_step_scores_the_pairs(spark):
     assert plan(matching.match_candidates(s, ls)).count("ArrowEvalPython") == 1
 
 
+def test_each_side_of_the_match_is_cleaned_and_moved_once(spark, tmp_path):
+    raw = stores(spark, [(i, f"{i} Oak Street", None if i % 5 == 0 else f"{i % 7}") for i in range(40)])
+    s = matching.prep_stores(write_table(raw, str(tmp_path / "s")))
+    ls = matching.prep_letters(write_table(letters(spark, [("r", f"{i} Oak", f"{i % 4}") for i in range(40)]), str(tmp_path / "l")))
+    with settings(spark, **NO_BROADCAST):
+        found = matching.match_candidates(s, ls)
+        text = re.sub(r"#\d+L?", "", plan(found))
+        # stores with and without a ZIP, and letters; the ZIPs alone are read again
+        scans = re.findall(r"FileScan parquet \[(.*?)\]", text)
+        assert sorted(scans) == sorted(["ZIP_CODE", "a,h", "a,b,c,d,e,h"] + 2 * [",".join(raw.columns)])
+        # four shuffles by ZIP: two of rows, two of distinct ZIPs, and one by words
+        assert text.count("Exchange hashpartitioning(zip_code") == 4 and text.count("Exchange") == 5
+        rows = found.collect()
+    assert len(rows) == 8 + 32 + sum(9 if i % 7 < 4 else 0 for i in range(40) if i % 5)
+
+
 def test_top_list_is_not_a_full_sort(spark):
     df = spark.range(5).select(F.col("id").cast("int").alias("similarity_score"))
     assert "TakeOrderedAndProject" in plan(matching.top_candidates(df, 2))

@@ -105,11 +105,25 @@ def _letter_side(letters: DataFrame, suffix: str) -> DataFrame:
     )
 
 
-def _without_letters(ours: DataFrame, theirs: DataFrame) -> DataFrame:
-    """Stores whose ZIP has no letter, with the letter columns missing."""
-    alone = ours.join(theirs.select("zip_code").distinct(), "zip_code", "left_anti")
-    absent = {c: t for c, t in theirs.dtypes if c not in ours.columns}
-    return alone.withColumns({c: F.lit(None).cast(t) for c, t in absent.items()})
+def _missing(df: DataFrame, like: DataFrame) -> DataFrame:
+    """``df`` with the columns it lacks of ``like``, all null."""
+    return df.withColumns({c: F.lit(None).cast(t) for c, t in like.dtypes if c not in df.columns})
+
+
+def _paired(ours: DataFrame, theirs: DataFrame) -> DataFrame:
+    """Every store with the letters of its ZIP, or with nulls if there are none.
+
+    ZIPs without letters get one row of nulls among the letters, so the outer join is
+    an inner one: it reads and shuffles either side once, and AQE can split a crowded
+    ZIP on both.  Only the ZIPs themselves are read again to find these.  Stores
+    without ZIP go around the join.
+    """
+    known = ours.where(F.col("zip_code").isNotNull())
+    held = theirs.select("zip_code").distinct()
+    bare = known.select("zip_code").distinct().join(held, "zip_code", "left_anti")
+    pairs = known.join(theirs.unionByName(_missing(bare, theirs)), "zip_code")
+    apart = _missing(ours.where(F.col("zip_code").isNull()), theirs)
+    return pairs.unionByName(apart)
 
 
 def zip_candidates(
@@ -117,15 +131,11 @@ def zip_candidates(
 ) -> DataFrame:
     """Every store with the letters of its ZIP; stores without letters are kept.
 
-    The outer join is stated as an inner join plus the stores left over: AQE can
-    split a crowded ZIP of an inner join on either side, but only the stores of
-    an outer one.  Both sides are cut to the needed columns first.  There is no
-    broadcast hint; Spark broadcasts the letters only while their size is small.
+    Both sides are cut to the needed columns first.  There is no broadcast hint; Spark
+    broadcasts the letters only while their size is small.
     """
     ours, theirs = _store_side(stores, suffixes[0]), _letter_side(letters, suffixes[1])
-    matched = ours.join(theirs, "zip_code")
-    pairs = matched.unionByName(_without_letters(ours, theirs))
-    return pairs.select(*candidate_columns(suffixes))
+    return _paired(ours, theirs).select(*candidate_columns(suffixes))
 
 
 def score_candidates(candidates: DataFrame, suffixes: tuple[str, str] = SUFFIXES) -> DataFrame:
@@ -167,12 +177,9 @@ def match_candidates(
     """
     a, b = (f"__address{s}" for s in suffixes)
     ours, theirs = _prepared_sides(stores, letters, suffixes)
-    pairs = dealt_by_words(ours.join(theirs, "zip_code"), a, b)
+    pairs = dealt_by_words(_paired(ours, theirs), a, b)
     score = sorted_ratio(F.col(a), F.col(b))
-    scored = pairs.select(*candidate_columns(suffixes), score.alias("similarity_score"))
-    alone = _without_letters(ours, theirs)
-    unscored = alone.withColumn("similarity_score", F.lit(None).cast("int"))
-    return scored.unionByName(unscored.select(*scored.columns))
+    return pairs.select(*candidate_columns(suffixes), score.alias("similarity_score"))
 
 
 def bounded_pairs(
