@@ -35,33 +35,59 @@ def test_components_of_large_groups_lose_no_link(spark, monkeypatch):
     assert len({c for _, _, c in got}) > 3
 
 
-def test_leftover_members_are_paired_across_components(spark):
-    tokens = spark.createDataFrame([(5, s, (100 << 32) | 0) for s in range(40)], "token long, sig long, place long")
-    met = ngram_join.candidates(tokens, group=4, pivots=1).collect()
-    pairs = {(r["a"], r["b"]) for r in met if r["token"] is None}
-    members = {r["a"] for r in met if r["token"] is not None}
-    assert members == set(range(40)) and {b for _, b in pairs} == set(range(1, 40))
+def test_shared_tokens_name_the_first_that_fits(spark):
+    place = lambda n, at: (n << 32) | at
+    rows = [(5, s, place(12, 0)) for s in range(40)] + [(5, 3, place(12, 0)), (6, 7, place(12, 0)), (6, 7, place(12, 0))]
+    rows += [(8, 50, place(30, 0)), (8, 51, place(10, 0)), (8, 52, place(11, 0)), (9, 60, place(99, 0)), (9, 61, place(99, 0))]
+    tokens = spark.createDataFrame(rows, "token long, sig long, place long").repartition(3)
+    met = ngram_join.shared_tokens(tokens, group=4)
+    assert sorted((r["token"], r["sig"], r["first"]) for r in met.collect()) == [
+        (5, s, 0 if s else None) for s in range(40)
+    ] + [(8, 50, None), (8, 51, None), (8, 52, 51), (9, 60, None), (9, 61, 60)]
+    # one token of 20 is too little to pair classes at once
+    assert {tuple(r) for r in ngram_join.first_pairs(met).collect()} == {(0, s) for s in range(1, 40)} | {(51, 52)}
+
+
+@pytest.mark.parametrize("base", [False, True])
+def test_rows_grow_with_the_texts_and_not_with_their_pairs(spark, monkeypatch, base):
+    # texts that differ from one another in up to 6 of 200 words: all pairs share tokens, few of them link
+    monkeypatch.setattr(ngram_join, "BLOCK", 64)
+    real, most = ngram_join.stored, {}
+
+    def counting(df, name):
+        out = real(df, name)
+        most[name] = max(most.get(name, 0), out.count())
+        return out
+
+    monkeypatch.setattr(ngram_join, "stored", counting)
+    text, count = prose(70, 200), 180
+    rows = [(i, changed(text, 9000 + i, 3)) for i in range(count)] + ([(5000, text)] if base else [])
+    got = counted(ngram_join.similar_components(documents(spark, rows)).drop("ref"))
+    assert got == brute_components(rows) and (len({c for *_, c in got}) == 1) == base
+    # a text has 40 tokens in its prefix; all pairs of texts are 16,110
+    assert max(most.values()) <= 45 * count
+    assert all(most[name] <= 3 * count for name in ("links", "pairs", "filtered-pairs") if name in most), most
 
 
 def test_filters_never_exclude_a_link():
     import numpy as np
 
     rng = np.random.default_rng(3)
-    weight = np.zeros(1, dtype=np.uint64)
+    weigh = ngram_join.Frequent(np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64))
+    excluded = 0
     for n in (5, 9, 40, 300, 1500):
-        for _ in range(30):
-            a = np.unique(rng.integers(0, 1 << 62, n).astype(np.uint64))
-            keep = a[rng.random(len(a)) < 0.9]
-            b = np.unique(np.concatenate([keep, rng.integers(0, 1 << 62, n // 12).astype(np.uint64)]))
-            shared = len(np.intersect1d(a, b))
-            packed = []
-            for tokens in (a, b):
-                sets = ngram_join.Sets(tokens, np.zeros(len(tokens), int), np.array([len(tokens)]))
-                weights = np.repeat(weight, len(tokens))
-                parts = [ngram_join.prefixes(sets, weights, s, False)[0] for s in (ngram_join.ORDER_B, ngram_join.ORDER_C)]
-                packed.append(ngram_join.pack(tokens, *(tokens[p] for p in parts)))
-            if 100 * shared >= 80 * (len(a) + len(b) - shared):
-                assert ngram_join.survives(*packed)
+        for change in (0.03, 0.1, 0.4):
+            for _ in range(12):
+                a = np.unique(rng.integers(0, 1 << 62, n).astype(np.uint64))
+                keep = a[rng.random(len(a)) >= change]
+                b = np.unique(np.concatenate([keep, rng.integers(0, 1 << 62, int(n * change)).astype(np.uint64)]))
+                sets = [ngram_join.Sets(t, np.zeros(len(t), int), np.array([len(t)])) for t in (a, b)]
+                passes = ngram_join.may_link(len(a), ngram_join.parity_bits(a), len(b), ngram_join.parity_bits(b))
+                passes &= bool(ngram_join.meet_by_order(*sets, weigh)[0])
+                shared = len(np.intersect1d(a, b))
+                assert passes or 100 * shared < 80 * (len(a) + len(b) - shared)
+                excluded += not passes
+    assert excluded > 40
 
 
 def test_repeats_equal_brute_force(docs, rows):

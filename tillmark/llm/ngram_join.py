@@ -10,19 +10,24 @@ pair inside a component that is already connected needs no check of its own, so
 large groups of near copies cost one check for each member rather than for each
 pair:
 
-1. tokens of order-A prefixes meet by token.  Up to ``GROUP`` classes of a token
-   give all their pairs, further ones pair with a few of these;
-2. surviving pairs are verified on whole texts, first one per class, then those
-   that still join two components;
-3. members of the larger token groups that are still in different components are
-   paired exhaustively, in blocks, and verified.
+1. tokens of order-A prefixes meet by token.  A class goes with one other, the one
+   that it meets first under most of its tokens, if these are a good part of its
+   prefix.  The two texts are fetched, and the other filters and the verification
+   are applied to them at once;
+2. up to ``GROUP`` classes of a token then give all pairs across components.  Parity
+   bits of the sets rule out most of them before texts are fetched;
+3. larger groups in several components are compared exhaustively in blocks, first
+   within blocks and then, across what is still apart, between them.  By parity bits a
+   block finds the classes that any pair is left of.  With their texts it judges a pair
+   at the first token that both prefixes hold, and returns only links that join two
+   components.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import groupby
+from itertools import chain, groupby, islice
 
 import numpy as np
 import pyarrow as pa
@@ -42,8 +47,9 @@ LOCAL = 4
 # frequent shingles every task knows (12 bytes each)
 FREQUENT = 1 << 19
 GROUP = 32
-PIVOTS = 4
-BLOCK = 512
+BLOCK = 1 << 11
+# a class is paired at once if it meets the other at a ``SURE``-th of its prefix
+SURE = 4
 
 
 def needed(a: int | np.ndarray, b: int | np.ndarray):
@@ -103,10 +109,15 @@ class Frequent:
         return self.table(signed(tokens))[0].astype(np.uint64)
 
 
+def order_key(tokens: np.ndarray, weight: np.ndarray, seed: int) -> np.ndarray:
+    """Place of tokens in one global order, frequent ones last."""
+    return (weight << np.uint64(58)) | (mix(tokens, seed) >> np.uint64(6))
+
+
 def prefixes(sets: Sets, weight: np.ndarray, seed: int, ordered: bool) -> tuple[np.ndarray, np.ndarray]:
     """Index into ``sets`` of every row's prefix under one order; if ``ordered``, in
     that order and with the position there."""
-    key = (weight << np.uint64(58)) | (mix(sets.tokens, seed) >> np.uint64(6))
+    key = order_key(sets.tokens, weight, seed)
     ends = np.cumsum(sets.sizes)
     index, pos = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
     for row in np.flatnonzero(sets.sizes).tolist():
@@ -142,30 +153,6 @@ def may_link(na: int, a: np.ndarray, nb: int, b: np.ndarray) -> bool:
     return (na + nb - differ) // 2 >= needed(na, nb)
 
 
-def pack(tokens: np.ndarray, b: np.ndarray, c: np.ndarray) -> bytes:
-    """Order-B and order-C prefixes (32 bits of each token) and the parity bits."""
-    parts = [np.sort(p.astype(np.uint32)) for p in (b, c)]
-    return b"".join([np.uint32(len(tokens)).tobytes(), *(p.tobytes() for p in parts), parity_bits(tokens).tobytes()])
-
-
-def unpack(data: bytes) -> tuple[int, np.ndarray, np.ndarray, np.ndarray]:
-    n = int(np.frombuffer(data, dtype=np.uint32, count=1)[0])
-    p = n // 5 + 1
-    numbers = np.frombuffer(data, dtype=np.uint32, count=1 + 2 * p)
-    return n, numbers[1 : 1 + p], numbers[1 + p :], np.frombuffer(data, dtype=np.uint8, offset=4 * (1 + 2 * p))
-
-
-def _meet(x: np.ndarray, y: np.ndarray) -> bool:
-    at = np.minimum(np.searchsorted(x, y), len(x) - 1)
-    return bool((x[at] == y).any())
-
-
-def survives(a: bytes, b: bytes) -> bool:
-    na, b1, c1, bits1 = unpack(a)
-    nb, b2, c2, bits2 = unpack(b)
-    return 5 * min(na, nb) >= 4 * max(na, nb) and _meet(b1, b2) and _meet(c1, c2) and may_link(na, bits1, nb, bits2)
-
-
 def _batch(names: list[str], *columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns], names)
 
@@ -181,19 +168,22 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 
 def set_headers(docs: DataFrame) -> DataFrame:
-    """``doc_id, ref, n, sig`` of every row."""
+    """``doc_id, ref, n, sig, bits`` of every row: size, signature and parity bits of its set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for texts in pieces(batch.column(2)):
                 sets = shingle_sets(texts)
                 part = batch.slice(texts.first, len(texts))
+                ends = np.cumsum(sets.sizes).tolist()
+                bits = [parity_bits(sets.tokens[e - n : e]).tobytes() if n else None for e, n in zip(ends, sets.sizes.tolist())]
                 yield _batch(
-                    ["doc_id", "ref", "n", "sig"], part.column(0), part.column(1), sets.sizes, signed(sets.signatures())
-                )
+                    ["doc_id", "ref", "n", "sig", "bits"], part.column(0), part.column(1), sets.sizes,
+                    signed(sets.signatures()), pa.array(bits, pa.binary()),
+                )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return _keyed(docs).mapInArrow(run, f"doc_id {kind}, ref string, n long, sig long")
+    return _keyed(docs).mapInArrow(run, f"doc_id {kind}, ref string, n long, sig long, bits binary")
 
 
 def frequent_shingles(docs: DataFrame) -> Frequent:
@@ -273,84 +263,126 @@ def prefix_tokens(docs: DataFrame, frequent: Frequent) -> DataFrame:
     return _scan(docs, frequent, make, "token long, sig long, place long")
 
 
-def class_filters(docs: DataFrame, frequent: Frequent) -> DataFrame:
-    """``sig, packed``: what the other filters need of a class."""
+def fits(x: int, y: int) -> bool:
+    """May sets with a common prefix token at these places (size, position) link?"""
+    nx, ny = x >> 32, y >> 32
+    if 5 * min(nx, ny) < 4 * max(nx, ny):
+        return False
+    need = needed(nx, ny)
+    return (x & 0xFFFFFFFF) <= nx - need and (y & 0xFFFFFFFF) <= ny - need
 
-    def make(sets: Sets, sigs: np.ndarray, weight: np.ndarray) -> pa.RecordBatch:
-        index_b, _ = prefixes(sets, weight, ORDER_B, False)
-        index_c, _ = prefixes(sets, weight, ORDER_C, False)
-        rows = np.flatnonzero(sets.sizes)
-        ends = np.cumsum(sets.sizes[rows])
-        cuts = np.cumsum(sets.sizes[rows] // 5 + 1)
-        blobs, start, cut = [], 0, 0
-        for end, stop in zip(ends.tolist(), cuts.tolist()):
-            blobs.append(
-                pack(sets.tokens[start:end], sets.tokens[index_b[cut:stop]], sets.tokens[index_c[cut:stop]])
-            )
-            start, cut = end, stop
-        return _batch(["sig", "packed"], signed(sigs[rows]), pa.array(blobs, pa.binary()))
-
-    return _scan(docs, frequent, make, "sig long, packed binary")
-
-
-def candidates(tokens: DataFrame, group: int = GROUP, pivots: int = PIVOTS) -> DataFrame:
-    """Pairs ``a < b`` that meet under order A, and the members of large token groups.
-
-    Streams each token's classes in order of their signature and holds at most
-    ``group`` of them.  A row with ``token`` NULL is a pair; other rows list a
-    member ``a`` of a token with more classes than that (``b`` its size and
-    position).
-    """
 
-    def fits(x: int, y: int) -> bool:
-        nx, ny = x >> 32, y >> 32
-        if 5 * min(nx, ny) < 4 * max(nx, ny):
-            return False
-        need = needed(nx, ny)
-        return (x & 0xFFFFFFFF) <= nx - need and (y & 0xFFFFFFFF) <= ny - need
+def shared_tokens(tokens: DataFrame, group: int = GROUP) -> DataFrame:
+    """``token, sig, place, first`` of tokens that several classes hold in their prefix.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out: tuple[list, list, list] = ([], [], [])
+    ``first`` is the first of the token's first ``group`` classes, by signature, that
+    ``sig`` may link with, null if there is none before it.  Streams a token's classes
+    and holds at most ``group`` of them.
+    """
 
-        def put(*row):
-            for column, value in zip(out, row):
-                column.append(value)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: tuple[list, list, list, list] = ([], [], [], [])
 
         def flushed():
-            made = _batch(["token", "a", "b"], *(pa.array(c, pa.int64()) for c in out))
+            made = _batch(["token", "sig", "place", "first"], *(pa.array(c, pa.int64()) for c in out))
             for column in out:
                 column.clear()
             return made
 
         for token, rows in groupby(_stream(batches), key=lambda r: r[0]):
             held: list[tuple[int, int]] = []
-            last, large = None, False
+            last = None
             for _, sig, place in rows:
                 if sig == last:
                     continue
                 last = sig
+                first = next((other for other, at in held if fits(at, place)), None)
+                for column, value in zip(out, (token, sig, place, first)):
+                    column.append(value)
                 if len(held) < group:
-                    for other, at in held:
-                        if fits(at, place):
-                            put(None, other, sig)
                     held.append((sig, place))
-                    continue
-                if not large:
-                    large = True
-                    for other, at in held:
-                        put(token, other, at)
-                put(token, sig, place)
-                near = [o for o, at in held[:pivots] if fits(at, place)]
-                for other in near or [o for o, at in held[pivots:] if fits(at, place)][:pivots]:
-                    put(None, other, sig)
-                if len(out[0]) >= 1 << 16:
-                    yield flushed()
+            # a token of one class, in several rows, is not shared
+            if len(held) == 1:
+                for column in out:
+                    column.pop()
             if len(out[0]) >= 1 << 16:
                 yield flushed()
         yield flushed()
 
     met = tokens.repartition("token").sortWithinPartitions("token", "sig")
-    return met.mapInArrow(run, "token long, a long, b long")
+    return met.mapInArrow(run, "token long, sig long, place long, first long")
+
+
+def first_pairs(members: DataFrame) -> DataFrame:
+    """``a, b``: every class ``b`` with the one that is ``first`` at most of its tokens.
+
+    Only if these are a ``SURE``-th of its prefix; other pairs come later.
+    """
+    prefix = F.floor(F.shiftright("place", 32) / 5) + 1
+    met = members.where("first is not null").groupBy("sig", "first", prefix.alias("prefix"))
+    counted = met.agg(F.count(F.lit(1)).alias("n")).where(F.col("n") * SURE >= F.col("prefix"))
+    most = F.max_by("first", F.struct("n", -F.col("first")))
+    return counted.groupBy("sig").agg(most.alias("a")).select("a", F.col("sig").alias("b"))
+
+
+def _labelled(members: DataFrame, components: DataFrame) -> DataFrame:
+    """``token, sig, place, component`` of members; alone, a class is a component."""
+    named = components.select(F.col("node").alias("sig"), "component")
+    rows = members.select("token", "sig", "place").join(named, "sig", "left")
+    return rows.withColumn("component", F.coalesce("component", "sig")).select("token", "sig", "place", "component")
+
+
+def met_across(members: DataFrame, components: DataFrame) -> DataFrame:
+    """Pairs across components at tokens of few classes, and the members of larger groups.
+
+    A row with ``token`` null is a pair ``sig, place``; others are members.  Streams a
+    token's classes and holds at most ``GROUP`` of them.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["token", "sig", "place", "component"]
+        out: tuple[list, ...] = ([], [], [], [])
+
+        def put(*row):
+            for column, value in zip(out, row):
+                column.append(value)
+
+        def flushed():
+            made = _batch(names, *(pa.array(c, pa.int64()) for c in out))
+            for column in out:
+                column.clear()
+            return made
+
+        rows = (r for b in batches for r in zip(*(c.to_pylist() for c in b.columns)))
+        for token, group in groupby(rows, key=lambda r: r[0]):
+            held = list(islice(group, GROUP + 1))
+            if len(held) > GROUP:
+                for row in chain(held, group):
+                    put(*row)
+                    if len(out[0]) >= 1 << 16:
+                        yield flushed()
+                continue
+            for k, (_, sig, place, component) in enumerate(held):
+                for _, other, at, label in held[:k]:
+                    if label != component and fits(at, place):
+                        put(None, other, sig, None)
+            if len(out[0]) >= 1 << 16:
+                yield flushed()
+        yield flushed()
+
+    met = _labelled(members, components).repartition("token").sortWithinPartitions("token", "sig")
+    return met.mapInArrow(run, "token long, sig long, place long, component long")
+
+
+def still_open(members: DataFrame) -> DataFrame:
+    """``members`` with ``n``, the number of classes, of tokens whose classes are in several components."""
+    groups = (
+        members.groupBy("token")
+        .agg(F.count(F.lit(1)).alias("n"), F.min("component").alias("low"), F.max("component").alias("high"))
+        .where("low <> high")
+        .select("token", "n")
+    )
+    return members.join(groups, "token").select("token", "sig", "place", "component", "n")
 
 
 def _stream(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, int]]:
@@ -371,24 +403,51 @@ def _stream(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, int]]
         yield from zip(*(c.to_pylist() for c in carried.columns))
 
 
-def filtered(pairs: DataFrame, filters: DataFrame) -> DataFrame:
-    """Pairs whose prefixes also meet under orders B and C and whose parity bits allow a link."""
+def filtered(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """Pairs whose sizes and parity bits allow a link."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            left, right = batch.column(2), batch.column(3)
-            keep = [survives(x.as_buffer(), y.as_buffer()) for x, y in zip(left, right)]
-            kept = batch.filter(pa.array(keep, pa.bool_()))
-            yield kept.select(["a", "b"])
-
-    left = filters.select(F.col("sig").alias("a"), F.col("packed").alias("packed_a"))
-    right = filters.select(F.col("sig").alias("b"), F.col("packed").alias("packed_b"))
-    both = pairs.join(left, "a").join(right, "b").select("a", "b", "packed_a", "packed_b")
+            na, nb = (batch.column(k).to_pylist() for k in (2, 4))
+            bits = [[np.frombuffer(x.as_buffer(), np.uint8) for x in batch.column(k)] for k in (3, 5)]
+            keep = [
+                5 * min(a, b) >= 4 * max(a, b) and may_link(a, x, b, y) for a, x, b, y in zip(na, bits[0], nb, bits[1])
+            ]
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    def side(name: str) -> DataFrame:
+        return classes.select(F.col("sig").alias(name), F.col("n").alias(f"n{name}"), F.col("bits").alias(f"bits{name}"))
+
+    both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "bitsa", "nb", "bitsb")
     return both.mapInArrow(run, "a long, b long")
 
 
-def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
-    """Pairs of classes whose whole texts reach the threshold."""
+def meet_by_order(left: Sets, right: Sets, weigh: Frequent) -> np.ndarray:
+    """Rows whose prefixes share a token under order B and under order C."""
+    good = np.ones(len(left.sizes), dtype=bool)
+    for seed in (ORDER_B, ORDER_C):
+        found = []
+        for sets in (left, right):
+            index = np.sort(prefixes(sets, weigh(sets.tokens), seed, False)[0])
+            found.append((sets.tokens[index], sets.rows[index]))
+        token, row = (np.concatenate(c) for c in zip(*found))
+        order = np.lexsort((token, row))
+        token, row = token[order], row[order]
+        both = (token[1:] == token[:-1]) & (row[1:] == row[:-1])
+        good &= np.bincount(row[1:][both], minlength=len(good)) > 0
+    return good
+
+
+def class_texts(wanted: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
+    """``sig, text`` of the wanted classes: the text of the row that a class's ref names."""
+    refs = wanted.select("sig").distinct().join(classes.select("sig", "ref"), "sig")
+    found = _keyed(docs).select("ref", "text").join(refs, "ref").select("sig", "text")
+    return stored(found.dropDuplicates(["sig"]), "texts")
+
+
+def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, frequent: Frequent) -> DataFrame:
+    """Pairs of classes that pass the filters of orders B and C and whose whole texts reach the threshold."""
+    weigh = docs.sparkSession.sparkContext.broadcast(frequent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -410,6 +469,7 @@ def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame
             own = signed(np.concatenate(sigs)) == part.column(name).to_numpy()
             sides.append((np.concatenate(tokens), np.concatenate(rows), np.concatenate(sizes), own))
         (t1, r1, n1, own1), (t2, r2, n2, own2) = sides
+        own1 &= meet_by_order(Sets(t1, r1, n1), Sets(t2, r2, n2), weigh.value)
         token, row = np.concatenate([t1, t2]), np.concatenate([r1, r2])
         order = np.lexsort((token, row))
         token, row = token[order], row[order]
@@ -417,10 +477,8 @@ def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame
         shared = np.bincount(row[1:][both], minlength=part.num_rows)
         return own1 & own2 & (100 * shared >= 80 * (n1 + n2 - shared))
 
-    # one text for each class: the row its ref names
-    refs = classes.select("sig", "ref")
-    wanted = pairs.select(F.col("a").alias("sig")).union(pairs.select("b")).distinct().join(refs, "sig")
-    texts = stored(_keyed(docs).select("ref", "text").join(wanted, "ref").select("sig", "text"), "texts")
+    wanted = pairs.select(F.col("a").alias("sig")).union(pairs.select("b"))
+    texts = class_texts(wanted, classes, docs)
     left = texts.select(F.col("sig").alias("a"), F.col("text").alias("text_a"))
     right = texts.select(F.col("sig").alias("b"), F.col("text").alias("text_b"))
     return pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b").mapInArrow(
@@ -428,66 +486,135 @@ def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame
     ).distinct()
 
 
-def _across(pairs: DataFrame, components: DataFrame) -> DataFrame:
-    """Pairs whose ends are not in one component yet."""
-    left = components.select(F.col("node").alias("a"), F.col("component").alias("ca"))
-    right = components.select(F.col("node").alias("b"), F.col("component").alias("cb"))
-    labelled = pairs.join(left, "a", "left").join(right, "b", "left")
-    return labelled.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
-
-
-def _group_pairs(left: list[tuple], right: list[tuple]) -> list[tuple[int, int]]:
-    """Pairs of two blocks of (sig, place, component, packed) that no filter excludes."""
-    unpacked = [(int(r[1]) >> 32, int(r[1]) & 0xFFFFFFFF, r[2], unpack(r[3])[3]) for r in right]
-    size = np.array([u[0] for u in unpacked])
-    pos = np.array([u[1] for u in unpacked])
-    component = np.array([u[2] for u in unpacked])
-    width = np.array([len(u[3]) for u in unpacked])
-    folded: dict[int, np.ndarray] = {}
+class _Side:
+    """Classes of one block, with the parity bits of their sets."""
+
+    def __init__(self, rows: list[tuple]):
+        self.rows = rows
+        sigs, places, self.components, bits = zip(*(r[:4] for r in rows))
+        self.sigs, place = np.array(sigs), np.array(places)
+        self.size, self.pos = place >> 32, place & 0xFFFFFFFF
+        self.bits = [np.frombuffer(b, np.uint8) for b in bits]
+        self.width = np.array([len(b) for b in self.bits])
+        self._folded: dict[int, np.ndarray] = {}
+
+    def folded(self, width: int) -> np.ndarray:
+        """Parity bits of all that have at least ``width`` bytes, folded to it."""
+        if width not in self._folded:
+            none = np.zeros(width, np.uint8)
+            rows = [_fold_to(b, width) if len(b) >= width else none for b in self.bits]
+            self._folded[width] = np.stack(rows)
+        return self._folded[width]
+
+    def left_of(self, other: _Side, i: int, apart: np.ndarray) -> np.ndarray:
+        """Classes of ``other`` that class ``i`` may link with; only where ``apart``."""
+        n, own = int(self.size[i]), self.bits[i]
+        need = needed(n, other.size)
+        near = apart & (5 * np.minimum(n, other.size) >= 4 * np.maximum(n, other.size))
+        near &= (self.pos[i] <= n - need) & (other.pos <= other.size - need)
+        rest, found = np.flatnonzero(near), [np.zeros(0, dtype=np.int64)]
+        for width in np.unique(np.minimum(other.width[rest], len(own))).tolist():
+            some = rest[np.minimum(other.width[rest], len(own)) == width]
+            differ = np.bitwise_count(other.folded(width)[some] ^ _fold_to(own, width)).sum(axis=1, dtype=np.int64)
+            found.append(some[(n + other.size[some] - differ) // 2 >= need[some]])
+        return np.concatenate(found)
+
+    def read(self, weigh: Frequent) -> None:
+        """Sets and prefixes of the rows' texts."""
+        self.sets, self.first, self.others = [], [], []
+        for part in pieces(pa.array([r[4] for r in self.rows], pa.string())):
+            sets = shingle_sets(part)
+            weight = weigh(sets.tokens)
+            chosen = [prefixes(sets, weight, seed, False)[0] for seed in (ORDER_A, ORDER_B, ORDER_C)]
+            ends, cuts = np.cumsum(sets.sizes), np.cumsum(np.where(sets.sizes > 0, sets.sizes // 5 + 1, 0))
+            for row, end in enumerate(ends.tolist()):
+                cut = slice(int(cuts[row - 1]) if row else 0, int(cuts[row]))
+                a, b, c = (np.sort(sets.tokens[index[cut]]) for index in chosen)
+                self.sets.append(sets.tokens[end - int(sets.sizes[row]) : end])
+                self.first.append((a, order_key(a, weigh(a), ORDER_A)))
+                self.others.append((b, c))
+
+
+def _left_over(left: _Side, right: _Side) -> tuple[list[int], list[int]]:
+    """Classes of two blocks that any pair across components is left of, by place in the blocks."""
+    label = np.array(right.components)
+    ours, theirs = set(), set()
+    for i in range(len(left.rows)):
+        found = left.left_of(right, i, label != left.components[i])
+        if len(found):
+            ours.add(i)
+            theirs.update(found.tolist())
+    return sorted(ours), sorted(theirs)
+
+
+def _shared(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    return np.intersect1d(x, y, assume_unique=True)
+
+
+def _block_links(token: int, left: _Side, right: _Side) -> list[tuple[int, int]]:
+    """Links of two blocks of a token's classes that join components; others are not needed.
+
+    A pair is judged here only if ``token`` is the first that both prefixes hold.
+    """
+    names = {c: k for k, c in enumerate(dict.fromkeys((*left.components, *right.components)))}
+    top = list(range(len(names)))
 
-    def bits(w: int) -> np.ndarray:
-        """Parity bits of all of ``right`` that have at least ``w`` bytes, folded to ``w``."""
-        if w not in folded:
-            folded[w] = np.stack([_fold_to(u[3], w) if len(u[3]) >= w else np.zeros(w, np.uint8) for u in unpacked])
-        return folded[w]
+    def find(x: int) -> int:
+        while top[x] != x:
+            top[x] = top[top[x]]
+            x = top[x]
+        return x
 
+    ours, theirs = ([names[c] for c in side.components] for side in (left, right))
+    roots = np.array(theirs)
     found = []
-    for sig, place, own_component, packed in left:
-        n, at = place >> 32, place & 0xFFFFFFFF
-        need = needed(n, size)
-        fits = (component != own_component) & (5 * np.minimum(n, size) >= 4 * np.maximum(n, size))
-        fits &= (at <= n - need) & (pos <= size - need)
-        near = np.flatnonzero(fits)
-        if not len(near):
-            continue
-        own = unpack(packed)[3]
-        for w in np.unique(np.minimum(width[near], len(own))).tolist():
-            some = near[np.minimum(width[near], len(own)) == w]
-            differ = np.bitwise_count(bits(w)[some] ^ _fold_to(own, w)).sum(axis=1, dtype=np.int64)
-            for k in some[(n + size[some] - differ) // 2 >= need[some]].tolist():
-                if survives(packed, right[k][3]):
-                    found.append((min(sig, right[k][0]), max(sig, right[k][0])))
+    for i in range(len(left.rows)):
+        for k in left.left_of(right, i, roots != find(ours[i])).tolist():
+            if find(ours[i]) != find(theirs[k]) and _judged(token, left, i, right, k):
+                x, y = find(ours[i]), find(theirs[k])
+                top[max(x, y)] = min(x, y)
+                found.append(tuple(sorted((int(left.sigs[i]), int(right.sigs[k])))))
+                roots = np.array([find(c) for c in theirs])
     return found
 
 
-def leftover_pairs(members: DataFrame, components: DataFrame, filters: DataFrame) -> DataFrame:
-    """Pairs of a large token group in different components, all of them, in blocks.
+def _judged(token: int, left: _Side, i: int, right: _Side, k: int) -> bool:
+    (a, keys), (b, _) = left.first[i], right.first[k]
+    both = np.isin(a, b, assume_unique=True)
+    if int(a[both][np.argmin(keys[both])]) != token & 0xFFFFFFFFFFFFFFFF:
+        return False
+    if any(not len(_shared(x, y)) for x, y in zip(left.others[i], right.others[k])):
+        return False
+    shared = len(_shared(left.sets[i], right.sets[k]))
+    return 100 * shared >= 80 * (len(left.sets[i]) + len(right.sets[k]) - shared)
+
+
+BLOCKED = "token long, x int, y int, side int, sig long, place long, component long, bits binary"
+
+
+def _by_block(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, list, list]]:
+    """(token, x, y), rows of side 0 and rows of side 1, without these columns."""
+    rows = (r for b in batches for r in zip(*(c.to_pylist() for c in b.columns)))
+    for key, group in groupby(rows, key=lambda r: r[:3]):
+        sides: tuple[list, list] = ([], [])
+        for row in group:
+            sides[row[3]].append(row[4:])
+        yield key, *sides
+
+
+def blocks_of(members: DataFrame, classes: DataFrame, diagonal: bool, block: int = BLOCK) -> DataFrame:
+    """Open members in blocks (``BLOCKED``), without those that parity bits leave no pair of.
 
-    Only groups that the pivots left in several components come here.  Blocks of
-    hashed members meet pairwise in tasks of their own; a pair leaves its task
-    only if all filters let it pass.
+    Blocks of hashed members meet in tasks of their own: each with itself, or each with
+    every other one.
     """
-    named = components.select(F.col("node").alias("sig"), "component")
-    rows = members.join(named, "sig", "left").withColumn("component", F.coalesce("component", "sig"))
-    open_groups = (
-        rows.groupBy("token")
-        .agg(F.count(F.lit(1)).alias("n"), F.min("component").alias("low"), F.max("component").alias("high"))
-        .where("low <> high")
-        .select("token", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    )
-    rows = rows.join(open_groups, "token").join(filters, "sig")
+    rows = members.withColumn("blocks", F.ceil(F.col("n") / block).cast("int"))
     rows = rows.withColumn("mine", F.pmod(F.xxhash64("sig"), F.col("blocks")).cast("int"))
-    met = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
+    if diagonal:
+        rows = rows.withColumn("other", F.col("mine"))
+    else:
+        rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).where("other <> mine")
+    met = rows.join(classes.select("sig", "bits"), "sig").select(
         "token",
         F.least("mine", "other").alias("x"),
         F.greatest("mine", "other").alias("y"),
@@ -495,20 +622,47 @@ def leftover_pairs(members: DataFrame, components: DataFrame, filters: DataFrame
         "sig",
         "place",
         "component",
-        "packed",
+        "bits",
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = (r for b in batches for r in zip(*(c.to_pylist() for c in b.columns)))
-        for (_, x, y), block in groupby(rows, key=lambda r: r[:3]):
-            block = list(block)
-            left = [r[4:] for r in block if r[3] == 0]
-            right = left if x == y else [r[4:] for r in block if r[3] == 1]
-            found = _group_pairs(left, right) if left and right else []
+        names = [c.split(" ")[0] for c in BLOCKED.split(", ")]
+        for (token, x, y), ours, theirs in _by_block(batches):
+            if not ours or (x != y and not theirs):
+                continue
+            left = _Side(ours)
+            right = left if x == y else _Side(theirs)
+            some, others = _left_over(left, right)
+            if x == y:
+                some, others = sorted({*some, *others}), []
+            kept = [(token, x, y, 0, *ours[i]) for i in some] + [(token, x, y, 1, *theirs[k]) for k in others]
+            if kept:
+                kinds = [pa.int64(), *[pa.int32()] * 3, *[pa.int64()] * 3, pa.binary()]
+                yield _batch(names, *(pa.array(c, k) for c, k in zip(zip(*kept), kinds)))
+
+    dealt = met.repartition("token", "x", "y").sortWithinPartitions("token", "x", "y")
+    return dealt.mapInArrow(run, BLOCKED)
+
+
+def block_links(blocks: DataFrame, classes: DataFrame, docs: DataFrame, frequent: Frequent) -> DataFrame:
+    """``a, b``: links that join components of open tokens, from their whole texts."""
+    weigh = docs.sparkSession.sparkContext.broadcast(frequent)
+    texts = class_texts(blocks, classes, docs)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (token, x, y), ours, theirs in _by_block(batches):
+            if not ours or (x != y and not theirs):
+                continue
+            left = _Side(ours)
+            right = left if x == y else _Side(theirs)
+            for side in {id(s): s for s in (left, right)}.values():
+                side.read(weigh.value)
+            found = _block_links(token, left, right)
             yield _batch(["a", "b"], *(pa.array([p[i] for p in found], pa.int64()) for i in range(2)))
 
-    blocks = met.repartition("token", "x", "y").sortWithinPartitions("token", "x", "y")
-    return blocks.mapInArrow(run, "a long, b long").distinct()
+    dealt = blocks.join(texts, "sig").select(*[c.split(" ")[0] for c in BLOCKED.split(", ")], "text")
+    dealt = dealt.repartition("token", "x", "y").sortWithinPartitions("token", "x", "y")
+    return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
 def similar_components(docs: DataFrame) -> DataFrame:
@@ -530,35 +684,38 @@ def keyed_components(docs: DataFrame) -> DataFrame:
     """``similar_components`` with ``component``: the group's smallest signature, null for an empty set."""
     headers = stored(set_headers(docs), "set-headers")
     classes = stored(
-        headers.where("n > 0").groupBy("sig").agg(F.min("doc_id").alias("first_id"), F.min("ref").alias("ref")),
+        headers.where("n > 0")
+        .groupBy("sig")
+        .agg(F.min("doc_id").alias("first_id"), F.min("ref").alias("ref"), F.first("n").alias("n"), F.first("bits").alias("bits")),
         "set-classes",
     )
     frequent = frequent_shingles(docs)
-    met = stored(candidates(prefix_tokens(docs, frequent)), "prefix-pairs")
-    pairs = stored(met.where("token is null").select("a", "b").distinct(), "pairs")
-    members = met.where("token is not null").select("token", F.col("a").alias("sig"), F.col("b").alias("place"))
-    ends = (
-        pairs.select(F.col("a").alias("sig")).union(pairs.select("b")).union(members.select("sig")).distinct()
-    )
-    filters = stored(
-        class_filters(docs, frequent).join(ends, "sig", "left_semi").dropDuplicates(["sig"]), "class-filters"
-    )
-    pairs = stored(filtered(pairs, filters), "filtered-pairs")
-    first = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
-    links = stored(verified(first, classes, docs), "links")
+    members = stored(shared_tokens(prefix_tokens(docs, frequent)), "shared-tokens")
+    links = stored(verified(first_pairs(members), classes, docs, frequent), "links")
     joined = stored(connected_components(links, "edges"), "components")
-    rest = _across(pairs, joined).union(leftover_pairs(members, joined, filters)).distinct()
-    rest = stored(rest, "more-pairs")
-    if not rest.isEmpty():
-        links = links.union(verified(rest, classes, docs))
+    met = stored(met_across(members, joined), "met-across")
+    pairs = met.where("token is null").select(F.col("sig").alias("a"), F.col("place").alias("b")).distinct()
+    passed = stored(filtered(pairs, classes), "filtered-pairs")
+    if not passed.isEmpty():
+        links = links.union(stored(verified(passed, classes, docs, frequent), "links"))
+    crowded = met.where("token is not null")
+    left = stored(still_open(crowded), "open-tokens")
+    if not left.isEmpty():
+        within = stored(blocks_of(left, classes, True), "blocks")
+        links = links.union(stored(block_links(within, classes, docs, frequent), "links"))
         joined = stored(connected_components(links, "edges"), "components")
+        apart = still_open(_labelled(crowded, joined)).where(F.col("n") > BLOCK)
+        between = stored(blocks_of(apart, classes, False), "blocks")
+        if not between.isEmpty():
+            links = links.union(stored(block_links(between, classes, docs, frequent), "links"))
+    joined = stored(connected_components(links, "edges"), "components")
 
-    labelled = classes.join(joined.withColumnRenamed("node", "sig"), "sig", "left").withColumn(
+    labelled = classes.drop("bits", "n").join(joined.withColumnRenamed("node", "sig"), "sig", "left").withColumn(
         "component", F.coalesce("component", "sig")
     )
     lowest = labelled.groupBy("component").agg(F.min("first_id").alias("component_id"))
     by_class = labelled.join(lowest, "component").select("sig", "component", "component_id")
-    return headers.join(by_class, "sig", "left").select(
+    return headers.drop("bits").join(by_class, "sig", "left").select(
         "doc_id",
         F.col("n").alias("n_shingles"),
         F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"),
