@@ -19,12 +19,14 @@ from tillmark.operators.joins import null_safe_left_join
 def keep_identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows whose language is known, however many languages a text mixes.
 
-    Texts that are missing or hold no letter go.
+    Texts that are missing or hold no letter go.  A missing ``lang`` becomes the
+    language that leads in the text; one that is given stays.
     """
     model = language_id.fit(docs.select("doc_id", "text", "lang"))
     names = ("__lang_pred", "__lang_score", "__lang_spans")
     found = language_id.identify(docs, model, names=names)
-    return found.where(F.col(names[0]) != language_id.UNKNOWN).select(*docs.columns)
+    known = found.where(F.col(names[0]) != language_id.UNKNOWN)
+    return known.withColumn("lang", F.coalesce("lang", names[0])).select(*docs.columns)
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,7 +54,8 @@ def keep_one_of_similar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
     Rows that repeat both id and text count as copies too.  A row without id stays
     only if it is like no row with one; of several such rows, or of different texts
-    that share the smallest id, one stays.  Texts without words are like no other.
+    that share the smallest id, one stays.  Of rows that repeat id and text the one stays
+    whose other columns come first.  Texts without words are like no other.
     """
     found = stored(ngram_join.keyed_components(docs.select("doc_id", "text")), "similar")
     first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "ref")).getField("ref")
@@ -61,7 +64,11 @@ def keep_one_of_similar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     ref = ngram_join.row_ref(docs["doc_id"], docs["text"])
     kept = docs.join(keep.withColumnRenamed("ref", "__ref"), ref == F.col("__ref"), "left_semi")
     repeats = found.groupBy("ref").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    return kept if repeats.isEmpty() else kept.dropDuplicates(["doc_id", "text"])
+    if repeats.isEmpty():
+        return kept
+    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
+    first = kept.groupBy("doc_id", "text").agg(F.min(F.struct(*rest)).alias("__first"))
+    return first.select(*[F.col(f"__first.{c}").alias(c) if c in rest else F.col(c) for c in docs.columns])
 
 
 def drop_benchmark_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -90,6 +97,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mix of the documents in ``sf_dir``.
+
+    Inside ``tillmark.llm.storage.run_folder`` the tables of all stages go when it closes.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
         docs = stored(stage(spark, docs, sf_dir), f"stage-{name}")
