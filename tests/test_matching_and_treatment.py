@@ -69,6 +69,18 @@ def test_candidates_join_missing_zips_and_keep_unmatched_stores(spark):
     assert got == {(1, None), (2, "L1"), (2, "L2"), (3, None)}
 
 
+def test_crowded_zips_give_the_pairs_of_a_plain_join(spark):
+    # copies of rows, missing ZIPs and ZIPs that one side lacks
+    ours = spark.range(60).selectExpr("nullif(cast(pmod(id, 5) as string), '4') as zip_code", "id div 2 as a")
+    theirs = spark.range(90).selectExpr("nullif(cast(pmod(id * id, 7) as string), '4') as zip_code", "id div 3 as b")
+    plain = sorted(map(tuple, ours.join(theirs, "zip_code").collect()))
+    for pairs, lot in ((0, 1), (200, 4), (300, 7), (1 << 20, 4)):
+        found = matching.by_zip(ours, theirs, None, pairs, lot)
+        assert found.columns == ["zip_code", "a", "b"]
+        assert sorted(map(tuple, found.collect())) == plain
+    assert matching.crowded_zips(ours, theirs, 200).count() in range(1, 4)
+
+
 def test_cleaning_before_the_join_equals_cleaning_after_it(spark):
     s = matching.prep_stores(stores(spark, [(i, f"{i} North Oák Street, Suite {i}", str(i % 3)) for i in range(12)]))
     ls = matching.prep_letters(letters(spark, [("r", f"{i} N. Oak St. apt", str(i % 4)) for i in range(12)]))

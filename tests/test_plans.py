@@ -234,6 +234,25 @@ def test_a_hot_zip_is_split_in_the_candidate_join(spark):
         assert pairs.count() == 30 * 1500 + 30
 
 
+def test_a_zip_of_many_pairs_is_joined_by_several_tasks(spark):
+    s = matching.prep_stores(
+        spark.range(2300).select(
+            F.col("id").alias("STORE_ID"), F.lit("n").alias("STORE_NAME"), F.lit("c").alias("STORE_CHAIN_NAME"),
+            F.lit("1 Oak").alias("STREET_ADDRESS"), F.lit(None).cast("string").alias("ZIP_CODE"),
+        ),
+        null_zip="join",
+    )
+    ls = spark.range(2300).select(
+        F.lit("nan").alias("zip_code"), F.lit("1 Oak").alias("address"), F.lit("l").alias("store_name"),
+        F.current_date().alias("insp_date"), F.current_date().alias("issue_date"),
+    )
+    with settings(spark, spark__sql__shuffle__partitions="64"):
+        pairs = matching.zip_candidates(s, ls).withColumn("part", F.spark_partition_id())
+        sizes = [r["count"] for r in pairs.groupBy("part").count().collect()]
+    # few bytes and 5 million pairs, in four lots
+    assert sum(sizes) == 2300 * 2300 and len(sizes) > 1 and max(sizes) < 0.8 * sum(sizes)
+
+
 def test_a_hot_month_is_split_in_the_lag_join(spark, rows):
     copies = rows.withColumn("gtin", F.when(F.col("store_id") == 0, "g0").otherwise(F.col("gtin")))
     copies = copies.withColumn("date", F.when(F.col("store_id") == 0, F.lit("2022-01-01").cast("date")).otherwise(F.col("date")))

@@ -21,6 +21,9 @@ LETTER_DATES = ("insp_date", "issue_date")
 ONLINE_STORE_TYPES = ("Online", "online")
 SUFFIXES = ("_pdi", "_fda")
 SCORES = range(101)
+# a ZIP with more pairs than a task should join alone, and how many rows of a side a task then takes
+CROWDED = 1 << 22
+LOT = 1 << 11
 
 
 # What a missing ZIP does: match nothing, or match every other missing one as text.
@@ -110,18 +113,58 @@ def _missing(df: DataFrame, like: DataFrame) -> DataFrame:
     return df.withColumns({c: F.lit(None).cast(t) for c, t in like.dtypes if c not in df.columns})
 
 
+def crowded_zips(ours: DataFrame, theirs: DataFrame, pairs: int = CROWDED, lot: int = LOT) -> DataFrame:
+    """ZIPs of more than ``pairs`` pairs, with the number of lots of either side."""
+    counts = [df.groupBy("zip_code").agg(F.count(F.lit(1)).alias(n)) for df, n in ((ours, "n"), (theirs, "m"))]
+    crowd = counts[0].join(counts[1], "zip_code").where(F.col("n") > F.lit(pairs) / F.col("m"))
+    lots = {f"__{side}": F.ceil(F.col(c) / lot).cast("int") for side, c in (("ours", "n"), ("theirs", "m"))}
+    return crowd.withColumns(lots).drop("n", "m")
+
+
+def _in_lots(df: DataFrame, crowd: DataFrame, own: str, other: str, tasks: int) -> DataFrame:
+    """Rows of crowded ZIPs, each in one lot of its side and beside every lot of the other.
+
+    They are written down first, so that a task that runs again deals them alike.
+    """
+    dealt = df.join(crowd, "zip_code").withColumn("__id", F.monotonically_increasing_id())
+    lot = F.pmod(F.xxhash64("__id"), F.col(own)).cast("int")
+    dealt = stored(dealt.withColumn(own, lot).drop("__id"), "crowded-rows")
+    beside = F.explode(F.sequence(F.lit(0), F.col(other) - 1))
+    return dealt.withColumn(other, beside).repartition(tasks, "zip_code", "__ours", "__theirs")
+
+
+def by_zip(
+    ours: DataFrame, theirs: DataFrame, others: DataFrame | None = None, pairs: int = CROWDED, lot: int = LOT
+) -> DataFrame:
+    """Rows of both sides that share a ZIP; ``others`` are further rows of their side for ``ours``.
+
+    A ZIP's pairs are the product of its rows, which may be few bytes; AQE splits by
+    bytes only.  A crowded ZIP is therefore joined lot by lot, each in a task of its own.
+    """
+    crowd = stored(crowded_zips(ours, theirs, pairs, lot), "crowded-zips")
+    if crowd.isEmpty():
+        return ours.join(theirs if others is None else theirs.unionByName(others), "zip_code")
+    # a fixed number of tasks: lots are tiny until they are joined
+    tasks = int(ours.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    left = _in_lots(ours, crowd, "__ours", "__theirs", tasks)
+    right = _in_lots(theirs, crowd, "__theirs", "__ours", tasks)
+    crowded = left.join(right, ["zip_code", "__ours", "__theirs"]).drop("__ours", "__theirs")
+    ours, theirs = (df.join(crowd, "zip_code", "left_anti") for df in (ours, theirs))
+    return ours.join(theirs if others is None else theirs.unionByName(others), "zip_code").unionByName(crowded)
+
+
 def _paired(ours: DataFrame, theirs: DataFrame) -> DataFrame:
     """Every store with the letters of its ZIP, or with nulls if there are none.
 
     ZIPs without letters get one row of nulls among the letters, so the outer join is
     an inner one: it reads and shuffles either side once, and AQE can split a crowded
     ZIP on both.  Only the ZIPs themselves are read again to find these.  Stores
-    without ZIP go around the join.
+    without ZIP go around the join.  The pairs are those of :func:`by_zip`.
     """
     known = ours.where(F.col("zip_code").isNotNull())
     held = theirs.select("zip_code").distinct()
     bare = known.select("zip_code").distinct().join(held, "zip_code", "left_anti")
-    pairs = known.join(theirs.unionByName(_missing(bare, theirs)), "zip_code")
+    pairs = by_zip(known, theirs, _missing(bare, theirs))
     apart = _missing(ours.where(F.col("zip_code").isNull()), theirs)
     return pairs.unionByName(apart)
 
@@ -194,7 +237,7 @@ def bounded_pairs(
     sides = _prepared_sides(stores, letters, suffixes)
     ours, theirs = (side.withColumn(f"{c}_tags", letter_tags(F.col(c))) for side, c in zip(sides, (a, b)))
     bound = ratio_bound(F.col(a), F.col(b), F.col(f"{a}_tags"), F.col(f"{b}_tags"))
-    return ours.join(theirs, "zip_code").select(*candidate_columns(suffixes), a, b, bound.alias("__bound"))
+    return by_zip(ours, theirs).select(*candidate_columns(suffixes), a, b, bound.alias("__bound"))
 
 
 def least_useful_bound(pairs: DataFrame, n: int, suffixes: tuple[str, str] = SUFFIXES) -> int:
