@@ -253,6 +253,19 @@ def test_a_zip_of_many_pairs_is_joined_by_several_tasks(spark):
     assert sum(sizes) == 2300 * 2300 and len(sizes) > 1 and max(sizes) < 0.8 * sum(sizes)
 
 
+def test_many_letters_of_one_small_file_are_cleaned_by_several_tasks(spark):
+    raw = spark.range(40_000, numPartitions=1).select(
+        F.lit("r").alias("a"), F.current_date().alias("b"), F.current_date().alias("c"), F.lit("n").alias("d"),
+        F.concat("id", F.lit(" Oak")).alias("e"), F.lit("c").alias("f"), F.lit("s").alias("g"),
+        F.lit("1").alias("h"), F.lit("p").alias("i"),
+    )
+    s = matching.prep_stores(stores(spark, [(1, "1 Oak", "1")]))
+    ours, theirs = matching._prepared_sides(s, matching.prep_letters(raw), matching.SUFFIXES)
+    parts = theirs.groupBy(F.spark_partition_id().alias("part")).agg(F.count(F.lit(1)).alias("n")).collect()
+    assert len(parts) > 1 and max(r["n"] for r in parts) < 20_000 and sum(r["n"] for r in parts) == 40_000
+    assert "Exchange" not in plan(ours)
+
+
 def test_a_hot_month_is_split_in_the_lag_join(spark, rows):
     copies = rows.withColumn("gtin", F.when(F.col("store_id") == 0, "g0").otherwise(F.col("gtin")))
     copies = copies.withColumn("date", F.when(F.col("store_id") == 0, F.lit("2022-01-01").cast("date")).otherwise(F.col("date")))

@@ -24,6 +24,8 @@ SCORES = range(101)
 # a ZIP with more pairs than a task should join alone, and how many rows of a side a task then takes
 CROWDED = 1 << 22
 LOT = 1 << 11
+# rows of a side that are cleaned where they were read
+SPREAD = 1 << 14
 
 
 # What a missing ZIP does: match nothing, or match every other missing one as text.
@@ -187,6 +189,17 @@ def score_candidates(candidates: DataFrame, suffixes: tuple[str, str] = SUFFIXES
     return candidates.withColumn("similarity_score", similarity_score(a, b))
 
 
+def dealt_out(df: DataFrame, least: int = SPREAD) -> DataFrame:
+    """Rows in a task for every ``least`` of them; one task may have read them all.
+
+    Cleaning an address costs far more than reading it, and Spark splits files by bytes.
+    """
+    tasks = -(-df.count() // least)
+    if tasks <= 1:
+        return df
+    return df.repartition(min(tasks, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+
+
 def _prepared_sides(
     stores: DataFrame, letters: DataFrame, suffixes: tuple[str, str]
 ) -> tuple[DataFrame, DataFrame]:
@@ -196,7 +209,7 @@ def _prepared_sides(
         df = df.withColumn(address, normalise_address(F.col(address)))
         return df.withColumn(f"__{address}", token_sorted(F.col(address)))
 
-    ours, theirs = _store_side(stores, suffixes[0]), _letter_side(letters, suffixes[1])
+    ours, theirs = (dealt_out(d) for d in (_store_side(stores, suffixes[0]), _letter_side(letters, suffixes[1])))
     return prepared(ours, f"address{suffixes[0]}"), prepared(theirs, f"address{suffixes[1]}")
 
 
