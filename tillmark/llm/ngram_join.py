@@ -547,14 +547,29 @@ def _left_over(left: _Side, right: _Side) -> tuple[list[int], list[int]]:
     return sorted(ours), sorted(theirs)
 
 
-def _shared(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    return np.intersect1d(x, y, assume_unique=True)
+class _Holders:
+    """Rows of a block by the tokens that they hold."""
 
+    def __init__(self, held: list[np.ndarray]):
+        token, row = np.concatenate(held), np.repeat(np.arange(len(held)), [len(h) for h in held])
+        order = np.argsort(token, kind="stable")
+        self.size, self.rows = len(held), row[order]
+        self.tokens, starts = np.unique(token[order], return_index=True)
+        self.cuts = np.append(starts, len(token)).tolist()
 
-def _block_links(token: int, left: _Side, right: _Side) -> list[tuple[int, int]]:
+    def any_of(self, tokens: np.ndarray) -> np.ndarray:
+        """Which rows hold any of the tokens?"""
+        found = np.zeros(self.size, dtype=bool)
+        for k in np.flatnonzero(np.isin(self.tokens, tokens, assume_unique=True)).tolist():
+            found[self.rows[self.cuts[k] : self.cuts[k + 1]]] = True
+        return found
+
+
+def _block_links(token: int, left: _Side, right: _Side, weigh: Frequent) -> list[tuple[int, int]]:
     """Links of two blocks of a token's classes that join components; others are not needed.
 
-    A pair is judged here only if ``token`` is the first that both prefixes hold.
+    A pair is judged here only if ``token`` is the first that both prefixes hold.  What
+    excludes a pair by its prefixes is looked up for a class and all of the other block.
     """
     names = {c: k for k, c in enumerate(dict.fromkeys((*left.components, *right.components)))}
     top = list(range(len(names)))
@@ -565,12 +580,23 @@ def _block_links(token: int, left: _Side, right: _Side) -> list[tuple[int, int]]
             x = top[x]
         return x
 
+    own = np.array([token & 0xFFFFFFFFFFFFFFFF], dtype=np.uint64)
+    place = order_key(own, weigh(own), ORDER_A)[0]
+    earlier = _Holders([a[keys < place] for a, keys in right.first])
+    meets = [_Holders([others[k] for others in right.others]) for k in range(2)]
     ours, theirs = ([names[c] for c in side.components] for side in (left, right))
     roots = np.array(theirs)
     found = []
     for i in range(len(left.rows)):
-        for k in left.left_of(right, i, roots != find(ours[i])).tolist():
-            if find(ours[i]) != find(theirs[k]) and _judged(token, left, i, right, k):
+        near = left.left_of(right, i, roots != find(ours[i]))
+        a, keys = left.first[i]
+        if len(near):
+            near = near[~earlier.any_of(a[keys < place])[near]]
+        for holders, tokens in zip(meets, left.others[i]):
+            if len(near):
+                near = near[holders.any_of(tokens)[near]]
+        for k in near.tolist():
+            if find(ours[i]) != find(theirs[k]) and _linked(left.sets[i], right.sets[k]):
                 x, y = find(ours[i]), find(theirs[k])
                 top[max(x, y)] = min(x, y)
                 found.append(tuple(sorted((int(left.sigs[i]), int(right.sigs[k])))))
@@ -578,15 +604,9 @@ def _block_links(token: int, left: _Side, right: _Side) -> list[tuple[int, int]]
     return found
 
 
-def _judged(token: int, left: _Side, i: int, right: _Side, k: int) -> bool:
-    (a, keys), (b, _) = left.first[i], right.first[k]
-    both = np.isin(a, b, assume_unique=True)
-    if int(a[both][np.argmin(keys[both])]) != token & 0xFFFFFFFFFFFFFFFF:
-        return False
-    if any(not len(_shared(x, y)) for x, y in zip(left.others[i], right.others[k])):
-        return False
-    shared = len(_shared(left.sets[i], right.sets[k]))
-    return 100 * shared >= 80 * (len(left.sets[i]) + len(right.sets[k]) - shared)
+def _linked(x: np.ndarray, y: np.ndarray) -> bool:
+    shared = len(np.intersect1d(x, y, assume_unique=True))
+    return 100 * shared >= 80 * (len(x) + len(y) - shared)
 
 
 BLOCKED = "token long, x int, y int, side int, sig long, place long, component long, bits binary"
@@ -657,7 +677,7 @@ def block_links(blocks: DataFrame, classes: DataFrame, docs: DataFrame, frequent
             right = left if x == y else _Side(theirs)
             for side in {id(s): s for s in (left, right)}.values():
                 side.read(weigh.value)
-            found = _block_links(token, left, right)
+            found = _block_links(token, left, right, weigh.value)
             yield _batch(["a", "b"], *(pa.array([p[i] for p in found], pa.int64()) for i in range(2)))
 
     dealt = blocks.join(texts, "sig").select(*[c.split(" ")[0] for c in BLOCKED.split(", ")], "text")
