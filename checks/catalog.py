@@ -116,7 +116,9 @@ def _value_lags(lines: bool = False, unique: bool = False) -> Entry:
         if lines:
             df = lags.value_lags(_kept_lines(spark, sf_dir), "unit_value_q", order_col="row_no")
         else:
-            df = lags.value_lags(_kept(spark, sf_dir), "unit_value_q", unique_months=unique)
+            # the value is all that is asked for, so no other column is carried along
+            rows = _kept(spark, sf_dir).select("store_id", "gtin", "date", "unit_value_q")
+            df = lags.value_lags(rows, "unit_value_q", unique_months=unique)
         return df.select(*columns, "value", "lag_value")
 
     order = ", l_orderkey, l_linenumber, l_partkey" if lines else ""

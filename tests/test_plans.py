@@ -294,3 +294,28 @@ def test_treatment_side_is_reduced_before_its_join(spark, rows):
     with settings(spark, **NO_BROADCAST):
         keys = shuffles(treatment.assign_treatment(index, reviewed))
     assert any("insp_date, issue_date" in k for k in keys)
+
+
+def test_lags_combine_no_whole_rows_unless_they_tie(spark, rows):
+    """Only rows that share their month's first value are grouped by all their columns."""
+    wide = rows.withColumn("note", F.concat(F.lit("n"), "gtin"))
+    text = re.sub(r"#\d+L?", "", plan(lags.value_lags(wide, "unit_value_q")))
+    grouped = re.findall(r"HashAggregate\(keys=\[(.*?)\], functions=\[(.*?)\]", text)
+    assert any("note" in keys for keys, _ in grouped)
+    # what the months are reduced with: fixed-width buffers over the month's key alone
+    reduced = [keys for keys, functions in grouped if "max(" in functions]
+    assert reduced and all("note" not in keys for keys in reduced)
+    # whole rows are only grouped after the join with their months has told ties from the rest
+    assert all("__gap" in keys for keys, _ in grouped if "note" in keys)
+
+
+def test_ties_for_the_first_place_are_settled_by_the_other_columns(spark):
+    month = "2022-0{}-01"
+    data = [("a", month.format(1), "9", "x")] + [("a", month.format(2), v, n) for v, n in
+            [("5", "c"), ("5", "b"), ("5", "b"), ("5.0", "b"), ("5", "b"), ("7", "a"), ("7", "a")]] + [("a", None, "1", "z")] * 2
+    df = spark.createDataFrame([(1, *r) for r in data], "store_id int, gtin string, date string, v string, note string")
+    out = lags.value_lags(df.withColumn("date", F.to_date("date")), "v")
+    got = sorted((r.note, r.v, r.month_diff, r.lag_value) for r in out.where("month(date) = 2").collect() if r.month_diff)
+    assert got == [("b", "5", 1, 9.0)]
+    assert out.count() == len(data)
+    assert [(r.month_diff, r.lag_value) for r in out.where("date is null").collect()] == [(0, None)] * 2
