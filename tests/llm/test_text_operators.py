@@ -123,6 +123,31 @@ def test_long_texts_are_cut_with_overlap(spark, monkeypatch):
     assert counted(got) == brute_repeats(rows)
 
 
+def test_compared_windows_equal_counts_and_few_symbols_are_sorted(monkeypatch):
+    """Runs of one anchor: windows of 12 bytes that hold its 6 bytes, in few letters and NULs."""
+    length, anchor = 12, b"ANCHOR"
+    sorted_symbols, bytes_before = [], []
+    real = suffix_dedup.suffix_array
+    monkeypatch.setattr(suffix_dedup, "suffix_array", lambda text: sorted_symbols.append(len(text)) or real(text))
+    rng = random.Random(4)
+    for _ in range(400):
+        contents, offsets, windows = [], [], []
+        for _ in range(rng.randint(1, 6)):
+            far = rng.randint(0, length - len(anchor))
+            near = rng.randint(0, far)
+            before = bytes(rng.choice(b"\x00ab") for _ in range(far))
+            after = bytes(rng.choice(b"\x00ab") for _ in range(length - len(anchor) - near))
+            contents.append(before + anchor + after)
+            offsets.append(far)
+            windows.append([contents[-1][i : i + length] for i in range(far - near + 1)])
+            bytes_before.append(far)
+        got = suffix_dedup.repeated_windows(contents, offsets, length, len(anchor))
+        others = [set().union(*windows[:k], *windows[k + 1 :]) for k in range(len(windows))]
+        assert [h.tolist() for h in got] == [[w in o for w in run] for run, o in zip(windows, others)]
+    # fewer than one symbol for each byte before an anchor and one a run
+    assert 0 < sum(sorted_symbols) < sum(bytes_before) + len(bytes_before)
+
+
 def test_suffix_arrays_equal_sorted_suffixes():
     rng = random.Random(5)
     for _ in range(1500):

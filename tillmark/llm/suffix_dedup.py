@@ -7,8 +7,9 @@ offsets.  The windows of one anchor in one place form a run.
 
 * Runs with equal bytes are all repeated; one stands for them from then on, inside
   each task already.
-* Different runs of one anchor are joined to one string.  Its suffix array puts
-  equal windows next to each other.
+* Different runs of one anchor are joined to one string, in which all that follows
+  the last start of a window is one symbol.  Its suffix array puts equal windows next
+  to each other.
 
 The suffix array is built without renaming or recursion: groups of suffixes that
 share a Lyndon prefix are refined in descending order with previous-smaller
@@ -69,6 +70,21 @@ def suffix_array(text: list[int]) -> list[int]:
     end = n - 1
     while end > 0:
         begin = start[order[end]]
+        if begin == end:
+            # one suffix: at most one other moves, to the top of its group
+            s = order[end]
+            end -= 1
+            before[s] = s - 1
+            p = previous[s] = lower(s - 1)
+            if p >= 0 and size[start[p]] > 1:
+                g = start[p]
+                to, here = g + size[g] - 1, where[p]
+                other = order[to]
+                order[here], where[other] = other, here
+                order[to], where[p] = p, to
+                size[g] -= 1
+                size[to], start[p] = 1, to
+            continue
         members = order[begin : end + 1]
         end = begin - 1
         for s in members:
@@ -318,32 +334,51 @@ def run_contents(open_runs: DataFrame, docs: DataFrame, length: int = LENGTH) ->
 def repeated_windows(contents: list[bytes], offsets: list[int], length: int = LENGTH, gram: int = GRAM) -> list[np.ndarray]:
     """Per run of one anchor, which of its windows also occur in another run.
 
-    All runs hold the same ``gram`` bytes at their anchor, and so does every
-    window: they enter the string as one symbol.  Equal windows are neighbours in
-    the suffix array.
+    All runs hold the same ``gram`` bytes at their anchor, and equal windows start
+    equally far before it.  So a window needs no comparison if it starts nearer or
+    farther than any window of the other runs, and what follows the nearest start
+    enters the string as one symbol, in the order of byte strings.  Windows with the
+    same bytes are then neighbours in the suffix array, whatever comes after.
     """
+    sizes = np.array([len(c) for c in contents])
+    counts = sizes - length + 1
+    hits = [np.zeros(n, dtype=bool) for n in counts.tolist()]
+    if len(contents) < 2:
+        return hits
+    # distances from the anchor at which windows of two runs may start
+    far = np.array(offsets)
+    near = far - counts + 1
+    low, high = int(np.sort(near)[1]), int(np.sort(far)[-2])
+    first, last = far - np.minimum(far, high), far - np.maximum(near, low)
+    used = np.flatnonzero(first <= last).tolist()
+    if len(used) < 2:
+        return hits
+
+    tails = [contents[k][offsets[k] - low :] for k in used]
+    # above all symbols of single bytes
+    symbol = {tail: rank for rank, tail in enumerate(sorted(set(tails)), 257)}
     text: list[int] = []
-    begins, hashes = [], []
-    for content, offset in zip(contents, offsets):
+    begins = []
+    for k, tail in zip(used, tails):
         begins.append(len(text))
-        text += [b + 2 for b in content[:offset]]
-        text.append(300)
-        text += [b + 2 for b in content[offset + gram :]]
-        text.append(1)
-        count = len(content) - length + 1
-        starts = np.arange(count)
-        data = np.frombuffer(content, dtype=np.uint8)
-        values = np.zeros(len(text) - begins[-1], dtype=np.uint64)
-        values[:count] = span_hashes(data, starts, starts + length) | np.uint64(1)
-        hashes.append(values)
-    value = np.concatenate(hashes)
+        text += [b + 1 for b in contents[k][first[k] : offsets[k] - low]]
+        text.append(symbol[tail])
+    starts, stops = first[used], last[used] + 1
+    n = stops - starts
+    within = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+    at = within + np.repeat(np.cumsum(sizes[used]) - sizes[used] + starts, n)
+    data = np.frombuffer(b"".join([contents[k] for k in used]), dtype=np.uint8)
+    value = np.zeros(len(text), dtype=np.uint64)
+    value[within + np.repeat(begins, n)] = span_hashes(data, at, at + length) | np.uint64(1)
     order = np.array(suffix_array(text))
     ordered = value[order]
     same = (ordered[1:] == ordered[:-1]) & (ordered[1:] != 0)
     hit = np.zeros(len(value), dtype=bool)
     hit[order[1:][same]] = True
     hit[order[:-1][same]] = True
-    return [hit[b : b + len(c) - length + 1] for b, c in zip(begins, contents)]
+    for k, b, i, j in zip(used, begins, starts.tolist(), stops.tolist()):
+        hits[k][i:j] = hit[b : b + j - i]
+    return hits
 
 
 def _spans(hit: np.ndarray, first: int, length: int) -> Iterator[tuple[int, int]]:
