@@ -16,7 +16,7 @@ from tillmark.functions.similarity import similarity_score, token_sorted
 from tillmark.functions.text import basic_clean, expand_street_words
 from tillmark.operators import lags, matching, panel, prepare, price_index, treatment, weights
 from tillmark.operators.contracts import STORE_CONTRACT, index_contract
-from tillmark.sources.scratch import stored, stored_counted
+from tillmark.sources.scratch import stored_counted
 
 Query = Callable[[SparkSession, str], DataFrame]
 LABEL = price_index.DEFAULT_LABEL
@@ -78,14 +78,11 @@ def _index(kind: str, basis: str, lines: bool = False) -> Entry:
     level, log = price_index.index_columns(kind)
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        # weights and index read the kept rows several times: like the job, write them once
-        order = "row_no" if lines else None
-        kept = (_kept_lines if lines else _kept)(spark, sf_dir)
-        rows = stored(kept.select(*price_index.input_columns(basis, kind, order)), "kept-rows")
-        shares = stored(weights.type_weight_table(rows, PERIOD[basis]), "type-weights")
-        index = price_index.geo_index(
-            rows, basis, kind, order_col=order, unique_months=not lines, type_weights=shares
-        )
+        if lines:
+            rows = _kept_lines(spark, sf_dir)
+            index = price_index.geo_index(rows, basis, kind, order_col="row_no")
+        else:
+            index = price_index.geo_index(_kept(spark, sf_dir), basis, kind, unique_months=True)
         return index.select("store_id", "date", _r6(level), _r6(log))
 
     text = sql.index_ctes(VALUE[kind], PERIOD[basis], lines)
